@@ -27,7 +27,7 @@ from tidemark.llm.common import add_columns
 BLOCK = 16
 NONE = 1 << 62
 #: Entries in each of the two generations of chunks met before; a full one replaces the older, so memory is bounded.
-CACHE = 300_000
+CACHE = 100_000
 #: Longer chunks are encoded each time.
 CACHED_CHARS = 48
 
