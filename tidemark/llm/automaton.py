@@ -216,7 +216,7 @@ def compile_rules(rules: list[Rule], anywhere: bool, backward: bool = False) ->
     of = {b: i for i, b in reversed(list(enumerate(block)))}
     plain = sorted((b for b in of if not accepts[of[b]]), key=lambda b: b != block[0])
     places = {b: i for i, b in enumerate(plain + [b for b in of if accepts[of[b]]])}
-    table = array("l", [0]) * (256 * len(places))
+    table = array("i", [0]) * (256 * len(places))
     for b, place in places.items():
         for column, to in zip(columns, rows[of[b]], strict=True):
             for c in column:

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
-from tidemark.llm.common import table
+from tidemark.llm import bpe, decontaminate, secrets, tokenfile, urls
+from tidemark.llm.common import shared_dir, table
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,52 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every whole document."""
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[of(kind) for kind in secrets.BASE],
+        F.sha2(secrets.listed("secrets", secrets.BASE), 256).alias("base_sha256"),
+        secrets.listed("secrets").alias("spans"),
+    )
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows that occur in each whole document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    return decontaminate.verdicts(marked).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as Simple-8b blocks in order of doc_id and read back."""
+    path = shared_dir(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenfile.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1, path)
+    return tokenfile.read_documents(spark.read.parquet(path))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs."""
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_decontamination": op4_decontamination,
+    "op5_token_file": op5_token_file,
+    "op6_url_filter": op6_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {}
