@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, secrets, tokenfile, urls
+from tidemark.llm import bpe, decontaminate, htmltext, neardup, secrets, tokenfile, urls, vectordup
 from tidemark.llm.common import shared_dir, table
 
 
@@ -23,6 +23,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), shared_dir(spark))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every whole document."""
     found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -63,12 +68,26 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with equal labels."""
+    return vectordup.classes(table(spark, sf_dir, "embeddings"), shared_dir(spark))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
     "op5_token_file": op5_token_file,
     "op6_url_filter": op6_url_filter,
+    "op8_embedding_duplicates": op8_embedding_duplicates,
+    "op9_html_text": op9_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}
