@@ -53,6 +53,9 @@ LABELLED = (
     (1, 0.0, 60, 0.0, 40, 0.0, 1, 0, 1), (2, 0.0, 8, 0.0, 3, 0.0, 1, 0, 1), (3, 0.0, 2, 0.0, 12, 0.0, 1, 0, 1),
     (60, 0.2, 30, 0.0, 45, 0.1, 1, 0, 1), (4, 1.0, 50, 0.0, 70, 0.0, 1, 0, 1), (14, 0.6, 22, 0.1, 18, 0.0, 1, 0, 1),
     (300, 0.0, 1, 0.0, 12, 0.0, 1, 0, 1), (8, 0.0, 8, 0.0, 12, 0.0, 1, 0, 1), (25, 0.0, 3, 0.0, 10, 0.1, 1, 0, 1),
+    (43, 0.0, 58, 0.0, 2, 0.0, 1, 0, 1), (10, 0.0, 1, 1.0, 30, 0.0, 1, 0, 1), (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 1),
+    (7, 0.9, 5, 0.9, 6, 0.9, 1, 0, 1), (3, 1.0, 2, 1.0, 1, 1.0, 1, 0, 1), (11, 0.0, 3, 1.0, 2, 1.0, 1, 0, 1),
+    (2, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1), (64, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1), (5, 0.5, 12, 0.6, 1, 1.0, 1, 0, 1),
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0),
     (8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0), (12, 0.0, 2, 1.0, 7, 0.0, 0, 1, 0), (45, 0.0, 3, 1.0, 60, 0.0, 0, 1, 0),
     (10, 0.0, 70, 0.0, 0, 0.0, 0, 1, 0), (17, 0.1, 25, 0.0, 0, 0.0, 0, 1, 0), (6, 0.5, 120, 0.0, 2, 1.0, 0, 1, 0),

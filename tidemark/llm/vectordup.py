@@ -136,7 +136,7 @@ def classes(
     sizes = written(sizes, f"{folder}/sizes")
     dealt = distinct.join(sizes, KEY).withColumn("tile", F.pmod(F.xxhash64("vec", F.lit(7)), F.col("tiles")).cast("int"))
 
-    def pack(key, group: pa.Table) -> pa.Table:
+    def pack(key, group):
         return pa.table({
             "label": group["label"][:1], "dim": group["dim"][:1], "tile": group["tile"][:1], "tiles": group["tiles"][:1],
             "vecs": pa.array([group["vec"].to_numpy().astype("<i8").tobytes()], pa.binary()),
@@ -151,7 +151,7 @@ def classes(
         f"{folder}/tiles",
     )
 
-    def meet(key, group: pa.Table) -> pa.Table:
+    def meet(key, group):
         dim = key[1].as_py()
         parts = sorted(zip(group["tile"].to_pylist(), group["vecs"].to_pylist(), group["copies"].to_pylist(), group["packed"].to_pylist(), strict=True))
         ids, counts, least = tile_links(
