@@ -12,6 +12,7 @@ a null id sorts first; a null or empty text has the end id alone; repeated rows
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ ESCAPE = 15
 #: A block is closed when it holds so many ids.
 BLOCK_IDS = 1 << 17
 #: Chunks whose ids a worker keeps, in each of two generations.
-CACHE = 100_000
+CACHE = 200_000
 BLOCKS = "shard int, block int, doc_ids array<bigint>, counts array<int>, words binary, escapes binary"
 
 
@@ -89,35 +90,59 @@ def unpack(words: bytes, escapes: bytes = b"") -> np.ndarray:
     return out
 
 
+#: A chunk of letters and then of signs, all of which lower-case and normalise one by one: two words for the vocabulary.
+PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*)([-.,;:!?\"#$%&()*+/<=>@\[\]_|]*)")
+
+
 class WordTokenizer:
     """The tokenizers library, asked once for each chunk between spaces and line ends.
 
     The vocabulary drops white space, and no step before the merges looks past it, so the
-    ids of a text are those of its chunks in order.
+    ids of a text are those of its chunks in order. For plain chunks only the library's merges are
+    asked, once for each lower-cased word; any other chunk takes the whole way.
     """
 
     def __init__(self, content: bytes):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(content.decode())
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes_as = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(33, 256) if chr(c).isprintable()}
+        self.merges = self.library.model.tokenize
         self.ids: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+
+    def _word(self, word: str) -> bytes:
+        packed = self.words.get(word)
+        if packed is None:
+            if len(self.words) > 2 * CACHE:
+                self.words = {"": b""}
+            packed = self.words[word] = array("I", [t.id for t in self.merges(word.translate(self.bytes_as))]).tobytes()
+        return packed
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         needed = set().union(*split)
-        new = needed.difference(self.ids)
-        if len(self.ids) + len(new) > CACHE:
-            self.older, self.ids = self.ids, {"": b""}
+        if len(self.ids) + len(needed) > CACHE:
             new = needed.difference(self.ids)
-        for chunk in [c for c in new if c in self.older]:
-            self.ids[chunk] = self.older[chunk]
-            new.discard(chunk)
-        asked = list(new)
-        for chunk, got in zip(asked, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-            self.ids[chunk] = array("I", got.ids).tobytes()
-        return [b"".join(map(self.ids.__getitem__, chunks)) for chunks in split]
+            if len(self.ids) + len(new) > CACHE:
+                self.older, self.ids = self.ids, {"": b""}
+        ids, older, word, plain, asked = self.ids, self.older, self._word, PLAIN.fullmatch, []
+        for chunk in needed.difference(ids):
+            packed = older.get(chunk)
+            if packed is None:
+                if (m := plain(chunk)) and len(chunk) < 64:
+                    packed = word(m[1].lower()) + word(m[2])
+                else:
+                    asked.append(chunk)
+                    continue
+            ids[chunk] = packed
+        if asked:
+            for chunk, got in zip(asked, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+                ids[chunk] = array("I", got.ids).tobytes()
+        return [b"".join(map(ids.__getitem__, chunks)) for chunks in split]
 
 
 @lru_cache(maxsize=1)
