@@ -1,11 +1,90 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: judge quality, remove near-duplicates and benchmark copies, blank out secrets, tokenize.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the table is written as Parquet and
+read again. All but the last return the columns of ``documents`` (and any further ones that the table has).
+
+Defined cases: rows that share an id stay or go together, and one of them stays where a group keeps one
+document; null texts are kept, as nothing speaks against them; a table without rows passes through.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontaminate, neardup, quality, secrets
+from tidemark.llm.common import shared_dir, table, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents that the co-trained classifier takes for bad ones."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    # The text passes through beside the scores, so that no join is needed.
+    fed = ("text", "source", "lang", "n_chars")
+    plain = docs.withColumns({f"__{c}": F.col(c) for c in fed})
+    scored = quality.score(plain.withColumnsRenamed({c: f"__kept_{c}" for c in fed}).withColumnsRenamed({f"__{c}": c for c in fed}), model)
+    kept = scored.where((F.col("score") >= quality.REJECT_BELOW) | F.col("text").isNull()).drop(*fed)
+    return kept.withColumnsRenamed({f"__kept_{c}": c for c in fed}).select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each near-duplicate class."""
+    folder = shared_dir(spark)
+    found = written(neardup.classes(docs, folder), f"{folder}/found")
+    ids = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    ids = written(ids, f"{folder}/kept")
+    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    if not ids.where("n > 1").isEmpty():  # rows that share an id are one document
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove documents of which at least one word in twenty lies in a benchmark window."""
+    order = docs.columns
+    held = docs.withColumnsRenamed({c: f"__{c}" for c in order if c != "text"})
+    marked = decontaminate.verdicts(decontaminate.mark(held, table(spark, sf_dir, "benchmark")))
+    return marked.where("NOT contaminated").select(*[F.col(c if c == "text" else f"__{c}").alias(c) for c in order])
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets in the texts by a mark; no document goes. ``n_chars`` follows where a text changed."""
+    order = docs.columns
+    cleaned = secrets.redact(docs.withColumn("__before", F.length("text")))
+    changed = F.col("__before") != F.length("text")
+    sized = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
+    return cleaned.withColumn("n_chars", sized).select(*[f"`{c}`" for c in order])
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, packed as little-endian unsigned 32-bit integers, and whether they decode to the same bytes."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded.withColumn("size", F.octet_length(F.coalesce("text", F.lit("")))).withColumn(
+        "said", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text"), ranks)
+    return decoded.select(
+        "doc_id", "lang", "source", "ids",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        ((F.octet_length("decoded") == F.col("size")) & (F.sha2("decoded", 256) == F.col("said"))).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secret_stage),
+    ("tokens", token_stage),
+]
+#: SQL can't express the classifier, the sketches or the merges; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    folder = shared_dir(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,6 +33,8 @@ MAX_POOL = 12_000
 ROUNDS = 4
 #: A view is sure of a document from this probability on, for either label.
 SURE = 0.97
+#: A document is rejected below this probability of being good: only where little doubt is left.
+REJECT_BELOW = 0.05
 #: Fewest held-back rows for calibration: one labelled row in so many.
 HELD_BACK = 4
 RIDGE = 1.0
@@ -60,16 +62,16 @@ def text_features(text: bytes, block: int = 1 << 20) -> np.ndarray:
     for low in range(0, n, block):  # in blocks, each with the first byte of the next
         kinds = CLASS[data[low : low + block + 1]].astype(np.int16)
         pairs += np.bincount(kinds[:-1] * KINDS + kinds[1:], minlength=KINDS * KINDS)
-    out[: KINDS * KINDS] = np.sqrt(pairs / n)
+    # A short text says little, so its shares are drawn towards none.
+    out[: KINDS * KINDS] = np.sqrt(pairs / (n + 64))
     found = words(text)
     count = len(found)
     if count:
-        distinct = len(set(found))
-        out[-6] = distinct / count
-        out[-5] = sum(map(bytes.__eq__, found[1:], found)) / count
-        out[-4] = sum(map(len, found)) / count / 10
+        out[-6] = (count - len(set(found))) / (count + 12)
+        out[-5] = sum(map(bytes.__eq__, found[1:], found)) / (count + 12)
+        out[-4] = sum(map(len, found)) / (count + 12) / 10
     lines = text.split(b"\n")
-    out[-3] = 1 - len(set(lines)) / len(lines)
+    out[-3] = (len(lines) - len(set(lines))) / (len(lines) + 4)
     out[-2] = np.log1p(n) / 10
     out[-1] = np.log1p(count / len(lines)) / 5
     return out

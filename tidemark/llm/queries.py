@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, htmltext, neardup, secrets, tokenfile, urls, vectordup
+from tidemark.llm import bpe, decontaminate, htmltext, neardup, pii, quality, secrets, tokenfile, urls, vectordup
 from tidemark.llm.common import shared_dir, table
 
 
@@ -68,6 +68,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole document by the co-trained views; ``keep`` unless little doubt is left that it is bad."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text", "source", "lang", "n_chars"), model)
+    return scored.select("doc_id", "text_score", "meta_score", "score", (F.col("score") >= quality.REJECT_BELOW).alias("keep"))
+
+
 def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors with equal labels."""
     return vectordup.classes(table(spark, sf_dir, "embeddings"), shared_dir(spark))
@@ -79,6 +87,18 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    of = lambda kind: F.size(F.filter("personal", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[of(kind) for kind in pii.KINDS],
+        F.sha2(pii.listed("personal", base_only=True), 256).alias("base_sha256"),
+        pii.listed("personal").alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_near_duplicates": op2_near_duplicates,
@@ -86,8 +106,10 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_token_file": op5_token_file,
     "op6_url_filter": op6_url_filter,
+    "op7_quality": op7_quality,
     "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_html_text": op9_html_text,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {}
