@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from tidemark.plans import core
+from tidemark.plans import core, metrics  # noqa: F401  each adds its queries
 
-QUERIES = dict(core.QUERIES)
-ORACLE = dict(core.ORACLE)
+QUERIES = core.QUERIES
+ORACLE = core.ORACLE
