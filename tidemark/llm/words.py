@@ -20,7 +20,7 @@ def words(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """32-bit hashes by word; only a bounded number is kept."""
 
-    LIMIT = 500_000
+    LIMIT = 120_000
 
     def __missing__(self, word: bytes) -> int:
         value = zlib.crc32(word)
