@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes
-from pyspark.ml.feature import TargetEncoder, VectorAssembler
+from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +43,11 @@ def fit_trees(train: DataFrame, categories: list[str], numbers: list[str], round
 
     The encoder sees train rows only. Returns (encoder, model, feature columns).
     """
-    coded = [f"{c}_coded" for c in categories]
-    encoder = TargetEncoder(inputCols=categories, outputCols=coded, labelCol="target_resolved", targetType="binary", handleInvalid="keep", smoothing=10.0).fit(
-        train.where("NOT is_validation")
-    )
+    coded, placed = [f"{c}_coded" for c in categories], [f"{c}_place" for c in categories]
+    encoder = Pipeline(stages=[
+        StringIndexer(inputCols=categories, outputCols=placed, handleInvalid="keep"),
+        TargetEncoder(inputCols=placed, outputCols=coded, labelCol="target_resolved", targetType="binary", handleInvalid="keep", smoothing=10.0),
+    ]).fit(train.where("NOT is_validation"))
     shaped = assembled(encoder.transform(train), [*coded, *numbers])
     model = GBTClassifier(
         labelCol="target_resolved", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.1, validationIndicatorCol="is_validation", validationTol=1e-4

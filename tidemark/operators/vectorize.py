@@ -28,16 +28,14 @@ def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
     """Runs of ``low`` to ``high`` characters within words padded by a blank on either side; a shorter word gives itself once."""
     words = F.filter(F.split(folded(text), r"\s+"), lambda w: w != "")
 
+    def runs(padded: Column, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1)))
+        made = F.transform(places, lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, made).otherwise(F.array().cast("array<string>"))
+
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        made = [
-            F.when(
-                F.length(padded) >= n,
-                F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - (n - 1))), lambda i, n=n: F.substring(padded, i, F.lit(n))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in range(low, high + 1)
-        ]
-        return F.when(F.length(padded) < low, F.array(padded)).otherwise(F.concat(*made))
+        return F.when(F.length(padded) < low, F.array(padded)).otherwise(F.concat(*[runs(padded, n) for n in range(low, high + 1)]))
 
     return F.flatten(F.transform(words, grams))
 
