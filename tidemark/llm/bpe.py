@@ -160,19 +160,37 @@ def _content(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())  # about 1 MB, however large the corpus
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def encode(
+    df: DataFrame, rank_file: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None
+) -> DataFrame:
     """Add ``ids_col``: the ids of the whole text as little-endian unsigned 32-bit integers.
 
-    ``rank_file`` is a driver-side path of the published ranks, ``pattern`` the split pattern.
-    A column that already has that name is replaced; all others are kept.
+    ``rank_file`` is a driver-side path of the published ranks, ``pattern`` the split pattern. With ``decoded_col``, the
+    bytes that the ids decode to are added in the same pass. A column that already has such a name is replaced;
+    all others are kept.
     """
     content = _content(df, rank_file)
 
     def start():
         encoder = _encoder(content.value, pattern)
-        return lambda texts: [pa.array([encoder(t) if t else b"" for t in texts.to_pylist()], pa.binary())]
+        tokens = _tokens(encoder.ranks) if decoded_col else []
+
+        def apply(texts: pa.Array) -> list:
+            ids = [encoder(t) if t else b"" for t in texts.to_pylist()]
+            made = [pa.array(ids, pa.binary())]
+            return [*made, pa.array([decode_packed(x, tokens) for x in ids], pa.binary())] if decoded_col else made
+
+        return apply
 
-    return add_columns(df, [text_col], [T.StructField(ids_col, T.BinaryType())], start)
+    names = [ids_col, decoded_col] if decoded_col else [ids_col]
+    return add_columns(df, [text_col], [T.StructField(name, T.BinaryType()) for name in names], start)
 
 
 def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -180,10 +198,7 @@ def decode(df: DataFrame, rank_file: str, ids_col: str = "ids", bytes_col: str =
     content = _content(df, rank_file)
 
     def start():
-        ranks = parse_ranks(content.value)
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
+        tokens = _tokens(parse_ranks(content.value))
         return lambda ids: [pa.array([decode_packed(x, tokens) if x else b"" for x in ids.to_pylist()], pa.binary())]
 
     return add_columns(df, [ids_col], [T.StructField(bytes_col, T.BinaryType())], start)

@@ -72,6 +72,8 @@ def add_columns(
             made = apply(*[batch.column(size + i) for i in range(len(fed))])
             made = [m if isinstance(m, pa.Array) else pa.array(m, kind) for m, kind in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(size)] + made, names=keep + names)
+            del batch, made
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 
