@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, htmltext, neardup, pii, quality, secrets, tokenfile, urls, vectordup
 from tidemark.llm.common import shared_dir, table
+from tidemark.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,5 +111,3 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_personal_data": op10_personal_data,
 }
-
-ORACLE_SQL: dict[str, str] = {}
