@@ -119,3 +119,18 @@ def in_order(df: DataFrame, key: str, order: list[str], then: list[str]) -> Data
 def grid(tables: list[DataFrame]) -> DataFrame:
     """Every combination of hyper-parameter candidates, each table a handful of rows."""
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), tables)
+
+
+def totals(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Mean and total of each value by keys, as for recorded seconds."""
+    return df.groupBy(*keys).agg(*[f(v).alias(f"{v}_{name}") for v in values for name, f in (("mean", F.avg), ("total", F.sum))])
+
+
+def shuffled(df: DataFrame, key: str) -> DataFrame:
+    """A deterministic order that looks random: by the hash of a key, then the key."""
+    return df.orderBy(F.xxhash64(key), key)
+
+
+def significant(tests: DataFrame, p: str, size: str, level: float = 0.05) -> DataFrame:
+    """Tests below ``level``, the smallest p-value first, then the largest effect either way."""
+    return tests.where(F.col(p) < level).orderBy(p, F.desc(F.abs(size)))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import columns as C
-from tidemark.operators import audit, clean, folds, report
+from tidemark.operators import audit, clean, compare, evaluation, folds, report
 from tidemark.plans import sql as Q
-from tidemark.plans.core import CLEAN, FEATURES, FOLD_ARGS, IDS, RAW, TRAIN_START, clean_cases, feature_table, query, rounded, scored, windows
+from tidemark.plans.core import CLEAN, FEATURES, FOLD_ARGS, IDS, TRAIN_START, clean_cases, feature_table, query, rounded, scored, windows
 from tidemark.plans.metrics import _MASK_MODELS, _TEST_F1, test_f1
 from tidemark.sources import cases as S
 from tidemark.sources import files
@@ -197,3 +197,45 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         files.write_report(metrics.where(F.col("model") == model), f"{path}/{model}")
     schema = T.StructType([T.StructField("model", T.StringType()), T.StructField("fold", T.IntegerType()), T.StructField("macro_f1", T.DoubleType())])
     return files.read_reports(spark, [f"{path}/{m}" for m in _MASK_MODELS], schema)
+
+
+@query("prediction_registry", f"""SELECT model, fold, split, record_id, opening_date, target_resolved, score, CAST(score >= CASE model WHEN 'good' THEN 0.5 ELSE 0.4 END AS INTEGER) AS prediction
+ FROM ({Q.SCORED}) WHERE model IN ('good', 'm2')""")
+def prediction_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two models' tables, each with its own column names, as one long table."""
+    long = scored(spark, sf_dir)
+    a = long.where("model = 'good'").withColumnsRenamed({"score": "p_good", "prediction": "said"})
+    b = long.where("model = 'm2'").withColumn("flag", F.col("score") >= 0.4)
+    return files.predictions_long({"good": (a, "p_good", "said"), "m2": (b, "score", "flag")})
+
+
+@query("efficiency_summary", "SELECT l_returnflag, round(avg(l_quantity), 6) AS l_quantity_mean, round(sum(l_quantity), 6) AS l_quantity_total, round(avg(l_tax), 6) AS l_tax_mean, round(sum(l_tax), 4) AS l_tax_total FROM lineitem GROUP BY 1")
+def efficiency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and total, here of two line-item columns in place of recorded seconds."""
+    return rounded(report.totals(S.table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_quantity", "l_tax"])).withColumn("l_tax_total", F.round("l_tax_total", 4))
+
+
+@query("hash_order")
+def hash_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.shuffled(S.order_cases(spark, sf_dir).select(*IDS), "record_id")
+
+
+_EFFECTS = f"""SELECT company, round(avg(target_resolved) - 0.5, 6) AS effect, round(least(1.0, exp(-200 * power(avg(target_resolved) - 0.5, 2) * count(*) / 100)), 6) AS p_value FROM ({Q.OBSERVED}) GROUP BY 1"""
+
+
+@query("significant_tests", f"SELECT company, effect, p_value FROM ({_EFFECTS}) WHERE p_value < 0.4")
+def significant_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies whose outcome rate is far from one half, by a Hoeffding bound."""
+    effect = F.avg("target_resolved") - 0.5
+    tests = S.order_cases(spark, sf_dir).groupBy("company").agg(
+        F.round(effect, 6).alias("effect"), F.round(F.least(F.lit(1.0), F.exp(-200 * F.pow(effect, F.lit(2.0)) * F.count("*") / 100)), 6).alias("p_value")
+    )
+    return report.significant(tests, "p_value", "effect", 0.4)
+
+
+@query("final_summary")
+def final_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model summary with bootstrap bounds."""
+    cells = evaluation.confusion(scored(spark, sf_dir, ("test",)), ["model", "fold"])
+    summary = report.metric_summary(test_f1(spark, sf_dir), ["model"], ["macro_f1"])
+    return rounded(summary.join(compare.bootstrap(cells).select("model", "low", "high"), "model", "left"))
