@@ -31,7 +31,7 @@ ESCAPE = 15
 #: A block is closed when it holds so many ids.
 BLOCK_IDS = 1 << 17
 #: Chunks whose ids a worker keeps, in each of two generations.
-CACHE = 200_000
+CACHE = 350_000
 BLOCKS = "shard int, block int, doc_ids array<bigint>, counts array<int>, words binary, escapes binary"
 
 
@@ -41,19 +41,25 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     n = len(values)
     if not n:
         return b"", b""
-    high = values >> np.uint64(60) != 0
+    width = np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # bits of each value
+    if values.max() >= 1 << 52:  # beyond what a double holds exactly
+        width = np.zeros(n, dtype=np.uint8)
+        for k in range(64):
+            width += (values >> np.uint64(k) != 0).astype(np.uint8)
     step = np.ones(n, dtype=np.int64)
-    selector = np.where(high, ESCAPE, 14).astype(np.uint64)
-    done = high.copy()
+    selector = np.where(width > 60, ESCAPE, 14).astype(np.uint64)
+    done = width > 60
     for k, (count, bits) in enumerate(PACKS[:-1], 1):
         if count > n:
             continue
-        wide = np.concatenate(([0], np.cumsum(values >> np.uint64(bits) != 0)))
+        wide = np.zeros(n + 1, dtype=np.int32)
+        np.cumsum(width > bits, out=wide[1:])
         fits = np.zeros(n, dtype=bool)
         fits[: n - count + 1] = wide[count:] == wide[: n - count + 1]
         fits &= ~done
-        step[fits], selector[fits] = count, k
-        done |= fits
+        if fits.any():
+            step[fits], selector[fits] = count, k
+            done |= fits
     following = (np.arange(n) + step).tolist()
     starts, i = [], 0
     while i < n:
@@ -64,8 +70,12 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     words = chosen << np.uint64(60)
     for k, (count, bits) in enumerate(PACKS, 1):
         mine = np.flatnonzero(chosen == k)
-        for j in range(count if len(mine) else 0):
-            words[mine] |= values[at[mine] + j] << np.uint64(bits * j)
+        if len(mine):
+            first = at[mine]
+            filled = values[first].copy()
+            for j in range(1, count):
+                filled |= values[first + j] << np.uint64(bits * j)
+            words[mine] |= filled
     out = np.flatnonzero(chosen == ESCAPE)
     words[out] |= np.arange(len(out), dtype=np.uint64)
     return words.astype("<u8").tobytes(), values[at[out]].astype("<u8").tobytes()
@@ -114,30 +124,36 @@ class WordTokenizer:
         self.words: dict[str, bytes] = {"": b""}
 
     def _word(self, word: str) -> bytes:
-        packed = self.words.get(word)
-        if packed is None:
-            if len(self.words) > 2 * CACHE:
-                self.words = {"": b""}
-            packed = self.words[word] = array("I", [t.id for t in self.merges(word.translate(self.bytes_as))]).tobytes()
+        if len(self.words) > 2 * CACHE:
+            self.words.clear()
+            self.words[""] = b""
+        packed = self.words[word] = array("I", [t.id for t in self.merges(word.translate(self.bytes_as))]).tobytes()
         return packed
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         needed = set().union(*split)
-        if len(self.ids) + len(needed) > CACHE:
-            new = needed.difference(self.ids)
-            if len(self.ids) + len(new) > CACHE:
-                self.older, self.ids = self.ids, {"": b""}
-        ids, older, word, plain, asked = self.ids, self.older, self._word, PLAIN.fullmatch, []
-        for chunk in needed.difference(ids):
-            packed = older.get(chunk)
+        new = needed.difference(self.ids)
+        if len(self.ids) + len(new) > CACHE:
+            self.older, self.ids = self.ids, {"": b""}
+            new = needed
+        ids, older, known, plain, asked = self.ids, self.older.get, self.words.get, PLAIN.fullmatch, []
+        for chunk in new:
+            packed = older(chunk)
             if packed is None:
-                if (m := plain(chunk)) and len(chunk) < 64:
-                    packed = word(m[1].lower()) + word(m[2])
-                else:
+                m = plain(chunk)
+                if m is None or len(chunk) > 64:
                     asked.append(chunk)
                     continue
+                letters, signs = m.groups()
+                letters = letters.lower()
+                packed = known(letters)
+                if packed is None:
+                    packed = self._word(letters)
+                if signs:
+                    more = known(signs)
+                    packed += self._word(signs) if more is None else more
             ids[chunk] = packed
         if asked:
             for chunk, got in zip(asked, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
