@@ -20,12 +20,11 @@ from tidemark.llm.common import shared_dir, table, written
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that the co-trained classifier takes for bad ones."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    # The text passes through beside the scores, so that no join is needed.
-    fed = ("text", "source", "lang", "n_chars")
-    plain = docs.withColumns({f"__{c}": F.col(c) for c in fed})
-    scored = quality.score(plain.withColumnsRenamed({c: f"__kept_{c}" for c in fed}).withColumnsRenamed({f"__{c}": c for c in fed}), model)
-    kept = scored.where((F.col("score") >= quality.REJECT_BELOW) | F.col("text").isNull()).drop(*fed)
-    return kept.withColumnsRenamed({f"__kept_{c}": c for c in fed}).select(*[f"`{c}`" for c in docs.columns])
+    # All columns pass through beside the scores, under other names where they could clash, so that no join is needed.
+    order, fed = docs.columns, ("text", "source", "lang", "n_chars")
+    scored = quality.score(docs.withColumnsRenamed({c: f"__{c}" for c in order if c not in fed}), model)
+    kept = scored.where((F.col("score") >= quality.REJECT_BELOW) | F.col("text").isNull())
+    return kept.select(*[F.col(c if c in fed else f"__{c}").alias(c) for c in order])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

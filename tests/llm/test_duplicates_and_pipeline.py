@@ -194,7 +194,7 @@ def test_pipeline_stages(spark, tmp_path):
         at = spark.read.parquet(path)
         seen[name] = {r.doc_id: r for r in at.collect()}
         if name != "tokens":
-            assert at.columns == order
+            assert at.columns == order and {r.score for r in seen[name].values()} == {"mine"}
     assert not set(range(60, 100)) & set(seen["quality"]) and set(range(60)) | {204, 205, 206} <= set(seen["quality"])
     assert {200, 201} & set(seen["near_duplicates"]) == set() and {3, 4, 5, 202, 204, 205} <= set(seen["near_duplicates"])
     assert set(seen["near_duplicates"]) - set(seen["decontamination"]) == {202}

@@ -58,8 +58,10 @@ def add_columns(
     """
     names = [f.name for f in fields]
     keep = [c for c in df.columns if c not in names and c not in drop]
-    fed = [f"__in_{i}" for i in range(len(inputs))]
-    source = df.select(*[df[f"`{c}`"] for c in keep], *[df[f"`{c}`"].alias(a) for c, a in zip(inputs, fed, strict=True)])
+    fed = {c: f"__in_{i}" for i, c in enumerate(inputs) if c not in keep}  # a kept column is sent once
+    source = df.select(*[df[f"`{c}`"] for c in keep], *[df[f"`{c}`"].alias(a) for c, a in fed.items()])
+    sent = [*keep, *fed]
+    places = [sent.index(c) for c in inputs]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +71,7 @@ def add_columns(
         apply = start()
         for batch in batches:
             size = len(keep)
-            made = apply(*[batch.column(size + i) for i in range(len(fed))])
+            made = apply(*[batch.column(i) for i in places])
             made = [m if isinstance(m, pa.Array) else pa.array(m, kind) for m, kind in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(size)] + made, names=keep + names)
             del batch, made
