@@ -31,10 +31,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep the document with the least id of each near-duplicate class."""
     folder = shared_dir(spark)
     found = written(neardup.classes(docs, folder), f"{folder}/found")
-    ids = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    ids = written(ids, f"{folder}/kept")
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    if not ids.where("n > 1").isEmpty():  # rows that share an id are one document
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    ids = written(ids, f"{folder}/ids")
+    # Those that go are fewer than those that stay; rows without an id stay.
+    kept = docs.join(ids.where("NOT kept").select("doc_id"), "doc_id", "left_anti")
+    if not ids.where("kept AND n > 1").isEmpty():  # rows that share an id are one document
         kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
     return kept.select(*[f"`{c}`" for c in docs.columns])
 
