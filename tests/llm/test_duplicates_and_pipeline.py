@@ -81,6 +81,29 @@ def test_text_classes(spark):
     assert neardup.classes(spark.createDataFrame([], "doc_id long, text string"), shared_dir(spark)).count() == 0
 
 
+def test_repeated_run_leaves_other_marks():
+    """A copy that gains or loses the only repeated run of a text shares most sketches with it."""
+    rnd = np.random.default_rng(12)
+    for _ in range(20):
+        once = rnd.integers(0, 1 << 32, 300, dtype=np.uint32)
+        twice = np.concatenate((once, once[:6]))
+        a, b = (neardup.shingles(x) for x in (once, twice))
+        assert neardup.aligned(a, b)
+        assert (neardup.sketches(a) == neardup.sketches(b)).sum() >= 12
+
+
+def test_copies_with_a_repeated_sentence(spark):
+    """Pairs of which one repeats a sentence, by addition to the copy or by removal from it, against all verified pairs."""
+    rnd, texts = random.Random(13), {}
+    for k in range(40):
+        base = [f"r{rnd.randrange(10**6)}" for _ in range(300)]
+        more = base[:200] + base[20:32] + base[200:]
+        texts[2 * k], texts[2 * k + 1] = (base, more) if k % 2 else (more, base)
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in neardup.classes(frame, shared_dir(spark)).collect()}
+    assert found == {i: i - i % 2 for i in texts}
+
+
 def test_no_link_is_lost(spark):
     """All pairs that share a run of words, verified one by one, against the classes; among them a large group around one text."""
     table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pydict()
