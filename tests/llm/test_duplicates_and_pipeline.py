@@ -129,6 +129,40 @@ def test_no_link_is_lost(spark):
     assert len({found[100_000 + k] for k in range(150)}) == 1
 
 
+def verified_classes(texts):
+    """Classes by all pairs within the length bounds, verified one by one."""
+    hashes = WordHashes()
+    runs = {i: neardup.shingles(hashes.array(words(t.encode()))) for i, t in texts.items()}
+    ids = sorted(texts)
+    return closed(texts, [(a, b) for a in ids for b in ids if a < b and neardup.aligned(runs[a], runs[b])])
+
+
+def test_links_of_linked_members(spark):
+    """Texts of one repeated word: the longer ones are linked to members of the leader's class only."""
+    texts = {k: " ".join(["spam"] * (104 + 10 * k)) for k in range(25)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in neardup.classes(frame, shared_dir(spark)).collect()}
+    assert found == verified_classes(texts) == dict.fromkeys(texts, 0)
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 32])
+def test_twins_in_a_family(spark, monkeypatch, block):
+    """Pairs just above the similarity among 200 texts around one form, whose own links stay below it."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rnd, texts = random.Random(14), {}
+    form = [f"f{k}" for k in range(241)]
+    for k in range(100):
+        own = [f"o{rnd.randrange(10**6)}" for _ in range(5)]
+        cut = rnd.randrange(5, 235)
+        for twin in (0, 1):
+            last = [f"o{rnd.randrange(10**6)}" for _ in range(28)]
+            texts[2 * k + twin] = " ".join(form[:cut] + own + form[cut:] + last)
+    want = verified_classes(texts)
+    assert sum(i != c for i, c in want.items()) >= 90 and len(set(want.values())) >= 90
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(frame, shared_dir(spark)).collect()} == want
+
+
 def test_quantisation_bounds_hold():
     rnd = np.random.default_rng(8)
     x = rnd.normal(size=(300, 48))

@@ -7,11 +7,12 @@ and not just for shared words. Two texts with an equal sketch are candidates. A
 is verified by a banded alignment of the two sequences of runs: with L aligned runs of n and m, they are near
 duplicates if L / (n + m - L) is at least ``SIMILARITY``.
 
-No pairs are listed within a bucket of equal sketches. Its shortest text is compared with every other one: where texts
-meet by a passage that they share and little else, the one with the least besides is nearest to each. Those that
-turn out not to belong to the leader's class go one level down, where the bucket is divided by further
-sketches as well, until each bucket holds texts of one class. A class is a connected component of
-verified links.
+Within a bucket of equal sketches the shortest text is compared with every other one first: where texts
+meet by a passage that they share and little else, the one with the least besides is nearest to each. If
+that leaves a bucket with texts of several classes, all its texts, those linked to the leader too, go to an exact join:
+a pair that can reach the similarity has a labelled run in common among the rarest runs of both, as many as its lengths let differ.
+Each pair of different classes that has is verified, so that no pair of a bucket is left undecided. A class
+is a connected component of verified links.
 
 Defined cases: equal word sequences are copies, whatever stands between the words; texts without words are copies if they
 are equal as they stand; a null text is a class of its own. Rows that share an id are one document.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,10 @@ SHINGLE = 5
 SIMILARITY = (8, 10)
 SKETCHES = 24
 PICKS = 3
+#: Slots in which the runs of left-over texts are counted; the counts only order the runs, any order gives the same pairs.
+SLOTS = 1 << 20
+#: Texts with one run in common are compared in blocks of about this many.
+BLOCK = 4096
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 POWERS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
@@ -205,6 +211,121 @@ def _verified(pairs: DataFrame, said: DataFrame, folder: str) -> DataFrame:
     return written(checked, f"{folder}/links")
 
 
+def _of(packed: pa.Array) -> Iterator[np.ndarray]:
+    """The labelled runs of each text of a column of packed word hashes."""
+    for x in packed:
+        yield labelled(shingles(np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint32)))
+
+
+def _slot(marks: np.ndarray) -> np.ndarray:
+    return (marks % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """A byte for each slot that grows with the number of runs in it; ``texts`` has hashes."""
+
+    def run(batches):
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for marks in _of(batch.column(0)):
+                np.add.at(counts, _slot(marks), 1)
+        at = np.flatnonzero(counts)
+        for low in range(0, len(at), 1 << 16):
+            part = at[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["slot", "n"])
+
+    often = texts.select("hashes").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    found = often.select("slot", F.floor(4 * F.log2("n")).cast("int").alias("n")).toArrow()
+    made = np.zeros(SLOTS, dtype=np.uint8)
+    made[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return made
+
+
+def _rarest(texts: DataFrame, often: np.ndarray) -> DataFrame:
+    """``mark``, ``place`` of the rarest labelled runs of each text, of which a near duplicate must have one; ``texts`` has id, label, hashes."""
+    p, q = SIMILARITY
+
+    def run(batches):
+        for batch in batches:
+            marks, places, sizes, runs = [], [], [], []
+            for all_marks in _of(batch.column(2)):
+                n = len(all_marks)
+                least = all_marks[np.lexsort((all_marks, often[_slot(all_marks)]))[: n - -(-p * n // q) + 1]]
+                marks.append(least)
+                places.append(np.arange(len(least), dtype=np.int32))
+                sizes.append(len(least))
+                runs.append(n)
+            if not sizes:
+                continue
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            columns = [*(batch.column(i).take(pa.array(row)) for i in range(2)), pa.array(np.array(runs, dtype=np.int32)[row])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(marks).view(np.int64)), pa.array(np.concatenate(places)), *columns], names=["mark", "place", "doc", "label", "n_runs"]
+            )
+
+    return texts.select("id", "label", "hashes").mapInArrow(run, "mark bigint, place int, doc bigint, label bigint, n_runs int")
+
+
+def _met(mark, low, high, block, place, doc, label, n) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different labels within each (mark, low, high) that can reach the similarity; rows are sorted by these and label."""
+    p, q = SIMILARITY
+    n = n.astype(np.int64)
+    new = np.concatenate(([True], (mark[1:] != mark[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+    other = new | np.concatenate(([True], label[1:] != label[:-1]))
+    ends = np.append(np.flatnonzero(new), len(mark))[np.cumsum(new)]
+    i = np.arange(len(mark))
+    j = np.append(np.flatnonzero(other), len(mark))[np.cumsum(other)]  # the first row of the next label
+    left, right, room = [], [], n - place
+    while True:
+        on = j < ends[i]
+        i, j = i[on], j[on]
+        if not len(i):
+            break
+        fits = (p + q) * np.minimum(room[i], room[j]) >= p * (n[i] + n[j])
+        fits &= (low[i] == high[i]) | (block[i] != block[j])
+        left.append(doc[i[fits]])
+        right.append(doc[j[fits]])
+        j = j + 1
+    return (np.concatenate(left), np.concatenate(right)) if left else (doc[:0], doc[:0])
+
+
+def _candidates(texts: DataFrame, folder: str) -> DataFrame:
+    """All pairs (``doc``, ``leader``) of texts of different labels that can reach the similarity, and some that can't, as a written table."""
+    rare = written(_rarest(texts, _frequencies(texts)), f"{folder}/rarest")
+    shared = rare.groupBy("mark").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = shared.where("low <> high").select("mark", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # A frequent run is spread over tasks: a row meets each block of the run's texts in a cell of its own.
+    rows = rare.join(shared, "mark").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("block", "k"), "high": F.greatest("block", "k")})
+    order = ["mark", "low", "high", "label"]
+    rows = rows.repartition("mark", "low", "high").sortWithinPartitions(*order).select("mark", "low", "high", "block", "place", "doc", "label", "n_runs")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(8)]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            whole = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]) | (columns[2] != columns[2][-1])) if len(columns[0]) else ()
+            cut = int(whole[-1]) + 1 if len(whole) else 0
+            held = [c[cut:] for c in columns]
+            if cut:
+                yield from out([c[:cut] for c in columns])
+        if held is not None and len(held[0]):
+            yield from out(held)
+
+    def out(columns):
+        a, b = _met(*columns)
+        for low in range(0, len(a), 1 << 16):
+            part = slice(low, low + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a[part], b[part])), pa.array(np.minimum(a[part], b[part]))], names=["doc", "leader"])
+
+    pairs = written(rows.mapInArrow(run, "doc bigint, leader bigint").distinct(), f"{folder}/pairs")
+    remove(texts.sparkSession, f"{folder}/rarest")
+    return pairs
+
+
 def classes(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``class_id`` (least id of the class), ``kept`` (whether the row's id is that) of every row.
 
@@ -218,63 +339,30 @@ def classes(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
     texts = written(least.select("print", "x.*"), f"{folder}/texts")
     hashes = made.where("n_runs > 0").select("id", "hashes")
 
-    members = texts.where("n_runs > 0").select(
-        F.col("id").alias("doc"), "n_runs", "sketches", F.posexplode("sketches").alias("band", "value")
-    ).select("doc", "n_runs", "sketches", "band", F.col("value").alias("bucket"), F.col("doc").alias("label"))
-    members = members.select("doc", "n_runs", "band", "bucket", "label")
-    links = labels = None
+    members = texts.where("n_runs > 0").select(F.col("id").alias("doc"), "n_runs", F.explode("sketches").alias("bucket"))
+    leaders = members.groupBy("bucket").agg(F.min(F.struct("n_runs", "doc")).alias("x"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    leaders = leaders.where("low <> high").select("bucket", F.col("x.doc").alias("leader"), F.col("x.n_runs").alias("leader_runs"))
+    leaders = written(leaders, f"{folder}/leaders")
+    met = written(members.join(leaders, "bucket").where("doc <> leader"), f"{folder}/met")
     p, q = SIMILARITY
-    level, depth = 0, 1
-    while True:
-        at = f"{folder}/level-{level}"
-        leaders = members.groupBy("bucket").agg(
-            F.min(F.struct("n_runs", "doc", "label")).alias("x"), F.min("label").alias("low"), F.max("label").alias("high")
-        ).where("low <> high").select(
-            "bucket", F.col("x.doc").alias("leader"), F.col("x.n_runs").alias("leader_runs"), F.col("x.label").alias("leader_label")
-        )
-        leaders = written(leaders, f"{at}/leaders")
-        if leaders.isEmpty():
-            break
-        met = written(members.join(leaders, "bucket").where("doc <> leader AND label <> leader_label"), f"{at}/met")
-        near = q * F.least("n_runs", "leader_runs") >= p * F.greatest("n_runs", "leader_runs")
-        pairs = written(met.where(near).select("doc", "leader").distinct(), f"{at}/pairs")
-        if level == 0:  # all that may still be compared; the whole table of hashes is shuffled this once
-            needed = met.select(F.explode(F.array("doc", "leader")).alias("id")).distinct()
-            hashes = written(hashes.join(needed, "id", "left_semi"), f"{folder}/hashes")
-        new = _verified(pairs, hashes, at)
-        links = new if links is None else links.unionByName(new)
-        # Who isn't of the leader's class meets the others again where further sketches agree too.
-        left = met.select("doc", "n_runs", "band", "bucket", "label", "leader")
-        if level == 0:
-            labels = written(components(new, f"{at}/components", "doc", "leader"), f"{at}/labels")
-            of = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
-            left = (
-                left.join(of("doc", "found"), "doc", "left").join(of("leader", "leads"), "leader", "left")
-                .withColumn("label", F.coalesce("found", "label")).where(F.col("label") != F.coalesce("leads", "leader"))
-            )
-        else:
-            left = left.join(new, ["doc", "leader"], "left_anti")
-        # The sketches that follow, twice as many at each level: buckets of unlike texts soon fall apart.
-        following = F.transform(
-            F.sequence(F.lit(depth), F.lit(2 * depth - 1)),
-            lambda i: F.element_at("sketches", F.pmod(F.col("band") + i, F.lit(SKETCHES)).cast("int") + 1),
-        )
-        deeper = left.join(texts.select(F.col("id").alias("doc"), "sketches"), "doc").select(
-            "doc", "n_runs", "band", F.xxhash64("bucket", following).alias("bucket"), "label"
-        )
-        level, depth = level + 1, min(2 * depth, SKETCHES)
-        members = written(deeper, f"{folder}/members-{level}")
-        remove(spark, f"{at}/leaders")
-        remove(spark, f"{at}/pairs")
-        remove(spark, f"{at}/met")
-    if links is None:
-        whole = texts.select("print", F.col("id").alias("class_id"))
-    else:
-        if level > 1:  # links were found below the first level, so components may have merged
-            labels = components(links, f"{folder}/components", "doc", "leader")
-        whole = texts.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select(
-            "print", F.coalesce("label", "id").alias("class_id")
-        )
+    near = q * F.least("n_runs", "leader_runs") >= p * F.greatest("n_runs", "leader_runs")
+    pairs = written(met.where(near).select("doc", "leader").distinct(), f"{folder}/first-pairs")
+    # All that may still be compared; the whole table of hashes is shuffled this once.
+    needed = met.select(F.explode(F.array("doc", "leader")).alias("id")).distinct()
+    hashes = written(hashes.join(needed, "id", "left_semi"), f"{folder}/hashes")
+    links = _verified(pairs, hashes, f"{folder}/first")
+    labels = written(components(links, f"{folder}/first-components", "doc", "leader"), f"{folder}/first-labels")
+    of = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
+    known = met.join(of("doc", "found"), "doc", "left").join(of("leader", "leads"), "leader", "left")
+    undecided = known.where(F.coalesce("found", "doc") != F.coalesce("leads", "leader")).select("bucket").distinct()
+    rest = met.join(undecided, "bucket", "left_semi").select(F.explode(F.array("doc", "leader")).alias("id")).distinct()
+    rest = hashes.join(rest, "id", "left_semi").distinct().join(of("id", "label"), "id", "left")
+    rest = written(rest.withColumn("label", F.coalesce("label", "id")), f"{folder}/rest")
+    for name in ("leaders", "met", "first-pairs"):
+        remove(spark, f"{folder}/{name}")
+    more = _verified(_candidates(rest, folder), rest, f"{folder}/second")
+    labels = components(links.unionByName(more), f"{folder}/components", "doc", "leader")
+    whole = texts.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("print", F.coalesce("label", "id").alias("class_id"))
     whole = written(whole, f"{folder}/classes")
     return made.select("id", "print").join(whole, "print", "left").select(
         F.col("id").alias(id_col),
