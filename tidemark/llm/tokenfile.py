@@ -6,7 +6,7 @@ select how many values of how many bits fill the lower sixty; selector 15 is an
 lower bits number a value kept in full in ``escapes``. Words are decoded by selector, all words of a selector
 at a time, to places given by a running sum of their counts.
 
-``encode_documents`` writes, ``decode_blocks`` reads. Documents are ordered by id, then text;
+``encode_documents`` writes, ``decode_blocks`` reads. Documents are ordered by id, then a hash of the text, then the text;
 a null id sorts first; a null or empty text has the end id alone; repeated rows are all written.
 """
 
@@ -32,6 +32,8 @@ ESCAPE = 15
 BLOCK_IDS = 1 << 17
 #: Chunks whose ids a worker keeps, in each of two generations.
 CACHE = 350_000
+#: Bits of each small value.
+BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 BLOCKS = "shard int, block int, doc_ids array<bigint>, counts array<int>, words binary, escapes binary"
 
 
@@ -41,8 +43,12 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     n = len(values)
     if not n:
         return b"", b""
-    width = np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # bits of each value
-    if values.max() >= 1 << 52:  # beyond what a double holds exactly
+    most = int(values.max())
+    if most < len(BITS):
+        width = BITS[values]
+    elif most < 1 << 52:
+        width = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    else:  # beyond what a double holds exactly
         width = np.zeros(n, dtype=np.uint8)
         for k in range(64):
             width += (values >> np.uint64(k) != 0).astype(np.uint8)
@@ -50,16 +56,14 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     selector = np.where(width > 60, ESCAPE, 14).astype(np.uint64)
     done = width > 60
     for k, (count, bits) in enumerate(PACKS[:-1], 1):
-        if count > n:
+        # Where so many narrow values follow each other: the last of them is as far off as their number says.
+        narrow = np.flatnonzero(width <= bits)
+        if len(narrow) < count:
             continue
-        wide = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(width > bits, out=wide[1:])
-        fits = np.zeros(n, dtype=bool)
-        fits[: n - count + 1] = wide[count:] == wide[: n - count + 1]
-        fits &= ~done
-        if fits.any():
-            step[fits], selector[fits] = count, k
-            done |= fits
+        fits = narrow[: len(narrow) - count + 1]
+        fits = fits[narrow[count - 1 :] - fits == count - 1]
+        fits = fits[~done[fits]]
+        step[fits], selector[fits], done[fits] = count, k, True
     following = (np.arange(n) + step).tolist()
     starts, i = [], 0
     while i < n:
@@ -118,47 +122,59 @@ class WordTokenizer:
         self.library = Tokenizer.from_str(content.decode())
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes_as = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(33, 256) if chr(c).isprintable()}
-        self.merges = self.library.model.tokenize
-        self.ids: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
-
-    def _word(self, word: str) -> bytes:
-        if len(self.words) > 2 * CACHE:
-            self.words.clear()
-            self.words[""] = b""
-        packed = self.words[word] = array("I", [t.id for t in self.merges(word.translate(self.bytes_as))]).tobytes()
-        return packed
+        self.words = _Words(self)
+        self.chunks = _Chunks(self)
+
+    def word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.library.model.tokenize(word.translate(self.bytes_as))]).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        m = PLAIN.fullmatch(chunk) if len(chunk) <= 64 else None
+        if m is None:
+            return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
+        letters, signs = m.groups()
+        words = self.words
+        return words[letters.lower()] + words[signs] if signs else words[letters.lower()]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        needed = set().union(*split)
-        new = needed.difference(self.ids)
-        if len(self.ids) + len(new) > CACHE:
-            self.older, self.ids = self.ids, {"": b""}
-            new = needed
-        ids, older, known, plain, asked = self.ids, self.older.get, self.words.get, PLAIN.fullmatch, []
-        for chunk in new:
-            packed = older(chunk)
-            if packed is None:
-                m = plain(chunk)
-                if m is None or len(chunk) > 64:
-                    asked.append(chunk)
-                    continue
-                letters, signs = m.groups()
-                letters = letters.lower()
-                packed = known(letters)
-                if packed is None:
-                    packed = self._word(letters)
-                if signs:
-                    more = known(signs)
-                    packed += self._word(signs) if more is None else more
-            ids[chunk] = packed
-        if asked:
-            for chunk, got in zip(asked, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-                ids[chunk] = array("I", got.ids).tobytes()
-        return [b"".join(map(ids.__getitem__, chunks)) for chunks in split]
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+class _Words(dict):
+    """Ids by word, asked for once; all are forgotten when there are too many."""
+
+    def __init__(self, tokenizer: WordTokenizer):
+        self.ask = tokenizer.word
+        self[""] = b""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= 2 * CACHE:
+            self.clear()
+            self[""] = b""
+        packed = self[word] = self.ask(word)
+        return packed
+
+
+class _Chunks(dict):
+    """Ids by chunk in two generations; a full one replaces the older."""
+
+    def __init__(self, tokenizer: WordTokenizer):
+        self.ask, self.older = tokenizer.chunk, {}
+        self[""] = b""
+
+    def __missing__(self, chunk: str) -> bytes:
+        packed = self.older.get(chunk)
+        if packed is None:
+            packed = self.ask(chunk)
+        if len(chunk) <= 64:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+                self[""] = b""
+            self[chunk] = packed
+        return packed
 
 
 @lru_cache(maxsize=1)
@@ -166,26 +182,14 @@ def _tokenizer(content: bytes) -> WordTokenizer:
     return WordTokenizer(content)
 
 
-def _groups(texts: list[str], chars: int = 400_000) -> Iterator[list[str]]:
-    """Neighbouring texts, in groups of about so many characters."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def encode_documents(
     docs: DataFrame, vocabulary: str, end_id: int, path: str, id_col: str = "doc_id", text_col: str = "text",
     shards: int | None = None,
 ) -> None:
     """Write the ids of every document, each followed by ``end_id``, as blocks in ascending order of ids to ``path``.
 
-    Shards are ranges of ids, so the order holds across them; only ids are sampled for their bounds.
+    Shards are ranges of ids and, where many rows share one, of a hash of the text, so the order holds across them; only these
+    two numbers are sampled for the bounds.
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
@@ -210,14 +214,13 @@ def encode_documents(
             ], names=["shard", "block", "doc_ids", "counts", "words", "escapes"])
 
         for batch in batches:
-            done = 0
             doc_ids = batch.column(0).to_pylist()
-            for group in _groups([t or "" for t in batch.column(1).to_pylist()]):
-                for packed in encode(group):
-                    ids.append(doc_ids[done])
+            for low in range(0, len(doc_ids), 256):
+                texts = [t or "" for t in batch.column(1).slice(low, 256).to_pylist()]
+                for doc_id, packed in zip(doc_ids[low : low + 256], encode(texts), strict=True):
+                    ids.append(doc_id)
                     parts.append(packed + end)
                     size += len(packed) // 4 + 1
-                    done += 1
                     if size >= BLOCK_IDS:
                         yield closed()
                         block, ids, parts, size = block + 1, [], [], 0
@@ -226,10 +229,11 @@ def encode_documents(
 
     sorted_ = (
         docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("said"))
-        .repartitionByRange(shards, "id")
-        .sortWithinPartitions("id", "said")
+        .withColumn("mixed", F.xxhash64("said"))
+        .repartitionByRange(shards, "id", "mixed")
+        .sortWithinPartitions("id", "mixed", "said")
     )
-    sorted_.mapInArrow(run, BLOCKS).write.parquet(path)
+    sorted_.select("id", "said").mapInArrow(run, BLOCKS).write.parquet(path)
 
 
 def decode_blocks(blocks: DataFrame) -> DataFrame:
