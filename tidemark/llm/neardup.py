@@ -7,9 +7,9 @@ and not just for shared words. Two texts with an equal sketch are candidates. A
 is verified by a banded alignment of the two sequences of runs: with L aligned runs of n and m, they are near
 duplicates if L / (n + m - L) is at least ``SIMILARITY``.
 
-Within a bucket of equal sketches the shortest text is compared with every other one first: where texts
-meet by a passage that they share and little else, the one with the least besides is nearest to each. If
-that leaves a bucket with texts of several classes, all its texts, those linked to the leader too, go to an exact join:
+Within a bucket of equal sketches every other text is compared with the most central one, that which meets most texts over all
+its buckets: of a family of near copies this is the one from which the others are made, so that most links are found with few pairs. If
+that leaves a bucket with texts of several classes, all its texts go to an exact join:
 a pair that can reach the similarity has a labelled run in common among the rarest runs of both, as many as its lengths let differ.
 Each pair of different classes that has is verified, so that no pair of a bucket is left undecided. A class
 is a connected component of verified links.
@@ -340,16 +340,22 @@ def classes(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
     hashes = made.where("n_runs > 0").select("id", "hashes")
 
     members = texts.where("n_runs > 0").select(F.col("id").alias("doc"), "n_runs", F.explode("sketches").alias("bucket"))
-    leaders = members.groupBy("bucket").agg(F.min(F.struct("n_runs", "doc")).alias("x"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    leaders = leaders.where("low <> high").select("bucket", F.col("x.doc").alias("leader"), F.col("x.n_runs").alias("leader_runs"))
-    leaders = written(leaders, f"{folder}/leaders")
-    met = written(members.join(leaders, "bucket").where("doc <> leader"), f"{folder}/met")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # Most texts meet none; all that follows is over those that do.
+    shared = written(members.join(sizes, "bucket"), f"{folder}/shared")
+    central = shared.groupBy("doc").agg(F.sum("n").alias("meets"))
+    leaders = shared.join(central, "doc").groupBy("bucket").agg(F.max(F.struct("meets", -F.col("n_runs"), -F.col("doc"))).alias("x"))
+    leaders = leaders.select("bucket", (-F.col("x.col3")).alias("leader"), (-F.col("x.col2")).alias("leader_runs"))
+    met = written(shared.select("bucket", "doc", "n_runs").join(leaders, "bucket").where("doc <> leader"), f"{folder}/met")
+    remove(spark, f"{folder}/shared")
     p, q = SIMILARITY
     near = q * F.least("n_runs", "leader_runs") >= p * F.greatest("n_runs", "leader_runs")
     pairs = written(met.where(near).select("doc", "leader").distinct(), f"{folder}/first-pairs")
     # All that may still be compared; the whole table of hashes is shuffled this once.
     needed = met.select(F.explode(F.array("doc", "leader")).alias("id")).distinct()
     hashes = written(hashes.join(needed, "id", "left_semi"), f"{folder}/hashes")
+    made = written(made.select("id", "print"), f"{folder}/ids")
+    remove(spark, f"{folder}/prints")
     links = _verified(pairs, hashes, f"{folder}/first")
     labels = written(components(links, f"{folder}/first-components", "doc", "leader"), f"{folder}/first-labels")
     of = lambda c, name: labels.select(F.col("node").alias(c), F.col("label").alias(name))
@@ -358,12 +364,20 @@ def classes(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
     rest = met.join(undecided, "bucket", "left_semi").select(F.explode(F.array("doc", "leader")).alias("id")).distinct()
     rest = hashes.join(rest, "id", "left_semi").distinct().join(of("id", "label"), "id", "left")
     rest = written(rest.withColumn("label", F.coalesce("label", "id")), f"{folder}/rest")
-    for name in ("leaders", "met", "first-pairs"):
+    for name in ("met", "first-pairs", "hashes"):
         remove(spark, f"{folder}/{name}")
     more = _verified(_candidates(rest, folder), rest, f"{folder}/second")
-    labels = components(links.unionByName(more), f"{folder}/components", "doc", "leader")
-    whole = texts.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("print", F.coalesce("label", "id").alias("class_id"))
+    for name in ("rest", "pairs", "first-components"):
+        remove(spark, f"{folder}/{name}")
+    # The links found last join whole classes of the first labels.
+    ends = more.join(of("doc", "of_doc"), "doc", "left").join(of("leader", "of_leader"), "leader", "left")
+    ends = ends.select(F.coalesce("of_doc", "doc").alias("a"), F.coalesce("of_leader", "leader").alias("b"))
+    joined = components(ends, f"{folder}/components", "a", "b").select(F.col("node").alias("found"), F.col("label").alias("final"))
+    found = texts.select("id", "print").join(of("id", "found"), "id", "left").withColumn("found", F.coalesce("found", "id"))
+    whole = found.join(joined, "found", "left").select("print", F.coalesce("final", "found").alias("class_id"))
     whole = written(whole, f"{folder}/classes")
+    for name in ("texts", "first", "first-labels", "second", "components"):
+        remove(spark, f"{folder}/{name}")
     return made.select("id", "print").join(whole, "print", "left").select(
         F.col("id").alias(id_col),
         F.coalesce("class_id", "id").alias("class_id"),

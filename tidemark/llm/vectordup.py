@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import add_columns, written
-from tidemark.llm.components import components
+from tidemark.llm.components import components, reached
 
 TILE = 1024
 THRESHOLD = 0.98
@@ -58,19 +58,6 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> tuple[
     return i[sure], j[sure]
 
 
-def reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of ``n`` nodes the least node that it reaches over the links."""
-    least = np.arange(n)
-    while True:
-        new = least.copy()
-        np.minimum.at(new, i, least[j])
-        np.minimum.at(new, j, least[i])
-        new = new[new]
-        if (new == least).all():
-            return least
-        least = new
-
-
 def tile_links(vecs: list[np.ndarray], weights: list[np.ndarray], values: list[np.ndarray], threshold: float):
     """Links of one tile pair, or within one tile: (vec, number of linked rows, least vec reached) of each vec that has any."""
     if len(values) == 1:
