@@ -3,8 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the table is written as Parquet and
 read again. All but the last return the columns of ``documents`` (and any further ones that the table has).
 
-Defined cases: rows that share an id stay or go together, and one of them stays where a group keeps one
-document; null texts are kept, as nothing speaks against them; a table without rows passes through.
+Defined cases: rows that share an id are one document, of which the row with the least text stays; null texts are kept, as nothing speaks against them; a table without rows passes through.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, neardup, quality, secrets
-from tidemark.llm.common import shared_dir, table, written
+from tidemark.llm.common import remove, shared_dir, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +26,38 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.select(*[F.col(c if c in fed else f"__{c}").alias(c) for c in order])
 
 
+#: Classes of ids by hash; those in which some document goes are broadcast: at most so many numbers, however large the corpus.
+SLOTS = 1 << 20
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each near-duplicate class."""
+    """Keep the document with the least id of each near-duplicate class; of rows that share an id the one with the least text.
+
+    A row in a slot of ids in which none goes stays where it is; only the others are shuffled to be compared with the ids that go.
+    """
     folder = shared_dir(spark)
     found = written(neardup.classes(docs, folder), f"{folder}/found")
     ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    ids = written(ids, f"{folder}/ids")
-    # Those that go are fewer than those that stay; rows without an id stay.
-    kept = docs.join(ids.where("NOT kept").select("doc_id"), "doc_id", "left_anti")
-    if not ids.where("kept AND n > 1").isEmpty():  # rows that share an id are one document
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    # Of each id: whether it goes, or stays but has several rows. Rows without an id stay.
+    ids = written(ids.where("NOT kept OR n > 1"), f"{folder}/odd-ids")
+    remove(spark, f"{folder}/found")
+    slot = lambda: F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS))
+    slots = F.broadcast(ids.select(slot().alias("slot")).distinct())
+    order = docs.columns
+    at = "slot_" + "_".join(order)  # the name of no other column
+    placed = docs.withColumn(at, F.coalesce(slot(), F.lit(-1)))
+    near = placed[at] == slots["slot"]
+    still = placed.join(slots, near, "left_anti").select(*[f"`{c}`" for c in order])
+    rest = placed.join(slots, near, "left_semi").select(*[f"`{c}`" for c in order])
+    kept = still.unionByName(rest.join(ids.select("doc_id"), "doc_id", "left_anti").select(*[f"`{c}`" for c in order]))
+    several = ids.where("kept").select("doc_id")
+    if several.isEmpty():
+        return kept
+    # One row each, summed up before the shuffle however many rows share an id.
+    least = rest.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min_by(F.struct(*[f"`{c}`" for c in order]), F.struct(F.col("text").isNull(), F.col("text"), F.xxhash64(*[f"`{c}`" for c in order]))).alias("row")
+    )
+    return kept.unionByName(least.select(*[F.col("row")[c].alias(c) for c in order]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +71,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts by a mark; no document goes. ``n_chars`` follows where a text changed."""
     order = docs.columns
-    cleaned = secrets.redact(docs.withColumn("__before", F.length("text")))
-    changed = F.col("__before") != F.length("text")
-    sized = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
+    at = "length_" + "_".join(order)  # the name of no other column
+    cleaned = secrets.redact(docs.withColumn(at, F.length("text")))
+    sized = F.when(F.col(at) != F.length("text"), F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
     return cleaned.withColumn("n_chars", sized).select(*[f"`{c}`" for c in order])
 
 
