@@ -2,18 +2,20 @@
 
 The field scores whole segments of up to ``LONGEST`` tokens: how many digits, in which groups, between
 which signs, whether a checksum or an address holds, which word stands before. Dynamic programming over
-segments of bounded length chooses boundaries and types together. Segments can only be entities if they hold an ``@`` or
-seven digits without other letters between, so the chain falls apart between such regions; deciding each region alone
+segments of bounded length chooses boundaries and types together. Segments can only be entities if they hold an ``@``, or
+seven to ``MOST_DIGITS`` digits without other letters between, so the chain falls apart between such regions; deciding each region alone
 is the same as deciding the whole text.
 
 The field is fitted here, on sentences written out from the patterns below. Base spans always stay; of the field's
-segments those are added that overlap no base span. A null or empty text has no spans.
+segments those are added that overlap no base span. A null or empty text has no spans. Rows are judged one by one, so repeated
+rows have equal spans; of covers with equal scores the one with fewer and later segments is taken.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +28,8 @@ from tidemark.llm.common import add_columns
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16
+#: More digits than any entity has; longer segments are none.
+MOST_DIGITS = 24
 SPANS = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
     T.StructField("base", T.BooleanType()),
@@ -33,7 +37,8 @@ SPANS = T.ArrayType(T.StructType([
 
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A match can only start where a run of digits does, and takes whole runs, so no digit is looked at twice.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -53,8 +58,10 @@ def luhn(digits: str) -> bool:
 
 
 def octets(text: str) -> bool:
-    parts = text.split(".")
-    return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+    parts = text.split(".", 4)
+    if len(parts) != 4 or not all(p.isascii() and p.isdigit() for p in parts):
+        return False
+    return all(len(value := p.lstrip("0")) <= 3 and int(value or "0") <= 255 for p in parts)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -141,60 +148,69 @@ def segment_features(segment: str, before: str, tokens: int, open_left: bool, op
     return [PLACE[name] for name in on + (cues or ["no_cue"])]
 
 
+BLANK = re.compile(r"\s")
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Where entities can be: about each @, up to white space, and runs of digits and their signs with at least seven digits."""
+    """Where entities can be: what stands about each @ up to white space, and runs of seven digits at least and their signs.
+
+    Regions that overlap are one region.
+    """
     found = []
     at, done = text.find("@"), 0
     while at >= 0:
-        low, high = at, at + 1
-        while low > done and not text[low - 1].isspace() and at - low < 128:
+        low = at
+        while low > done and not text[low - 1].isspace():
             low -= 1
-        while high < len(text) and not text[high].isspace() and high - at < 256:
-            high += 1
-        found.append((low, high))
-        done = high
-        at = text.find("@", high)
-    mails = iter(found + [(len(text), len(text))])
-    near = next(mails)
-    numbers = []
-    for m in REGION.finditer(text):
-        if m.end() - m.start() < 7:
-            continue
-        while near[1] <= m.start():
-            near = next(mails, (len(text), len(text)))
-            if near[0] == len(text):
-                break
-        if near[0] < m.end() and m.start() < near[1]:
-            continue
-        if len(digits_of(m[0])) >= 7:
-            numbers.append((m.start(), m.end()))
-    return sorted(found + numbers)
+        blank = BLANK.search(text, at)
+        done = blank.start() if blank else len(text)
+        found.append((low, done))
+        at = text.find("@", done)
+    found += [(m.start(), m.end()) for m in REGION.finditer(text) if m.end() - m.start() >= 7 and len(digits_of(m[0])) >= 7]
+    merged: list[tuple[int, int]] = []
+    for low, high in sorted(found):
+        if merged and low < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+        else:
+            merged.append((low, high))
+    return merged
 
 
 def candidates(text: str, low: int, high: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
     """Tokens of a region, and (first token, last token, features) of each segment that can be an entity."""
     tokens = [(m.start(), m.end()) for m in TOKENS.finditer(text, low, high)]
-    before = CUE.search(text, max(0, low - 24), low)
-    cue = before[1] if before else ""
+    digits, groups, ats, letters = [0], [0], [0], [0]  # before each token
+    for start, end in tokens:
+        first = text[start]
+        number = "0" <= first <= "9"
+        digits.append(digits[-1] + (end - start if number else 0))
+        groups.append(groups[-1] + number)
+        ats.append(ats[-1] + (first == "@"))
+        letters.append(letters[-1] + first.isalpha())
     made = []
     for i, (start, _) in enumerate(tokens):
-        if not (text[start].isalnum() or text[start] in "+("):
+        most = min(len(tokens), i + LONGEST)
+        if ats[most] == ats[i] and digits[most] - digits[i] < 7 or not (text[start].isalnum() or text[start] in "+("):
             continue
-        for j in range(i, min(len(tokens), i + LONGEST)):
+        cue = None
+        for j in range(i, most):
             end = tokens[j][1]
             if j > i and tokens[j][0] - tokens[j - 1][1] > 1:
                 break
-            if not text[end - 1].isalnum():
-                continue
-            segment = text[start:end]
-            if "@" not in segment:
-                if len(segment) < 7 or len(digits_of(segment)) < 7:
-                    continue
-            elif " " in segment:
+            mail, n = ats[j + 1] > ats[i], digits[j + 1] - digits[i]
+            if n > MOST_DIGITS and not mail or mail and end - start > j - i + 1 and " " in text[start:end]:
                 break
+            if ats[j + 1] - ats[i] > 1 or not text[end - 1].isalnum():
+                continue
+            # A number has no letters, and its groups have one and a half digits on average at least.
+            if not mail and (n < 7 or letters[j + 1] > letters[i] or 2 * n < 3 * (groups[j + 1] - groups[i])):
+                continue
+            if cue is None:
+                before = CUE.search(text, max(0, start - 24), start)
+                cue = before[1] if before else ""
             left = start > 0 and (text[start - 1].isalnum() or text[start - 1] in "+-." and start > 1 and text[start - 2].isalnum())
             right = end < len(text) and (text[end].isalnum() or text[end] in "-.@" and end + 1 < len(text) and text[end + 1].isalnum())
-            made.append((i, j, segment_features(segment, cue, j - i + 1, left, right)))
+            made.append((i, j, segment_features(text[start:end], cue, j - i + 1, left, right)))
     return tokens, made
 
 
@@ -312,11 +328,23 @@ def spans(text: str, weights: np.ndarray) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, whether base), by kind as listed, then start."""
     base = base_spans(text)
     found = [(kind, s, e, True) for kind, s, e in base]
+    taken = sorted(((s, e) for _, s, e in base), reverse=True)
     for low, high in regions(text):
-        inside = [(s, e) for _, s, e in base if s < high and low < e]
+        while taken and taken[-1][1] <= low:  # base spans in descending order; those behind are done with
+            taken.pop()
+        starts, ends = [], []  # of the base spans from here on, united
+        k = len(taken) - 1
+        while k >= 0 and taken[k][0] < high:
+            s, e = taken[k]
+            if ends and s < ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                starts.append(s)
+                ends.append(e)
+            k -= 1
         tokens, made = candidates(text, low, high)
         # Base spans stay, so only segments clear of them compete.
-        made = [m for m in made if all(tokens[m[1]][1] <= s or e <= tokens[m[0]][0] for s, e in inside)]
+        made = [m for m in made if not starts or (at := bisect_left(starts, tokens[m[1]][1])) == 0 or ends[at - 1] <= tokens[m[0]][0]]
         if made:
             found += [(KINDS[kind], tokens[i][0], tokens[j][1], False) for i, j, kind in decode(len(tokens), made, weights)]
     return sorted(found, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
