@@ -3,10 +3,14 @@
 A page is cut into flat blocks of text at block-level tags. Each block is described by its own word count and
 link density, those of its neighbours, and what encloses it: whether an article or main element, and whether an element
 that by its name or class holds navigation, notices, adverts, forms or reader comments. A decision tree,
-grown by Gini impurity from the small labelled table below, tells main text from the rest.
+grown by Gini impurity from the small labelled table below, tells main text from the rest. On pages without such elements
+words and links of a block and of its neighbours decide; within an article too, a run of mere links is none of it.
+
+An element around the article is no menu or form, whatever its class says, and neither are ``html`` and ``body``.
 
 A null or empty page has an empty text. Character references are decoded once, white space within a block becomes
-one space, and the blocks of the main text are joined in page order by one space.
+one space, and the blocks of the main text are joined in page order by one space. Pages are judged one by one, so repeated rows
+have equal texts; a leaf of the tree with as many rows of either label is main text.
 """
 
 from __future__ import annotations
@@ -39,31 +43,58 @@ MARKS = frozenset(
     " share sharing social related recommended newsletter subscribe subscription signup login search widget pagination pager toolbar copyright"
     " contentinfo complementary".split()
 )
+#: Of these, the words of elements that may hold articles of their own, which are not the page's.
+SIDE = frozenset(
+    "ad ads advert adverts advertisement adverts sponsor sponsored promo promotion sidebar comment comments reply replies disqus related recommended"
+    " share sharing social newsletter".split()
+)
+#: Words of class names that tell the state of an element and not what it holds.
+STATES = frozenset("has no is with without show hide open opened closed enabled disabled active expanded collapsed fixed sticky toggle".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements of running text; only words of SIDE mark them.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption".split())
+#: Elements that end an open one of the same name.
+SAME = frozenset("li dt dd td th tr option".split())
+#: A form with more words than this is one around the page.
+FORM_WORDS = 100
+_ATTRIBUTES = r"((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(UNSEEN) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<svg\b[^<>]*/>|<(" + "|".join(UNSEEN) + r")\b" + _ATTRIBUTES.replace("((?:", "(?:(?:", 1) + r".*?(?:</\1\s*>|\Z)"
+    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)" + _ATTRIBUTES,
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "article", "apart")
 #: The labelled table: values of FEATURES, then 1 for main text.
 LABELLED = (
+    # Blocks of an article.
     (120, 0.0, 40, 0.0, 80, 0.0, 1, 0, 1), (35, 0.0, 9, 0.0, 60, 0.0, 1, 0, 1), (9, 0.0, 8, 0.0, 35, 0.0, 1, 0, 1),
     (1, 0.0, 60, 0.0, 40, 0.0, 1, 0, 1), (2, 0.0, 8, 0.0, 3, 0.0, 1, 0, 1), (3, 0.0, 2, 0.0, 12, 0.0, 1, 0, 1),
     (60, 0.2, 30, 0.0, 45, 0.1, 1, 0, 1), (4, 1.0, 50, 0.0, 70, 0.0, 1, 0, 1), (14, 0.6, 22, 0.1, 18, 0.0, 1, 0, 1),
     (300, 0.0, 1, 0.0, 12, 0.0, 1, 0, 1), (8, 0.0, 8, 0.0, 12, 0.0, 1, 0, 1), (25, 0.0, 3, 0.0, 10, 0.1, 1, 0, 1),
     (43, 0.0, 58, 0.0, 2, 0.0, 1, 0, 1), (10, 0.0, 1, 1.0, 30, 0.0, 1, 0, 1), (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 1),
-    (7, 0.9, 5, 0.9, 6, 0.9, 1, 0, 1), (3, 1.0, 2, 1.0, 1, 1.0, 1, 0, 1), (11, 0.0, 3, 1.0, 2, 1.0, 1, 0, 1),
-    (2, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1), (64, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1), (5, 0.5, 12, 0.6, 1, 1.0, 1, 0, 1),
+    (11, 0.0, 3, 1.0, 2, 1.0, 1, 0, 1), (2, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1), (64, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1), (5, 0.5, 12, 0.6, 1, 1.0, 1, 0, 1),
+    (3, 1.0, 30, 0.0, 12, 0.0, 1, 0, 1), (6, 1.0, 9, 0.0, 20, 0.0, 1, 0, 1), (2, 1.0, 40, 0.0, 9, 0.0, 1, 0, 1), (5, 1.0, 12, 0.1, 0, 0.0, 1, 0, 1),
+    (4, 1.0, 3, 1.0, 25, 0.0, 1, 0, 1), (2, 1.0, 25, 0.0, 3, 1.0, 1, 0, 1),
+    # Runs of links within an article.
+    (3, 1.0, 2, 1.0, 1, 1.0, 1, 0, 0), (2, 1.0, 4, 1.0, 3, 1.0, 1, 0, 0), (6, 1.0, 5, 1.0, 7, 1.0, 1, 0, 0),
+    # Blocks of elements that stand apart.
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0),
     (8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0), (12, 0.0, 2, 1.0, 7, 0.0, 0, 1, 0), (45, 0.0, 3, 1.0, 60, 0.0, 0, 1, 0),
     (10, 0.0, 70, 0.0, 0, 0.0, 0, 1, 0), (17, 0.1, 25, 0.0, 0, 0.0, 0, 1, 0), (6, 0.5, 120, 0.0, 2, 1.0, 0, 1, 0),
     (30, 0.0, 25, 0.0, 40, 0.0, 1, 1, 0), (5, 0.0, 60, 0.0, 22, 0.0, 1, 1, 0), (70, 0.0, 50, 0.0, 80, 0.0, 1, 1, 0),
+    # Pages without such elements: long blocks, and short ones beside long ones.
     (150, 0.0, 12, 0.0, 90, 0.0, 0, 0, 1), (40, 0.0, 150, 0.0, 60, 0.0, 0, 0, 1), (25, 0.1, 90, 0.0, 10, 0.2, 0, 0, 1),
     (18, 0.0, 30, 0.0, 45, 0.1, 0, 0, 1), (16, 0.2, 60, 0.0, 3, 1.0, 0, 0, 1), (80, 0.0, 2, 1.0, 2, 1.0, 0, 0, 1),
+    (4, 0.0, 60, 0.0, 80, 0.0, 0, 0, 1), (2, 0.0, 45, 0.0, 120, 0.0, 0, 0, 1), (9, 0.0, 3, 1.0, 40, 0.0, 0, 0, 1),
+    (6, 0.0, 1, 1.0, 150, 0.0, 0, 0, 1), (3, 0.0, 70, 0.0, 25, 0.1, 0, 0, 1), (11, 0.1, 30, 0.0, 28, 0.0, 0, 0, 1),
+    (7, 0.0, 5, 0.0, 40, 0.0, 0, 0, 1), (10, 0.0, 9, 0.0, 8, 0.0, 0, 0, 1), (5, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
+    (30, 0.4, 50, 0.1, 60, 0.0, 0, 0, 1), (8, 0.2, 40, 0.1, 35, 0.0, 0, 0, 1), (3, 0.0, 4, 0.0, 5, 0.0, 0, 0, 1),
+    # And what surrounds it there: menus, lists of links, captions of menus, lines between them.
     (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (1, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0), (6, 0.9, 4, 1.0, 20, 0.0, 0, 0, 0),
     (20, 0.8, 15, 0.9, 25, 0.7, 0, 0, 0), (4, 0.0, 3, 1.0, 5, 0.9, 0, 0, 0), (7, 0.6, 40, 0.0, 2, 1.0, 0, 0, 0),
+    (2, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0), (2, 1.0, 2, 1.0, 9, 0.0, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0),
+    (9, 0.0, 5, 1.0, 4, 1.0, 0, 0, 0), (3, 0.7, 90, 0.0, 0, 0.0, 0, 0, 0), (12, 0.7, 80, 0.0, 2, 1.0, 0, 0, 0), (2, 0.0, 3, 1.0, 1, 1.0, 0, 0, 0),
 )
 
 
@@ -99,15 +130,24 @@ def is_main(features: tuple[float, ...], node) -> bool:
     return bool(node)
 
 
-def _marked(attributes: str) -> bool:
-    return any(MARKS.intersection(re.split(r"[^a-z0-9]+", "".join(m).lower())) for m in NAMED.findall(attributes))
+def _marks(attributes: str) -> frozenset[str] | set[str]:
+    """The words of MARKS in the classes, id and role of an element; names with a word of STATES don't count."""
+    found: set[str] = set()
+    for m in NAMED.findall(attributes):
+        for name in "".join(m).lower().split():
+            said = re.split(r"[^a-z0-9]+", name)
+            if not STATES.intersection(said):
+                found |= MARKS.intersection(said)
+    return found
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """(text, words, words in links, within an article, within something apart) of each flat block that has text."""
-    found: list[tuple[str, int, int, int, int]] = []
+    found: list[list] = []
     said: list[str] = []
-    open_: list[tuple[str, int, int]] = []  # name, whether an article, whether apart, of open block-level elements
+    # Open block-level elements: name, whether an article, whether apart, whether that holds around an article, first block, whether around one.
+    open_: list[list] = []
+    counts: dict[str, int] = {}
     links = article = apart = 0
     linked: list[str] = []
 
@@ -115,7 +155,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         nonlocal said, linked
         text = " ".join("".join(said).split())
         if text:
-            found.append((text, text.count(" ") + 1, len("".join(linked).split()), int(article > 0), int(apart > 0)))
+            found.append([text, text.count(" ") + 1, len("".join(linked).split()), int(article > 0), int(apart > 0)])
         said, linked = [], []
 
     def take(data: str) -> None:
@@ -124,6 +164,17 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if links:
             linked.append(data)
 
+    def leave() -> str:
+        nonlocal article, apart
+        name, was_article, was_apart, _, first, around = open_.pop()
+        counts[name] -= 1
+        article -= was_article
+        apart -= was_apart
+        if name == "form" and not around and sum(b[1] for b in found[first:] if not b[4]) <= FORM_WORDS:
+            for b in found[first:]:
+                b[4] = 1
+        return name
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -131,8 +182,6 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         at = m.end()
         name = m[3]
         if name is None:
-            if m[1] is not None:
-                said.append("")
             continue
         name = name.lower()
         if name in INLINE:
@@ -147,25 +196,35 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if name in VOID:
             continue
         if not m[2]:
-            is_article = int(name in ARTICLE)
+            while open_ and (open_[-1][0] == "p" or open_[-1][0] == name in SAME):
+                leave()
+            marks = _marks(m[4]) if m[4] and name not in ("html", "body") else frozenset()
+            side = bool(SIDE.intersection(marks))
+            is_article = int(name in ARTICLE and not side)
             # A header within an article holds its heading, and is main text unless it is marked.
-            is_apart = int((name in APART and not (name == "header" and article)) or (m[4] != "" and not is_article and _marked(m[4])))
+            by_name = name in APART and name != "form" and not (name == "header" and article)
+            is_apart = int(by_name or side or bool(marks) and not is_article and name not in RUNNING)
+            if is_article:
+                for o in open_:  # what stands around the article is no menu or form
+                    if o[2] and not o[3]:
+                        apart -= 1
+                        o[2] = 0
+                    o[5] = 1
             if not m[4].endswith("/"):
-                open_.append((name, is_article, is_apart))
+                open_.append([name, is_article, is_apart, by_name or side, len(found), 0])
+                counts[name] = counts.get(name, 0) + 1
                 article += is_article
                 apart += is_apart
-        elif any(o[0] == name for o in open_):
+        elif counts.get(name):
             links = 0
-            while open_:
-                gone, was_article, was_apart = open_.pop()
-                article -= was_article
-                apart -= was_apart
-                if gone == name:
-                    break
+            while leave() != name:
+                pass
     if at < len(page):
         take(page[at:])
     close()
-    return found
+    while open_:
+        leave()
+    return [tuple(b) for b in found]
 
 
 def main_text(page: str | None) -> str:
