@@ -35,8 +35,8 @@ _BY_LENGTH = sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))
 URL_FILTER = f"""WITH u AS (SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS said, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
  p AS (SELECT page_id, said, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
  h AS (SELECT page_id, said, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM p),
- j AS (SELECT *, CASE {' '.join(f"WHEN {_fits(a, b)} THEN '{a + b}'" for a, b, _ in _BY_LENGTH)} END AS rule, {' + '.join(map(_has, urls.STRICT))} AS hard, {' + '.join(map(_has, urls.SOFT))} AS weak FROM h)
- SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{a + b}' THEN '{v}'" for a, b, v in urls.RULES)} WHEN hard > 0 OR weak >= {urls.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict FROM j"""
+ j AS (SELECT *, CASE {' '.join(f"WHEN {_fits(a, b)} THEN '{a + b}'" for a, b, _ in _BY_LENGTH)} END AS rule, {' + '.join(f'{w} * {_has(t)}' for t, w in urls.read_terms())} AS weight FROM h)
+ SELECT page_id, host, path, rule, CASE {' '.join(f"WHEN rule = '{a + b}' THEN '{v}'" for a, b, v in urls.RULES)} WHEN weight >= {urls.LIMIT} THEN 'block' ELSE 'allow' END AS verdict FROM j"""
 
 EMBEDDING_DUPLICATES = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0),
  l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
