@@ -11,7 +11,7 @@ A task returns, for each vector with links, how many it has in this tile pair an
 in it: rows grow with vectors, not with links, also where thousands of vectors are all alike.
 
 Defined cases: a null label, a null, empty or zero vector, or one with a null or non-finite component links with nothing;
-vectors of unequal length don't link. Rows that repeat an id and vector count as further copies.
+vectors of unequal length don't link; a row with a null id links with nothing and is its own class, without an id. Rows that repeat an id and vector count as further copies.
 """
 
 from __future__ import annotations
@@ -163,7 +163,8 @@ def classes(
         .select("label", "print", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("reached", "vec").alias("component_id")),
         f"{folder}/whole",
     )
-    return rows.select("vec", "label", "print").join(whole, ["label", "print"], "left").select(
+    ends = rows.select("vec", "label", F.expr("CASE WHEN vec IS NOT NULL THEN print END").alias("print"))
+    return ends.join(whole, ["label", "print"], "left").select(
         F.col("vec").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec").alias("component_id"),
