@@ -18,11 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (tests, a laptop) a folder in /tmp is used instead.
+    Where that setting is absent, as in tests, it lies in the warehouse, which they share too; never in a folder of one machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file:///tmp/tidemark-shared"
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-tables"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

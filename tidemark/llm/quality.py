@@ -2,12 +2,14 @@
 
 One view sees the text: how often each class of byte follows each other one, how words repeat, how long
 they are. The other sees metadata: source, language, stated length. Each is a logistic model. Over
-``ROUNDS`` rounds, each view labels the unlabelled documents that it is sure of, and these join the training rows
-of the other view. Both are then calibrated on labelled rows held back from training, and a last small logistic
+``ROUNDS`` rounds, each view labels the documents of the whole corpus that it is sure of, and these join the training rows
+of the other view. Both are calibrated on labelled rows held back from training, and a last small logistic
 model combines the calibrated views. Every document is scored from its whole text.
 
-Fitting takes at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents, those with the least hash of
-their id, whatever the size of the corpus; scoring covers all.
+The labelled rows are a sample of at most ``max_labelled`` documents, those with the least hash of their id. The pseudo-labels come
+from all documents, without a bound: in each round one pass over the corpus' features, written once, sums the gradient of each view
+over the documents that the other is sure of; the sums, a number for each weight, go to the driver, where a Newton step with the
+curvature of the labelled rows follows. Pseudo-labels together weigh as much as the labelled rows at most.
 
 Defined cases: a null text counts as empty; null metadata is a value of its own; a document labelled more than once
 has the majority, a tie being good; without labels of both kinds every document gets the share of good labels as its score
@@ -17,7 +19,7 @@ has the majority, a tie being good; without labels of both kinds every document
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import add_columns, utf8
+from tidemark.llm.common import add_columns, remove, utf8, written
 from tidemark.llm.words import words
 
 MAX_LABELLED = 12_000
-MAX_POOL = 12_000
 ROUNDS = 4
 #: A view is sure of a document from this probability on, for either label.
 SURE = 0.97
@@ -142,34 +143,70 @@ def _logits(*scores: np.ndarray) -> np.ndarray:
     return np.stack([np.log(np.clip(s, 1e-6, 1 - 1e-6) / np.clip(1 - s, 1e-6, 1)) for s in scores], axis=1)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> Model:
-    """Fit on rows whose ``label`` is 0 or 1, with NaN for the pool; rows ``held`` back serve calibration only."""
-    known = ~np.isnan(label)
-    train, back, pool = known & ~held, known & held, ~known
-    if min(len(set(label[train])), len(set(label[back]))) < 2:
+@dataclass
+class View:
+    """One view's labelled rows and its model so far."""
+
+    x: np.ndarray
+    label: np.ndarray
+    back: np.ndarray
+    back_label: np.ndarray
+    model: Logistic
+    scale: Logistic
+
+    @classmethod
+    def fit(cls, x: np.ndarray, label: np.ndarray, held: np.ndarray) -> View:
+        model = fit_logistic(x[~held], label[~held])
+        view = cls(np.hstack([x[~held], np.ones(((~held).sum(), 1))]), label[~held], x[held], label[held], model, model)
+        view.calibrate()
+        return view
+
+    def calibrate(self) -> None:
+        self.scale = fit_logistic(self.model.logit(self.back)[:, None], self.back_label, ridge=1e-3)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.scale(self.model.logit(x)[:, None])
+
+    def step(self, slope: np.ndarray, count: int, ridge: float = RIDGE) -> None:
+        """One Newton step for the labelled rows and ``count`` pseudo-labelled ones, whose gradient is ``slope``."""
+        w = self.model.weights
+        p = 1 / (1 + np.exp(-np.clip(self.x @ w, -35, 35)))
+        share = min(1.0, len(self.label) / max(1, count))
+        penalty = np.full(len(w), ridge)
+        penalty[-1] = 1e-6
+        curve = (self.x * (p * (1 - p) + 1e-9)[:, None]).T @ self.x * (1 + share * count / len(self.label)) + np.diag(penalty)
+        self.model = Logistic(w + np.linalg.solve(curve, self.x.T @ (self.label - p) + share * slope - penalty * w))
+        self.calibrate()
+
+
+def slopes(text: np.ndarray, meta: np.ndarray, views: dict[str, View], sure: float = SURE) -> dict[str, np.ndarray]:
+    """For each view the gradient over the rows that the other is sure of, and last how many these are."""
+    rows = {"text": text, "meta": meta}
+    score = {name: view.score(rows[name]) for name, view in views.items()}
+    out = {}
+    for name, other in (("text", "meta"), ("meta", "text")):
+        new = (score[other] >= sure) | (score[other] <= 1 - sure)
+        x = rows[name][new]
+        miss = np.rint(score[other][new]) - views[name].model(x)
+        out[name] = np.concatenate((x.T @ miss, [miss.sum(), new.sum()]))
+    return out
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, held: np.ndarray, pool, rounds: int = ROUNDS) -> Model:
+    """Fit on labelled rows, of which those ``held`` back serve calibration only.
+
+    ``pool`` takes the views and returns their ``slopes`` over all documents.
+    """
+    if min(len(set(label[~held])), len(set(label[held]))) < 2:
         none = Logistic(np.zeros(1))
-        return Model(none, none, none, none, none, float(label[known].mean()) if known.any() else 1.0)
-    taught = {"text": label.copy(), "meta": label.copy()}
-    views = {"text": text, "meta": meta}
-    models: dict[str, Logistic] = {}
-    scales: dict[str, Logistic] = {}
-    for turn in range(rounds + 1):
-        for view, x in views.items():
-            rows = (train | pool) & ~np.isnan(taught[view])
-            models[view] = fit_logistic(x[rows], taught[view][rows])
-            scales[view] = fit_logistic(models[view].logit(x[back])[:, None], label[back], ridge=1e-3)
-        if turn == rounds or not pool.any():
-            break
-        given = 0
-        for view, other in (("text", "meta"), ("meta", "text")):
-            p = scales[view](models[view].logit(views[view])[:, None])
-            new = pool & np.isnan(taught[other]) & ((p >= sure) | (p <= 1 - sure))
-            taught[other][new] = np.rint(p[new])
-            given += new.sum()
-        if not given:
-            break
-    a, b = (scales[v](models[v].logit(views[v][back])[:, None]) for v in views)
-    return Model(models["text"], models["meta"], scales["text"], scales["meta"], fit_logistic(_logits(a, b), label[back], ridge=1e-2))
+        return Model(none, none, none, none, none, float(label.mean()) if len(label) else 1.0)
+    views = {"text": View.fit(text, label, held), "meta": View.fit(meta, label, held)}
+    for _ in range(rounds):
+        found = pool(views)
+        for name, view in views.items():
+            view.step(found[name][:-1], int(found[name][-1]))
+    both = fit_logistic(_logits(views["text"].score(text[held]), views["meta"].score(meta[held])), label[held], ridge=1e-2)
+    return Model(views["text"].model, views["meta"].model, views["text"].scale, views["meta"].scale, both)
 
 
 def _features(docs: DataFrame, fields: list[T.StructField], make) -> DataFrame:
@@ -182,34 +219,60 @@ def _views(texts: pa.Array, sources: pa.Array, langs: pa.Array, sizes: pa.Array)
     return text, np.array(meta).reshape(-1, META_SIZE)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model:
-    """Co-train on bounded samples of labelled and unlabelled documents, chosen by the hash of their id."""
+PACKED = [T.StructField("of_text", T.BinaryType()), T.StructField("of_meta", T.BinaryType())]
+
+
+def _packed():
+    """Both views of a row as 16-bit floats, which is exact enough for shares."""
+
+    def apply(*columns: pa.Array) -> list:
+        return [pa.array([r.tobytes() for r in part.astype("<f2")], pa.binary()) for part in _views(*columns)]
+
+    return apply
+
+
+def _matrix(packed: list[bytes] | pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed if isinstance(packed, list) else packed.to_pylist()), dtype="<f2").reshape(-1, width).astype(np.float64)
+
+
+def _over(features: DataFrame, views: dict[str, View]) -> dict[str, np.ndarray]:
+    """``slopes`` summed over all rows of the features: a row for each weight and task, then one for each weight."""
+    sent = features.sparkSession.sparkContext.broadcast({name: replace(v, x=v.x[:0], back=v.back[:0]) for name, v in views.items()})
+
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                found = slopes(_matrix(part.column(0), TEXT_SIZE), _matrix(part.column(1), META_SIZE), sent.value)
+                total = {name: total.get(name, 0.0) + found[name] for name in found}
+        for name, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(sums)), pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["view", "place", "part"])
+
+    found = features.mapInArrow(run, "view string, place int, part double").groupBy("view", "place").agg(F.sum("part").alias("whole"))
+    out = {"text": np.zeros(TEXT_SIZE + 2), "meta": np.zeros(META_SIZE + 2)}
+    for r in found.collect():  # a number for each weight
+        out[r["view"]][r["place"]] = r["whole"]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, folder: str, max_labelled: int = MAX_LABELLED) -> Model:
+    """Co-train on a bounded sample of labelled documents and on all documents; features are written below ``folder``."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.when(F.avg("quality") >= 0.5, 1.0).otherwise(0.0).alias("label")
     )
     order = F.xxhash64("doc_id", F.lit(11))
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    labelled = known.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_labelled)
-    pool = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(max_pool).withColumn("label", F.lit(None).cast("double"))
-    chosen = F.broadcast(labelled.unionByName(pool))  # at most max_labelled + max_pool rows
-
-    def start():
-        def apply(*columns: pa.Array) -> list:
-            text, meta = _views(*columns)
-            return [list(text.astype("<f4").reshape(len(text), -1)), list(meta.astype("<f4"))]
-
-        return lambda *columns: [pa.array([r.tobytes() for r in part], pa.binary()) for part in apply(*columns)]
-
-    fields = [T.StructField("of_text", T.BinaryType()), T.StructField("of_meta", T.BinaryType())]
-    sample = docs.select("doc_id", "text", "source", "lang", "n_chars").join(chosen, "doc_id")
-    rows = _features(sample, fields, start).withColumn("place", order).select("place", "label", "of_text", "of_meta").toArrow()
-    rows = rows.sort_by([("place", "ascending")]).to_pydict()
-    if not rows["place"]:
-        return co_train(np.zeros((0, TEXT_SIZE)), np.zeros((0, META_SIZE)), np.zeros(0), np.zeros(0, dtype=bool))
-    matrix = lambda name: np.array([np.frombuffer(r, dtype="<f4") for r in rows[name]], dtype=np.float64)
-    label = np.array([np.nan if v is None else v for v in rows["label"]])
-    held = np.array(rows["place"]) // 1000 % HELD_BACK == 0
-    return co_train(matrix("of_text"), matrix("of_meta"), label, held)
+    labelled = F.broadcast(known.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_labelled))  # at most max_labelled rows
+    path = f"{folder}/features"
+    features = written(_features(docs.select("doc_id", "text", "source", "lang", "n_chars"), PACKED, _packed), path)
+    rows = features.join(labelled, "doc_id").withColumn("place", order).select("place", "label", "of_text", "of_meta").toArrow()
+    rows = rows.sort_by([("place", "ascending"), ("of_text", "ascending")]).to_pydict()
+    text, meta = _matrix(rows["of_text"], TEXT_SIZE), _matrix(rows["of_meta"], META_SIZE)
+    held = np.array(rows["place"], dtype=np.int64) // 1000 % HELD_BACK == 0
+    model = co_train(text, meta, np.array(rows["label"], dtype=np.float64), held, lambda views: _over(features.select("of_text", "of_meta"), views))
+    remove(docs.sparkSession, path)
+    return model
 
 
 SCORES = [T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")]

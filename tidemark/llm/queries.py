@@ -71,7 +71,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every whole document by the co-trained views; ``keep`` unless little doubt is left that it is bad."""
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), shared_dir(spark))
     scored = quality.score(docs.select("doc_id", "text", "source", "lang", "n_chars"), model)
     return scored.select("doc_id", "text_score", "meta_score", "score", (F.col("score") >= quality.REJECT_BELOW).alias("keep"))
 
