@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
+from tidemark.llm import components as components_module
 from tidemark.llm import neardup, quality, vectordup
 from tidemark.llm.common import shared_dir
 from tidemark.llm.components import components
@@ -31,7 +32,8 @@ def closed(nodes, links):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
+def test_components(spark, seed, monkeypatch):
+    monkeypatch.setattr(components_module, "CHUNK", 7)  # many chunks: several rounds
     rnd = random.Random(seed)
     links = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)] + [(500, k) for k in range(501, 560)] + [(9, 9)]
     found = {r.node: r.label for r in components(spark.createDataFrame(links, "u long, v long"), shared_dir(spark)).collect()}
@@ -199,10 +201,11 @@ def test_vector_classes(spark):
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = quality.fit(docs, labels.where("doc_id % 3 <> 0"))
+    model = quality.fit(docs, labels.where("doc_id % 3 <> 0"), shared_dir(spark))
     rest = quality.score(docs, model).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
     assert sum((r.score >= 0.5) == (r.quality == 1) for r in rest) / len(rest) > 0.95
     kept = [r for r in rest if r.score >= quality.REJECT_BELOW]
+    assert sum(r.quality == 0 for r in kept) <= 0.5 * sum(r.quality == 0 for r in rest)
     assert sum(r.quality for r in kept) >= 0.99 * sum(r.quality for r in rest)
 
 
@@ -211,10 +214,9 @@ def test_co_training_shares_labels():
     rnd = np.random.default_rng(10)
     y = rnd.integers(0, 2, 3000).astype(float)
     a, b = y[:, None] * 4 + rnd.normal(size=(3000, 3)), y[:, None] * 3 + rnd.normal(size=(3000, 2))
-    label = y.copy()
-    label[60:] = np.nan
-    held = np.arange(3000) % 3 == 0
-    model = quality.co_train(a, b, label, held & ~np.isnan(label))
+    held = np.arange(60) % 3 == 0
+    model = quality.co_train(a[:60], b[:60], y[:60], held, lambda views: quality.slopes(a, b, views))
+    assert all(quality.slopes(a, b, {"text": v, "meta": w})["meta"][-1] > 100 for v, w in [(quality.View.fit(a[:60], y[:60], held), quality.View.fit(b[:60], y[:60], held))])
     scores = model(a, b)
     assert all(((s >= 0.5) == (y == 1)).mean() > 0.95 for s in scores)
 
@@ -222,10 +224,10 @@ def test_co_training_shares_labels():
 def test_quality_edges(spark):
     frame = spark.createDataFrame([(1, None, None, None, None, "mine"), (2, "", "en", "s", 0, "x"), (3, "a b " * 50_000, "en", "s", 9, "x")], "doc_id long, text string, lang string, source string, n_chars long, score string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert [r.score for r in quality.score(frame, quality.fit(frame, none)).collect()] == [1.0] * 3
+    assert [r.score for r in quality.score(frame, quality.fit(frame, none, shared_dir(spark))).collect()] == [1.0] * 3
     one = spark.createDataFrame([(1, 0, None), (1, 1, 0), (2, None, 1), (3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    assert {r.score for r in quality.score(frame, quality.fit(frame, one)).collect()} == {0.5}
-    assert quality.score(frame.limit(0), quality.fit(frame.limit(0), none)).count() == 0
+    assert {r.score for r in quality.score(frame, quality.fit(frame, one, shared_dir(spark))).collect()} == {0.5}
+    assert quality.score(frame.limit(0), quality.fit(frame.limit(0), none, shared_dir(spark))).count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):
