@@ -30,11 +30,11 @@ NONE = 1 << 62
 #: Matches of up to so many bytes are encoded side by side.
 SHORT = 64
 #: Entries in each of the two generations of chunks met before; a full one replaces the older, so memory is bounded.
-CACHE = 200_000
+CACHE = 100_000
 #: Longer chunks are encoded each time.
 CACHED_CHARS = 48
 #: Texts are taken in groups of about so many characters.
-GROUP = 2_000_000
+GROUP = 1_000_000
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -243,8 +243,8 @@ class Encoder:
                     continue
             made[piece] = packed
         for size, (said, rows) in by_size.items():
-            for low in range(0, len(rows), 1 << 14):
-                made.update(zip(said[low : low + (1 << 14)], merge_rows(rows[low : low + (1 << 14)], size, self.pairs, self.byte_ids), strict=True))
+            for low in range(0, len(rows), 1 << 13):
+                made.update(zip(said[low : low + (1 << 13)], merge_rows(rows[low : low + (1 << 13)], size, self.pairs, self.byte_ids), strict=True))
         known.update((piece, packed) for piece, packed in made.items() if len(piece) <= CACHED_CHARS)
         return made
 
@@ -332,19 +332,24 @@ def encode(
     all others are kept.
     """
     content = _content(df, rank_file)
+    names = [ids_col, decoded_col] if decoded_col else [ids_col]
 
     def start():
         encoder = _encoder(content.value, pattern)
         tokens = _tokens(encoder.ranks) if decoded_col else []
 
         def apply(texts: pa.Array) -> list:
-            ids = [x for group in groups([t or "" for t in texts.to_pylist()]) for x in encoder(group)]
-            made = [pa.array(ids, pa.binary())]
-            return [*made, pa.array([decode_packed(x, tokens) for x in ids], pa.binary())] if decoded_col else made
+            parts: list[list[pa.Array]] = [[pa.array([], pa.binary())] for _ in names]
+            for low in range(0, len(texts), 512):  # no more of a batch than this is held as Python objects
+                for group in groups([t or "" for t in texts.slice(low, 512).to_pylist()]):
+                    ids = encoder(group)
+                    parts[0].append(pa.array(ids, pa.binary()))
+                    if decoded_col:
+                        parts[1].append(pa.array([decode_packed(x, tokens) for x in ids], pa.binary()))
+            return [pa.concat_arrays(part) for part in parts]
 
         return apply
 
-    names = [ids_col, decoded_col] if decoded_col else [ids_col]
     return add_columns(df, [text_col], [T.StructField(name, T.BinaryType()) for name in names], start)
 
 
