@@ -7,7 +7,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +16,12 @@ from tidemark.operators import evaluation as E
 
 
 def sparse_vectors(long: DataFrame, terms: DataFrame, keys: list[str], term: str = "term", weight: str = "weight", size: int | None = None) -> DataFrame:
-    """keys, features: long (keys, term, weight) as dense-array vectors over the indexed terms of one fold."""
+    """keys, features: long (keys, term, weight) as sparse vectors over the indexed terms of one fold, however many these are."""
     size = size or terms.count()
-    indexed = long.join(F.broadcast(terms.select(term, "index")), term)
-    entries = indexed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("index", weight))).alias("m"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return entries.select(*keys, array_to_vector(filled).alias("features"))
+    indexed = long.join(terms.select(term, "index"), term)
+    entries = indexed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("index").cast("int").alias("index"), F.col(weight).alias("w")))).alias("x"))
+    made = F.udf(lambda places, weights: SparseVector(size, places, weights), VectorUDT())  # once a document
+    return entries.select(*keys, made("x.index", "x.w").alias("features"))
 
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,10 +39,11 @@ def fit_complement_bayes(train: DataFrame, smoothing: float = 1.0):
     return NaiveBayes(labelCol="target_resolved", modelType="complement", smoothing=smoothing).fit(train)
 
 
-def fit_trees(train: DataFrame, categories: list[str], numbers: list[str], rounds: int = 30, depth: int = 4, seed: int = 42):
+def fit_trees(train: DataFrame, categories: list[str], numbers: list[str], rounds: int = 30, depth: int = 4, seed: int = 42, share: float = 1.0):
     """Boosted trees over numbers and target-encoded categories; rows with ``is_validation`` stop the rounds.
 
-    The encoder sees train rows only. Returns (encoder, model, feature columns).
+    With a ``share`` below 1 each tree sees that share of the rows and a third of the features, drawn by ``seed``. The encoder
+    sees train rows only. Returns (encoder, model, feature columns).
     """
     coded, placed = [f"{c}_coded" for c in categories], [f"{c}_place" for c in categories]
     encoder = Pipeline(stages=[
@@ -50,7 +52,8 @@ def fit_trees(train: DataFrame, categories: list[str], numbers: list[str], round
     ]).fit(train.where("NOT is_validation"))
     shaped = assembled(encoder.transform(train), [*coded, *numbers])
     model = GBTClassifier(
-        labelCol="target_resolved", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.1, validationIndicatorCol="is_validation", validationTol=1e-4
+        labelCol="target_resolved", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.1, validationIndicatorCol="is_validation", validationTol=1e-4,
+        subsamplingRate=share, featureSubsetStrategy="all" if share == 1.0 else "onethird",
     ).fit(shaped)
     return encoder, model, [*coded, *numbers]
 

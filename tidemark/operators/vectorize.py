@@ -45,29 +45,35 @@ def term_counts(docs: DataFrame, terms: Column, keys: list[str]) -> DataFrame:
     return docs.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(docs: DataFrame, counts: DataFrame, ends: DataFrame, min_df: int, max_df: float, size: int) -> DataFrame:
+def daily_counts(docs: DataFrame, terms: Column, key: str = "record_id", day: str = "opening_date") -> DataFrame:
+    """day, term, df, tf: documents with the term and its occurrences. Texts are cut up once."""
+    return term_counts(docs, terms, [key, day]).groupBy(day, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def vocabulary(docs: DataFrame, terms: Column, ends: DataFrame, min_df: int, max_df: float, size: int) -> DataFrame:
     """fold, term, df, tf, n, idf of the terms kept for each fold, fitted on documents dated up to its ``train_end``.
 
     Terms are counted by day once; folds meet these daily counts, not the texts. Of terms within the document
     frequency bounds the ``size`` most frequent stay; ties go by term.
     """
-    daily = counts.groupBy("opening_date", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    until = F.broadcast(ends.select("fold", "train_end"))
-    fitted = daily.join(until, F.col("opening_date") <= F.col("train_end")).groupBy("fold", "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    until = F.broadcast(ends.select("fold", "train_end"))  # a row for each fold
+    fitted = daily_counts(docs, terms).join(until, F.col("opening_date") <= F.col("train_end")).groupBy("fold", "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
     sizes = docs.groupBy("opening_date").agg(F.count("*").alias("n")).join(until, F.col("opening_date") <= F.col("train_end")).groupBy("fold").agg(F.sum("n").alias("n"))
     bounded = fitted.join(F.broadcast(sizes), "fold").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-    # The top terms of a fold: the best of each of many parts first, so that no task sees a whole vocabulary.
-    part = Window.partitionBy("fold", F.pmod(F.xxhash64("term"), F.lit(64))).orderBy(F.desc("tf"), "term")
-    some = bounded.withColumn("place", F.row_number().over(part)).where(F.col("place") <= size).drop("place")
+    # The frequency at which the size is reached, from how many terms have each: only terms from there on are ranked.
+    above = Window.partitionBy("fold").orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, -1)
+    often = bounded.groupBy("fold", "tf").agg(F.count("*").alias("terms")).withColumn("before", F.coalesce(F.sum("terms").over(above), F.lit(0)))
+    cut = often.where(F.col("before") < size).groupBy("fold").agg(F.min("tf").alias("cut"))
+    some = bounded.join(F.broadcast(cut), "fold").where("tf >= cut").drop("cut")
     ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("tf"), "term"))).where(F.col("place") <= size)
     return ranked.select("fold", "term", "df", "tf", "n", (F.ln((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
 def tfidf(counts: DataFrame, vocabulary_: DataFrame, keys: list[str]) -> DataFrame:
-    """fold, keys, term, weight: 1 + ln tf, times idf, rows of unit length."""
+    """fold, keys, term, weight: 1 + ln tf, times idf, rows of unit length; the length is taken over a document's own terms."""
     weighed = counts.join(vocabulary_.select("fold", "term", "idf"), "term").withColumn("w", (1 + F.ln(F.col("tf"))) * F.col("idf"))
-    length = weighed.groupBy("fold", *keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return weighed.join(length, ["fold", *keys]).select("fold", *keys, "term", (F.col("w") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("fold", *keys)))
+    return weighed.select("fold", *keys, "term", (F.col("w") / length).alias("weight"))
 
 
 def scaling(cases: DataFrame, numbers: list[str]) -> DataFrame:

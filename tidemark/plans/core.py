@@ -88,10 +88,15 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clean.add_features(clean_cases(spark, sf_dir)))
 
 
-@query("temporal_folds", Q.FOLDS + " ORDER BY fold")
+@query("temporal_folds", """WITH b AS (SELECT date_trunc('month', min(CAST(o_orderdate AS DATE))) + INTERVAL 48 MONTH AS low, CAST(date_trunc('month', max(CAST(o_orderdate AS DATE))) AS DATE) AS high FROM orders),
+ c AS (SELECT CAST(i + 1 AS INTEGER) AS fold, low + to_months(CAST(3 * i AS INTEGER)) AS v, high FROM b, range(0, 80) t(i))
+ SELECT fold, CAST(v - INTERVAL 1 DAY AS DATE) AS train_end, CAST(v AS DATE) AS validation_start, CAST(v + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS validation_end,
+ CAST(v + INTERVAL 3 MONTH AS DATE) AS test_start, CAST(v + INTERVAL 6 MONTH - INTERVAL 1 DAY AS DATE) AS test_end FROM c WHERE CAST(v + INTERVAL 6 MONTH - INTERVAL 1 DAY AS DATE) <= high""")
 def temporal_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The end of the observation is that of the table, as the last full month of order dates.
-    return folds.temporal_folds(spark, *FOLD_ARGS)
+    """Folds between the table's own bounds: four years of training first, complete up to the first of its last month."""
+    day = F.col("o_orderdate").cast("date")
+    low, high = S.table(spark, sf_dir, "orders").agg(F.add_months(C.first_of_month(F.min(day)), 48), C.first_of_month(F.max(day))).first()
+    return folds.temporal_folds(spark, str(low), str(high))
 
 
 @query("test_window_eligibility", f"""SELECT c.fold, c.test_end <= DATE '2001-08-01' AS complete, count(*) AS records, CAST(sum(target_resolved) AS BIGINT) AS positives

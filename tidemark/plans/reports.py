@@ -18,9 +18,10 @@ from tidemark.sources import files
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; only without one configured, a local one."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or 'file:///tmp/tidemark-shared').rstrip('/')}/{uuid.uuid4().hex}"
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-tables"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 @query("overview", f"""SELECT count(*) AS records, count(DISTINCT record_id) AS records_distinct, count(DISTINCT company) AS companies, min(opening_date) AS first_date, max(opening_date) AS last_date,
@@ -73,12 +74,21 @@ def bounded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.scan(cases, ["company"], "1996-01-01", "1997-12-31").groupBy("company").agg(F.count("*").alias("records"))
 
 
-@query("dataset_integrity", None)
+_COUNTS, _FLAGS = ["text_char_count", "text_word_count", "exclamation_count", "question_count"], ["has_exclamation", "has_question", "has_anonymization_marker"]
+_CHECKS = {f"null_{c}": f"{c} IS NULL" for c in ("record_id", "complaint_id", "company", "opening_date", "target_resolved")}
+_CHECKS |= {f"blank_{c}": f"trim({c}) = ''" for c in ("company", "complaint_text")} | {"bad_target": "target_resolved NOT IN (0, 1)"}
+_CHECKS |= {f"negative_{c}": f"{c} < 0" for c in _COUNTS} | {f"bad_{c}": f"{c} NOT IN (0, 1)" for c in _FLAGS}
+_CHECKS |= {"bad_month": "opening_month NOT BETWEEN 1 AND 12", "bad_weekday": "opening_weekday NOT BETWEEN 0 AND 6"}
+_INTEGRITY = " UNION ALL ".join([
+    *(f"SELECT '{k}' AS criterion, count(*) FILTER (WHERE {v}) AS value FROM f" for k, v in _CHECKS.items()),
+    *(f"SELECT 'conflicting_{c}', count(*) FILTER (WHERE a IS DISTINCT FROM b) FROM (SELECT min({c}) AS a, max({c}) AS b FROM f GROUP BY record_id)" for c in ("opening_date", "target_resolved")),
+    "SELECT 'repeated_record_id', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM f GROUP BY record_id)",
+])
+
+
+@query("dataset_integrity", f"WITH f AS ({FEATURES}) SELECT criterion, CAST(value AS BIGINT) AS value, value = 0 AS passed FROM ({_INTEGRITY})")
 def dataset_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = feature_table(spark, sf_dir)
-    return audit.dataset_integrity(
-        found, ["text_char_count", "text_word_count", "exclamation_count", "question_count"], ["has_exclamation", "has_question", "has_anonymization_marker"]
-    )
+    return audit.dataset_integrity(feature_table(spark, sf_dir), _COUNTS, _FLAGS)
 
 
 _CONFLICTS = """SELECT CAST(sum(a) AS BIGINT) AS conflicting_l_shipdate, CAST(sum(b) AS BIGINT) AS conflicting_l_returnflag, CAST(sum(n - 1) AS BIGINT) AS repeated_l_orderkey
@@ -119,11 +129,14 @@ def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.missing_ids(faulty, expected).select("model", "fold", "split", "record_id")
 
 
-@query("names_apart", f"""SELECT company, 'missing' AS side FROM (SELECT DISTINCT company FROM ({Q.OBSERVED}) WHERE target_resolved = 1 AND amount > 400000) WHERE company NOT IN (SELECT company FROM ({Q.OBSERVED}) WHERE target_resolved = 0 AND amount > 400000)
- UNION ALL SELECT company, 'unexpected' FROM (SELECT DISTINCT company FROM ({Q.OBSERVED}) WHERE target_resolved = 0 AND amount > 400000) WHERE company NOT IN (SELECT company FROM ({Q.OBSERVED}) WHERE target_resolved = 1 AND amount > 400000)""")
+_SIDES = f"SELECT DISTINCT opening_date, target_resolved AS y FROM ({Q.OBSERVED}) WHERE amount > 300000"
+
+
+@query("names_apart", f"""WITH s AS ({_SIDES}) SELECT opening_date, CASE max(y) WHEN 1 THEN 'missing' ELSE 'unexpected' END AS side FROM s GROUP BY 1 HAVING min(y) = max(y)""")
 def names_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    large = S.order_cases(spark, sf_dir).where("amount > 400000")
-    return audit.names_apart(large.where("target_resolved = 0"), large.where("target_resolved = 1"), "company")
+    """Days with large cases of one outcome only."""
+    large = S.order_cases(spark, sf_dir).where("amount > 300000")
+    return audit.names_apart(large.where("target_resolved = 0"), large.where("target_resolved = 1"), "opening_date")
 
 
 @query("metric_validation", f"""WITH m AS (SELECT model, fold, count(*) AS n FROM ({_TEST_F1}) GROUP BY ALL) SELECT criterion, CAST(value AS BIGINT) AS value, value = 0 AS passed FROM (

@@ -32,7 +32,7 @@ def ends(spark: SparkSession) -> DataFrame:
 def word_vocabulary_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = S.text_cases(spark, sf_dir)
     counts = vectorize.term_counts(docs, vectorize.word_ngrams(F.col("complaint_text")), ["record_id", "opening_date"])
-    return counts, vectorize.vocabulary(docs, counts, ends(spark), 5, 0.9, 100_000)
+    return counts, vectorize.vocabulary(docs, vectorize.word_ngrams(F.col("complaint_text")), ends(spark), 5, 0.9, 100_000)
 
 
 @query("word_vocabulary", f"SELECT fold, term, df, tf, n, round(idf, 6) AS idf FROM ({_vocabulary_sql(_WORD_COUNTS, 0.9, 100_000)})")
@@ -40,12 +40,10 @@ def word_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(word_vocabulary_of(spark, sf_dir)[1])
 
 
-@query("char_vocabulary", f"SELECT fold, term, df, tf, n, round(idf, 6) AS idf FROM ({_vocabulary_sql(_CHAR_COUNTS, 0.95, 5000)})")
+@query("char_vocabulary", f"SELECT fold, term, df, tf, n, round(idf, 6) AS idf FROM ({_vocabulary_sql(_CHAR_COUNTS, 0.95, 100_000)})")
 def char_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5000 most frequent n-grams: the cap is part of the vectorizer."""
     docs = S.text_cases(spark, sf_dir)
-    counts = vectorize.term_counts(docs, vectorize.char_ngrams(F.col("complaint_text")), ["record_id", "opening_date"])
-    return rounded(vectorize.vocabulary(docs, counts, ends(spark), 5, 0.95, 5000))
+    return rounded(vectorize.vocabulary(docs, vectorize.char_ngrams(F.col("complaint_text")), ends(spark), 5, 0.95, 100_000))
 
 
 @query("tfidf_weights", f"""SELECT fold, record_id, count(*) AS terms, round(sum(w) / sqrt(sum(w * w)), 6) AS weight_sum, round(max(w) / sqrt(sum(w * w)), 6) AS weight_max
@@ -180,7 +178,7 @@ def seed_refits(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = parts["train"].select(*keep, F.lit(False).alias("is_validation")).unionByName(parts["validation"].select(*keep, F.lit(True).alias("is_validation")))
     tables = []
     for seed in (13, 21, 42):
-        encoder, model, columns = models.fit_trees(both, ["company"], NUMBERS, rounds=5, depth=3, seed=seed)
+        encoder, model, columns = models.fit_trees(both, ["company"], NUMBERS, rounds=5, depth=3, seed=seed, share=0.6)
         judged = models.score(model, models.assembled(encoder.transform(parts["test"].select(*keep)), columns), "trees").withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
         cells = evaluation.confusion(judged, ["model"])
         tables.append(cells.select("model", F.lit(seed).alias("seed"), evaluation.macro_f1(*[F.col(c) for c in ("tp", "fp", "fn", "tn")]).alias("macro_f1")))
@@ -193,7 +191,7 @@ def text_bayes_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.text_cases(spark, sf_dir).where("target_resolved IS NOT NULL")
     counts = vectorize.term_counts(docs, vectorize.word_ngrams(F.col("complaint_text")), ["record_id", "opening_date"])
     end = ends(spark).where("fold = 1")
-    vocabulary = vectorize.vocabulary(docs, counts, end, 5, 0.9, 1000)
+    vocabulary = vectorize.vocabulary(docs, vectorize.word_ngrams(F.col("complaint_text")), end, 5, 0.9, 100_000)
     terms = vocabulary.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("index")).persist()
     vectors = models.sparse_vectors(vectorize.tfidf(counts, vocabulary, ["record_id"]), terms, ["record_id"])
     rows = docs.select("record_id", "opening_date", "target_resolved").join(vectors, "record_id").persist()
