@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
-from tidemark.operators import audit, clean, compare, evaluation, folds, history, report, vectorize
+from tidemark.operators import audit, clean, compare, evaluation, folds, history, models, report, vectorize
 from tidemark.sources import files
 
 
@@ -203,3 +203,72 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_platt_curves_are_at_their_optimum(spark):
+    """Scores that say little, with some at 0: a steep start made Newton's steps run away."""
+    rows = [("a", i / 40, 10, 3 + i % 5) for i in range(41)] + [("b", i / 40, 10, i // 5) for i in range(41)]
+    counts = spark.createDataFrame(rows, "model string, score double, n long, p long")
+    held = compare.platt_of(counts, ["model"]).collect()
+    assert len(held) == 2
+    for m in held:
+        g = gx = 0.0
+        for _, score, n, p in (r for r in rows if r[0] == m["model"]):
+            s = min(max(score, 1e-6), 1 - 1e-6)
+            x = math.log(s / (1 - s))
+            q = 1 / (1 + math.exp(-(m["slope"] * x + m["intercept"])))
+            g, gx = g + p - n * q, gx + (p - n * q) * x
+        assert abs(g) < 1e-5 and abs(gx - 1e-6 * m["slope"]) < 1e-4
+    assert {m["model"]: m["slope"] > 0 for m in held}["b"]
+
+
+def test_metrics_of_counts_equal_those_of_rows(spark):
+    rows = [("m", float((i * 7) % 10) / 10, i % 3 == 0) for i in range(100)]
+    long = spark.createDataFrame([(m, s, int(y)) for m, s, y in rows], "model string, score double, target_resolved int")
+    counts = evaluation.score_counts(long, ["model"]).withColumn("threshold", F.lit(0.4))
+    said = long.withColumns({"threshold": F.lit(0.4), "prediction": (F.col("score") >= 0.4).cast("int")})
+    a, b = (df.toPandas().round(9).to_dict("records") for df in (evaluation.metric_set_of(counts, ["model", "threshold"]), evaluation.metric_set(said, ["model", "threshold"])))
+    assert a == b
+    assert evaluation.calibration_error_of(counts, ["model"]).toPandas().round(9).equals(evaluation.calibration_error(long, ["model"]).toPandas().round(9))
+    assert evaluation.metric_set_of(counts.where("false"), ["model", "threshold"]).count() == 0
+
+
+def test_positions_by_count_and_in_files(spark, tmp_path):
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",), (None,)], "k string")
+    assert [(r.k, r.n, r.position) for r in report.by_count(df.where("k is not null"), "k").collect()] == [("c", 2, 1), ("a", 1, 2), ("b", 1, 3)]
+    many = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(5)
+    files.write_ordered(many, f"{tmp_path}/o", ["v"])
+    assert all(r.v + 1 == r.position for r in files.read_placed(spark, f"{tmp_path}/o").collect())
+    hashed = [r.order_hash for r in report.shuffled(df, "k").collect() if r.order_hash]
+    assert hashed == sorted(hashed)
+
+
+def test_predictions_keep_types_and_names_are_dropped(spark, tmp_path):
+    rows = spark.sql("SELECT '007' AS record_id, DATE '2024-01-02' AS opening_date, 1 AS target_resolved, 0.5D AS score, 1 AS prediction, '12' AS model, 3 AS fold")
+    files.write_predictions(rows, f"{tmp_path}/p")
+    back = files.read_predictions(spark, f"{tmp_path}/p").collect()
+    assert [(r.record_id, r.model, r.fold) for r in back] == [("007", "12", 3)]
+    with files.registered(rows) as name:
+        found = spark.table(name)
+    assert found.count() == 1 and not spark.catalog.tableExists(name)
+
+
+def test_vocabulary_by_spans_and_feature_matrix(spark):
+    docs = spark.createDataFrame(
+        [("1", "ab cd ab", "2024-01-01"), ("2", "ab ef", "2024-03-01"), ("3", "cd ab", "2024-05-01"), ("4", "late", "2025-01-01"), ("5", None, "2024-01-01")],
+        "record_id string, t string, d string",
+    ).withColumn("opening_date", F.col("d").cast("date"))
+    ends = spark.sql("SELECT fold, train_end FROM VALUES (1, DATE '2024-02-01'), (2, DATE '2024-06-01'), (3, DATE '2024-06-01') f(fold, train_end)")
+    got = {(r.fold, r.term): (r.df, r.tf, r.n) for r in vectorize.vocabulary(docs, vectorize.word_ngrams(F.col("t")), ends, 1, 1.0, 100).collect()}
+    assert got[(1, "ab")] == (1, 2, 2) and got[(2, "ab")] == (3, 4, 4) and got[(3, "ab")] == got[(2, "ab")] and (2, "late") not in got
+    counts = vectorize.term_counts(docs, vectorize.word_ngrams(F.col("t")), ["record_id"])
+    kept = vectorize.vocabulary(docs, vectorize.word_ngrams(F.col("t")), ends.where("fold = 2"), 1, 1.0, 100)
+    weights = vectorize.tfidf(counts, vectorize.measured(kept, "term"), ["record_id"])
+    assert all(abs(r.s - 1) < 1e-9 for r in weights.groupBy("record_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect())
+    words = weights.select("record_id", F.col("term").alias("feature"), F.col("weight").alias("value"))
+    numbers = spark.createDataFrame([("1", "x", 2.0), ("2", "x", 3.0)], "record_id string, feature string, value double")
+    matrix, index = models.feature_matrix({"word": words, "number": numbers}, ["record_id"])
+    size = index.count()
+    assert sorted(r["index"] for r in index.collect()) == list(range(size)) and size == kept.count() + 1
+    vectors = {r.record_id: r.features for r in models.chosen_blocks(matrix, ["number"], ["record_id"], size).collect()}
+    assert set(vectors) == {"1", "2"} and vectors["1"].size == size and list(vectors["1"].values) == [2.0]

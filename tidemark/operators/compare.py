@@ -48,7 +48,9 @@ def fusion_candidates(pairs: DataFrame, weights: list[float], keys: list[str]) -
 
 def choose_fusion(validation: DataFrame, weights: list[float], keys: list[str]) -> DataFrame:
     """keys, weight, threshold, macro_f1: best macro-F1, then weight and threshold nearest one half, then the lower weight."""
-    tried = E.best_threshold(fusion_candidates(validation, weights, keys), [*keys, "weight"])
+    pairs = validation.groupBy(*keys, "a", "b").agg(F.count("*").alias("n"), F.sum("target_resolved").cast("long").alias("p"))  # weights meet distinct pairs
+    counts = fusion_candidates(pairs, weights, keys).groupBy(*keys, "weight", "score").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    tried = E.threshold_of(counts, [*keys, "weight"])
     order = Window.partitionBy(*keys).orderBy(
         F.desc("macro_f1"), F.abs(F.col("weight") - 0.5), F.abs(F.col("threshold") - 0.5), "weight"
     )
@@ -58,11 +60,18 @@ def choose_fusion(validation: DataFrame, weights: list[float], keys: list[str])
 def fit_platt(validation: DataFrame, keys: list[str], ridge: float = 1e-6, steps: int = 12) -> DataFrame:
     """keys, slope, intercept of target on logit(score) for all groups at once.
 
-    Newton steps on sums by group: each is one aggregation of score counts, joined with a row of coefficients for each
-    group. Rows are aggregated to distinct scores first.
     """
-    counts = E.score_counts(validation, keys).withColumn("x", C.logit(F.col("score")))
-    model = counts.select(*keys).distinct().withColumns({"slope": F.lit(1.0), "intercept": F.lit(0.0)})
+    return platt_of(E.score_counts(validation, keys), keys, ridge, steps)
+
+
+def platt_of(counts: DataFrame, keys: list[str], ridge: float = 1e-6, steps: int = 12) -> DataFrame:
+    """``fit_platt`` from keys, score, n, p. Pass a written table of counts: each three steps read it once.
+
+    Newton steps on sums by group: each is one aggregation of score counts, joined with a row of coefficients for each group.
+    """
+    counts = counts.withColumn("x", C.logit(F.col("score")))
+    # From a flat curve at the group's rate on; from a steep one Newton's steps can run away.
+    model = counts.groupBy(*keys).agg(F.lit(0.0).alias("slope"), F.ln((F.sum("p") + 0.5) / (F.sum("n") - F.sum("p") + 0.5)).alias("intercept"))
     for step in range(steps):
         z = F.col("slope") * F.col("x") + F.col("intercept")
         q = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0))))
@@ -85,6 +94,36 @@ def fit_platt(validation: DataFrame, keys: list[str], ridge: float = 1e-6, steps
     return model
 
 
+def calibration_change(counts: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, stage, slope, intercept, usable, threshold, macro_f1, roc_auc, pr_auc, brier_score, ece, max_gap on test, before and after.
+
+    ``counts`` has keys, split (validation, test), score, n, p. Thresholds are tuned on validation before and again after; a
+    curve is usable if its slope is positive, as another one turns the ranking round.
+    """
+    curves = model.select(*keys, "slope", "intercept", (F.col("slope") > 0).alias("usable"))
+    after = F.when(F.col("stage") == "before", F.col("score")).otherwise(1 / (1 + F.exp(-(F.col("slope") * C.logit(F.col("score")) + F.col("intercept")))))
+    staged = counts.withColumn("stage", F.explode(F.array(F.lit("before"), F.lit("after")))).join(F.broadcast(curves), keys).withColumn("score", after)
+    by = [*keys, "stage"]
+    # Scores that one curve rounds to the same value meet again.
+    held = staged.groupBy(*by, "split", "score").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    tuned = E.threshold_of(held.where("split = 'validation'"), by).select(*by, "threshold")
+    test = held.where("split = 'test'").join(F.broadcast(tuned), by)
+    cells = E.confusion_of(test, [*by, "threshold"]).select(*by, "threshold", E.macro_f1(*[F.col(c) for c in ("tp", "fp", "fn", "tn")]).alias("macro_f1"))
+    return cells.join(E.ranks_of(test, by), by).join(E.calibration_error_of(test, by), by).join(F.broadcast(curves), keys)
+
+
+def calibration_summary(change: DataFrame) -> DataFrame:
+    """By model: means over folds of each measure before and after, the mean change, and in how many folds it got better."""
+    wide = change.groupBy("model", "fold").agg(*[
+        F.max(F.when(F.col("stage") == s, F.col(m))).alias(f"{m}_{s}") for m in ("brier_score", "ece", "macro_f1") for s in ("before", "after")
+    ])
+    out = [F.count("*").alias("folds")]
+    for m, better in (("brier_score", -1), ("ece", -1), ("macro_f1", 1)):
+        gain = F.col(f"{m}_after") - F.col(f"{m}_before")
+        out += [F.avg(f"{m}_before").alias(f"{m}_before"), F.avg(f"{m}_after").alias(f"{m}_after"), F.avg(gain).alias(f"{m}_change"), C.count_if(gain * better > 0).alias(f"{m}_improved")]
+    return wide.groupBy("model").agg(*out)
+
+
 def calibrated(predictions: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
     """Scores through each group's fitted curve, as ``score``; the raw one stays as ``raw_score``."""
     joined = predictions.join(F.broadcast(model), keys).withColumnRenamed("score", "raw_score")

@@ -49,7 +49,12 @@ def best_threshold(predictions: DataFrame, keys: list[str], score: str = "score"
 
     Candidates are the distinct scores and a value just above the highest, which predicts no positive.
     """
-    swept = running_counts(score_counts(predictions, keys, score, target), keys)
+    return threshold_of(score_counts(predictions, keys, score, target), keys)
+
+
+def threshold_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``best_threshold`` from keys, score, n, p."""
+    swept = running_counts(counts, keys)
     tp, fp = F.col("cp"), F.col("cn") - F.col("cp")
     fn = F.col("positives") - F.col("cp")
     tn = F.col("total") - F.col("cn") - fn
@@ -89,7 +94,12 @@ def class_metrics() -> dict[str, Column]:
 
 def rank_metrics(predictions: DataFrame, keys: list[str], score: str = "score", target: str = "target_resolved") -> DataFrame:
     """keys, roc_auc (NaN with one class), pr_auc (average precision, 0 without positives), brier_score."""
-    swept = running_counts(score_counts(predictions, keys, score, target), keys)
+    return ranks_of(score_counts(predictions, keys, score, target), keys)
+
+
+def ranks_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rank_metrics`` from keys, score, n, p."""
+    swept = running_counts(counts, keys)
     p, cp, cn = F.col("p"), F.col("cp"), F.col("cn")
     negatives = F.col("total") - F.col("positives")
     tied = F.col("n") - p
@@ -110,10 +120,24 @@ def rank_metrics(predictions: DataFrame, keys: list[str], score: str = "score",
 
 def metric_set(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """All metrics of stored scores and predictions by keys, with row count and rate."""
-    marked = confusion(predictions, keys).withColumns(class_metrics())
-    sized = marked.withColumns({"records": (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).cast("long")})
-    sized = sized.withColumn("positive_rate", C.ratio(F.col("tp") + F.col("fn"), F.col("records")))
-    return sized.join(rank_metrics(predictions, keys), keys)
+    return _all_metrics(confusion(predictions, keys)).join(rank_metrics(predictions, keys), keys)
+
+
+def _all_metrics(cells: DataFrame) -> DataFrame:
+    sized = cells.withColumns(class_metrics()).withColumn("records", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).cast("long"))
+    return sized.withColumn("positive_rate", C.ratio(F.col("tp") + F.col("fn"), F.col("records")))
+
+
+def confusion_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tp, fp, fn, tn from keys, score, n, p and the ``threshold`` of each row's keys."""
+    said, p, q = F.col("score") >= F.col("threshold"), F.col("p"), F.col("n") - F.col("p")
+    cells = {"tp": (said, p), "fp": (said, q), "fn": (~said, p), "tn": (~said, q)}
+    return counts.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(where, n)), F.lit(0)).cast("long").alias(c) for c, (where, n) in cells.items()])
+
+
+def metric_set_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``metric_set`` from keys, score, n, p and ``threshold``."""
+    return _all_metrics(confusion_of(counts, keys)).join(ranks_of(counts, keys), keys)
 
 
 def at_threshold(predictions: DataFrame, thresholds: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
@@ -133,8 +157,20 @@ def calibration_bins(predictions: DataFrame, keys: list[str], bins: int = 10) ->
 
 def calibration_error(predictions: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
     """keys, ece, max_gap: the gaps between score and rate over the bins, weighted and largest."""
+    return _gaps(calibration_bins(predictions, keys, bins), keys)
+
+
+def calibration_error_of(counts: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
+    """``calibration_error`` from keys, score, n, p."""
+    place = F.least(F.greatest(F.floor(F.col("score") * bins), F.lit(0)), F.lit(bins - 1)).cast("long") + 1
+    return _gaps(counts.groupBy(*keys, place.alias("bin")).agg(
+        F.sum("n").alias("records"), (F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("mean_score"), (F.sum("p") / F.sum("n")).alias("observed_rate")
+    ), keys)
+
+
+def _gaps(bins: DataFrame, keys: list[str]) -> DataFrame:
     gap = F.abs(F.col("mean_score") - F.col("observed_rate"))
-    return calibration_bins(predictions, keys, bins).groupBy(*keys).agg(
+    return bins.groupBy(*keys).agg(
         (F.sum(gap * F.col("records")) / F.sum("records")).alias("ece"), F.max(gap).alias("max_gap")
     )
 

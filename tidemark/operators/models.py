@@ -3,25 +3,42 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation as E
 
 
-def sparse_vectors(long: DataFrame, terms: DataFrame, keys: list[str], term: str = "term", weight: str = "weight", size: int | None = None) -> DataFrame:
-    """keys, features: long (keys, term, weight) as sparse vectors over the indexed terms of one fold, however many these are."""
-    size = size or terms.count()
-    indexed = long.join(terms.select(term, "index"), term)
-    entries = indexed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("index").cast("int").alias("index"), F.col(weight).alias("w")))).alias("x"))
+def feature_matrix(blocks: dict[str, DataFrame], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(keys, block, index, weight) and (block, feature, index): named blocks of long (keys, feature, value) side by side.
+
+    Blocks follow each other by name, features within a block by the hash of their name; indices count through all blocks.
+    Features are numbered within 256 parts, so that no task holds all of them.
+    """
+    long = None
+    for name, block in blocks.items():
+        part = block.select(*keys, F.lit(name).alias("block"), "feature", "value")
+        long = part if long is None else long.unionByName(part)
+    names = long.select("block", "feature").distinct().withColumn("part", F.pmod(F.xxhash64("feature"), F.lit(256)))
+    first = Window.orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows for each block
+    starts = names.groupBy("block", "part").agg(F.count("*").alias("k")).select("block", "part", F.coalesce(F.sum("k").over(first), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("block", "part").orderBy("feature")) - 1
+    index = names.withColumn("inside", inside).join(F.broadcast(starts), ["block", "part"]).select("block", "feature", (F.col("start") + F.col("inside")).cast("int").alias("index"))
+    return long.join(index, ["block", "feature"]).select(*keys, "block", "index", F.col("value").alias("weight")), index
+
+
+def chosen_blocks(matrix: DataFrame, blocks: list[str], keys: list[str], size: int) -> DataFrame:
+    """keys, features: sparse vectors with the entries of some blocks of a ``feature_matrix`` of that many features."""
+    some = matrix.where(F.col("block").isin(*blocks)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("index", "weight"))).alias("x"))
     made = F.udf(lambda places, weights: SparseVector(size, places, weights), VectorUDT())  # once a document
-    return entries.select(*keys, made("x.index", "x.w").alias("features"))
+    return some.select(*keys, made("x.index", "x.weight").alias("features"))
 
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -70,16 +87,13 @@ def fit_and_judge(train: DataFrame, validation: DataFrame, test: DataFrame, fit,
     return E.metric_set(E.at_threshold(score(model, test, name), tuned, ["model"]), ["model", "threshold"])
 
 
-def tune(train: DataFrame, validation: DataFrame, candidates: dict[str, object], parallelism: int = 4) -> DataFrame:
-    """name, threshold, macro_f1 on validation for each candidate (name to fit function), fitted side by side."""
+def side_by_side(task, items, parallelism: int = 4) -> list:
+    """``task`` of each item, several at a time; each submits Spark jobs of its own."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(task, items))
 
-    def one(item):
-        name, fit = item
-        return E.best_threshold(score(fit(train), validation, name), ["model"])
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        tables = list(pool.map(one, candidates.items()))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+def tune(train: DataFrame, validation: DataFrame, candidates: dict[str, object], parallelism: int = 4) -> DataFrame:
+    """name, threshold, macro_f1 on validation for each candidate (name to fit function), fitted side by side."""
+    tables = side_by_side(lambda item: E.best_threshold(score(item[1](train), validation, item[0]), ["model"]), candidates.items(), parallelism)
+    return reduce(DataFrame.unionByName, tables)

@@ -65,6 +65,14 @@ def weighted_mean(values: DataFrame, keys: list[str], value: str, weight: str) -
     return values.groupBy(*keys).agg(C.ratio(F.sum(F.col(value) * F.col(weight)), F.sum(weight), None).alias("weighted_mean"))
 
 
+def segment_summary(metrics: DataFrame, keys: list[str], values: list[str], weighted: str) -> DataFrame:
+    """``metric_summary`` by segment, its records, and one value weighted by records."""
+    total = metrics.groupBy(*keys).agg(
+        F.sum("records").cast("long").alias("records"), C.ratio(F.sum(F.col(weighted) * F.col("records")), F.sum("records"), None).alias("weighted_mean")
+    )
+    return metric_summary(metrics, keys, values).join(total, keys)
+
+
 def monthly_trend(monthly: DataFrame, keys: list[str], value: str = "macro_f1") -> DataFrame:
     """Least-squares slope of a monthly value on the month's number, 0 for one month; with mean and bounds."""
     placed = monthly.withColumn("i", (F.row_number().over(Window.partitionBy(*keys).orderBy("month")) - 1).cast("double"))
@@ -127,8 +135,22 @@ def totals(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 
 def shuffled(df: DataFrame, key: str) -> DataFrame:
-    """A deterministic order that looks random: by the hash of a key, then the key."""
-    return df.orderBy(F.xxhash64(key), key)
+    """A deterministic order that looks random: by ``order_hash``, the MD5 digest of a key, then the key."""
+    return df.withColumn("order_hash", F.md5(F.col(key).cast("string"))).orderBy("order_hash", key)
+
+
+def by_count(df: DataFrame, key: str) -> DataFrame:
+    """key, n and ``position``, the most frequent first, ties by key; the table has a row for each value of the key."""
+    counts = df.groupBy(key).agg(F.count("*").alias("n"))
+    return ranked(counts, "n", key).orderBy("position")
+
+
+def ranked(counts: DataFrame, n: str, key: str) -> DataFrame:
+    """Add ``position`` by descending ``n``, then key: places within equal counts, after how many rows have a greater one."""
+    above = Window.orderBy(F.desc(n)).rowsBetween(Window.unboundedPreceding, -1)  # a row for each distinct count
+    sizes = counts.groupBy(n).agg(F.count("*").alias("rows_")).select(n, F.coalesce(F.sum("rows_").over(above), F.lit(0)).alias("before_"))
+    inside = F.row_number().over(Window.partitionBy(n).orderBy(key))
+    return counts.withColumn("inside_", inside).join(sizes, n).withColumn("position", (F.col("before_") + F.col("inside_")).cast("long")).drop("before_", "inside_")
 
 
 def significant(tests: DataFrame, p: str, size: str, level: float = 0.05) -> DataFrame:

@@ -41,24 +41,30 @@ def char_ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
 
 
 def term_counts(docs: DataFrame, terms: Column, keys: list[str]) -> DataFrame:
-    """keys, term, tf of each document."""
-    return docs.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    """keys, term, tf of each document; the first key is the document's id.
 
-
-def daily_counts(docs: DataFrame, terms: Column, key: str = "record_id", day: str = "opening_date") -> DataFrame:
-    """day, term, df, tf: documents with the term and its occurrences. Texts are cut up once."""
-    return term_counts(docs, terms, [key, day]).groupBy(day, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    Texts are shuffled by id before they are cut up, which is far less than their terms; the counts then need no shuffle.
+    """
+    return docs.repartition(keys[0]).select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(docs: DataFrame, terms: Column, ends: DataFrame, min_df: int, max_df: float, size: int) -> DataFrame:
+    """``vocabulary_of`` the terms of documents with record_id and opening_date."""
+    return vocabulary_of(term_counts(docs, terms, ["record_id", "opening_date"]), docs, ends, min_df, max_df, size)
+
+
+def vocabulary_of(counts: DataFrame, docs: DataFrame, ends: DataFrame, min_df: int, max_df: float, size: int) -> DataFrame:
     """fold, term, df, tf, n, idf of the terms kept for each fold, fitted on documents dated up to its ``train_end``.
 
-    Terms are counted by day once; folds meet these daily counts, not the texts. Of terms within the document
-    frequency bounds the ``size`` most frequent stay; ties go by term.
+    Terms are counted once for each span between two ends; folds meet these sums, not the texts. Of terms within the
+    document frequency bounds the ``size`` most frequent stay; ties go by term. Documents after the last end aren't counted.
     """
-    until = F.broadcast(ends.select("fold", "train_end"))  # a row for each fold
-    fitted = daily_counts(docs, terms).join(until, F.col("opening_date") <= F.col("train_end")).groupBy("fold", "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
-    sizes = docs.groupBy("opening_date").agg(F.count("*").alias("n")).join(until, F.col("opening_date") <= F.col("train_end")).groupBy("fold").agg(F.sum("n").alias("n"))
+    spans = ends.select(F.col("train_end").alias("until")).distinct().withColumn("after", F.lag("until").over(Window.orderBy("until")))  # a row for each fold
+    inside = (F.col("opening_date") <= F.col("until")) & (F.col("after").isNull() | (F.col("opening_date") > F.col("after")))
+    folds = F.broadcast(ends.select("fold", "train_end"))
+    summed = counts.join(F.broadcast(spans), inside).groupBy("until", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    fitted = summed.join(folds, F.col("until") <= F.col("train_end")).groupBy("fold", "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    sizes = docs.groupBy("opening_date").agg(F.count("*").alias("n")).join(folds, F.col("opening_date") <= F.col("train_end")).groupBy("fold").agg(F.sum("n").alias("n"))
     bounded = fitted.join(F.broadcast(sizes), "fold").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     # The frequency at which the size is reached, from how many terms have each: only terms from there on are ranked.
     above = Window.partitionBy("fold").orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, -1)
@@ -69,9 +75,18 @@ def vocabulary(docs: DataFrame, terms: Column, ends: DataFrame, min_df: int, max
     return ranked.select("fold", "term", "df", "tf", "n", (F.ln((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
+def measured(table: DataFrame, text: str, limit: int = 1 << 27) -> DataFrame:
+    """The table, marked for broadcast if its texts and 64 bytes a row stay below ``limit`` bytes. Pass a written table."""
+    size = table.agg(F.sum(F.octet_length(text) + 64).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(table) if size <= limit else table
+
+
 def tfidf(counts: DataFrame, vocabulary_: DataFrame, keys: list[str]) -> DataFrame:
-    """fold, keys, term, weight: 1 + ln tf, times idf, rows of unit length; the length is taken over a document's own terms."""
-    weighed = counts.join(vocabulary_.select("fold", "term", "idf"), "term").withColumn("w", (1 + F.ln(F.col("tf"))) * F.col("idf"))
+    """fold, keys, term, weight: 1 + ln tf, times idf, rows of unit length; the length is taken over a document's own terms.
+
+    With counts from ``term_counts`` and a ``measured`` vocabulary nothing is shuffled.
+    """
+    weighed = counts.join(vocabulary_, "term").withColumn("w", (1 + F.ln(counts["tf"])) * F.col("idf")).select("fold", *keys, "term", "w")
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("fold", *keys)))
     return weighed.select("fold", *keys, "term", (F.col("w") / length).alias("weight"))
 
@@ -96,16 +111,27 @@ def collapsed(cases: DataFrame, levels: DataFrame, column: str) -> DataFrame:
     return cases.join(known, ["fold", column], "left").withColumn(column, F.when(F.col("known") == 1, F.col(column)).otherwise(C.RARE)).drop("known")
 
 
-def encoded(cases: DataFrame, scales: DataFrame, levels: DataFrame, numbers: list[str], category: str) -> DataFrame:
-    """fold, record_id, feature, value: standardised numbers and one-hot levels, long and sparse."""
+def encoded(cases: DataFrame, scales: DataFrame, numbers: list[str], levels: dict[str, DataFrame], fixed: list[str] | None = None) -> DataFrame:
+    """fold, record_id, feature, value: standardised numbers and one-hot levels, long and sparse.
+
+    ``levels`` has the frequent levels by fold of each category to collapse; the values of ``fixed`` columns, such as units from a
+    closed list, are levels as they are. A missing number gives no row.
+    """
     long = cases.select("fold", "record_id", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numbers])).alias("x"))
-    scaled = long.select("fold", "record_id", "x.*").join(F.broadcast(scales), ["fold", "feature"]).select(
+    out = long.select("fold", "record_id", "x.*").where("v IS NOT NULL").join(F.broadcast(scales), ["fold", "feature"]).select(
         "fold", "record_id", "feature", ((F.col("v") - F.col("mean")) / F.col("std")).alias("value")
     )
-    hot = collapsed(cases.select("fold", "record_id", category), levels, category).select(
-        "fold", "record_id", F.concat(F.lit(f"{category}="), category).alias("feature"), F.lit(1.0).alias("value")
-    )
-    return scaled.unionByName(hot)
+    hot = {c: collapsed(cases.select("fold", "record_id", c), known, c) for c, known in levels.items()} | {c: cases for c in fixed or []}
+    for c, table in hot.items():
+        out = out.unionByName(table.select("fold", "record_id", F.concat(F.lit(f"{c}="), c).alias("feature"), F.lit(1.0).alias("value")))
+    return out
+
+
+def feature_counts(numbers: list[str], levels: DataFrame, folds: DataFrame, units: int) -> DataFrame:
+    """fold, numbers, companies, units, total: the features an encoder gives; companies with the level of all others."""
+    counted = folds.select("fold").join(levels.groupBy("fold").agg(F.count("*").alias("k")), "fold", "left")
+    made = counted.select("fold", F.lit(len(numbers)).cast("long").alias("numbers"), (F.coalesce("k", F.lit(0)) + 1).cast("long").alias("companies"), F.lit(units).cast("long").alias("units"))
+    return made.withColumn("total", F.col("numbers") + F.col("companies") + F.col("units"))
 
 
 def truncated(ids: Column, budget: int, strategy: str = "head", first: int = 1, last: int = 2) -> Column:

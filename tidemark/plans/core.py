@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,20 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
+def shared(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-tables"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table written to a new shared folder and read from there, for plans that use it several times."""
+    path = shared(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def windows(spark: SparkSession) -> DataFrame:
     return folds.splits(folds.temporal_folds(spark, *FOLD_ARGS), TRAIN_START)
 
@@ -230,10 +246,16 @@ _LONG = """SELECT m.model, fold, split, record_id, company, opening_date, target
 def baseline_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds tuned on validation, all metrics on test, for both baselines and every fold in one plan."""
     long = compare.unpivoted(baseline(spark, sf_dir), {"global": "global_score", "company": "company_score"}, ["fold", "split", "record_id", "target_resolved"])
-    tuned = evaluation.best_threshold(long.where("split = 'validation' AND model = 'company'"), ["model", "fold"]).select("model", "fold", "threshold")
-    fixed = long.where("model = 'global'").select("model", "fold").distinct().withColumn("threshold", F.lit(0.5))
-    judged = evaluation.at_threshold(long.where("split = 'test'"), tuned.unionByName(fixed), ["model", "fold"])
-    return rounded(evaluation.metric_set(judged, ["model", "fold", "threshold"]))
+    # One aggregation serves tuning, confusion and ranks: counts of both splits side by side, so that its shuffle is reused.
+    test, hit = F.col("split") == "test", F.col("target_resolved") == 1
+    counts = long.groupBy("model", "fold", "score").agg(
+        F.count_if(~test).alias("vn"), F.count_if(~test & hit).alias("vp"), F.count_if(test).alias("tn"), F.count_if(test & hit).alias("tp")
+    )
+    keys = ["model", "fold"]
+    tuned = evaluation.threshold_of(counts.where("vn > 0").select(*keys, "score", F.col("vn").alias("n"), F.col("vp").alias("p")), keys)
+    chosen = tuned.select(*keys, F.when(F.col("model") == "global", 0.5).otherwise(F.col("threshold")).alias("threshold"))  # the global one is fixed
+    judged = counts.where("tn > 0").select(*keys, "score", F.col("tn").alias("n"), F.col("tp").alias("p")).join(F.broadcast(chosen), keys)
+    return rounded(evaluation.metric_set_of(judged, [*keys, "threshold"]))
 
 
 _THRESHOLDS = Q.threshold("SELECT * FROM l WHERE split = 'validation' AND model = 'company'", "model, fold")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import compare, evaluation, folds, history, report
 from tidemark.plans import sql as Q
-from tidemark.plans.core import IDS, query, rounded, scored, windows
+from tidemark.plans.core import IDS, query, rounded, scored, windows, written
 from tidemark.sources import cases as S
 
 GROUP = ["model", "fold", "split"]
@@ -105,17 +105,44 @@ _FUSED = f"""SELECT fold, weight, threshold, target_resolved, weight * a + (1 -
 query("fusion", f"SELECT fold, weight, round(threshold, 6) AS threshold, {SET} FROM ({Q.confusion(_FUSED, 'fold, weight, threshold')}) JOIN ({Q.ranks(_FUSED, 'fold, weight, threshold')}) USING (fold, weight, threshold)")(fusion)
 
 
-@query("platt_calibration")
+PLATT_STEPS = 12
+
+
+def _platt_sql() -> str:
+    """Counts, then Newton's steps one after the other, then both stages with their metrics: tables of a WITH clause."""
+    x = "ln(least(greatest(score, 1e-6), 1 - 1e-6) / (1 - least(greatest(score, 1e-6), 1 - 1e-6)))"
+    steps = [f"""pc AS MATERIALIZED (SELECT model, fold, split, score, count(*) AS n, CAST(sum(target_resolved) AS BIGINT) AS p, {x} AS x FROM ({Q.SCORED}) GROUP BY ALL)""",
+             "q0 AS (SELECT model, fold, CAST(0 AS DOUBLE) AS slope, ln((sum(p) + 0.5) / (sum(n) - sum(p) + 0.5)) AS intercept FROM pc WHERE split = 'validation' GROUP BY 1, 2)"]
+    for i in range(PLATT_STEPS):
+        steps.append(f"""q{i + 1} AS MATERIALIZED (SELECT model, fold, slope + CASE WHEN abs(det) > 1e-12 THEN (h * gx - hx * g) / det ELSE 0 END AS slope, intercept + CASE WHEN abs(det) > 1e-12 THEN (hxx * g - hx * gx) / det ELSE 0 END AS intercept
+ FROM (SELECT *, hxx * h - hx * hx AS det FROM (SELECT model, fold, slope, intercept, sum(v * x * x) + 1e-6 AS hxx, sum(v * x) AS hx, sum(v) AS h, sum(r * x) - 1e-6 * slope AS gx, sum(r) AS g
+ FROM (SELECT *, n * q * (1 - q) AS v, p - n * q AS r FROM (SELECT *, 1 / (1 + exp(-least(greatest(slope * x + intercept, -35), 35))) AS q FROM pc JOIN q{i} USING (model, fold) WHERE split = 'validation')) GROUP BY model, fold, slope, intercept)))""")
+    last = f"q{PLATT_STEPS}"
+    rows = "SELECT model, fold, stage, score, unnest(range(0, n)) < p AS hit FROM ps WHERE split = "  # a row for each case, as the shared SQL takes rows
+    source = lambda split: f"SELECT model, fold, stage, score, CAST(hit AS INTEGER) AS target_resolved FROM ({rows}'{split}')"
+    steps += [
+        f"""ps AS MATERIALIZED (SELECT model, fold, split, stage, CASE stage WHEN 'before' THEN score ELSE 1 / (1 + exp(-(slope * x + intercept))) END AS score, n, p FROM pc JOIN {last} USING (model, fold) CROSS JOIN (VALUES ('before'), ('after')) t(stage))""",
+        f"pt AS MATERIALIZED ({Q.threshold(source('validation'), 'model, fold, stage')})",
+        f"pj AS MATERIALIZED (SELECT s.*, threshold, CAST(score >= threshold AS INTEGER) AS prediction FROM ({source('test')}) s JOIN pt USING (model, fold, stage))",
+        f"pf AS (SELECT model, fold, stage, threshold, {Q.macro('tp', 'fp', 'fn', 'tn')} AS macro_f1 FROM ({Q.confusion('SELECT * FROM pj', 'model, fold, stage, threshold')}))",
+        """pe AS (SELECT model, fold, stage, sum(abs(s - r) * n) / sum(n) AS ece, max(abs(s - r)) AS max_gap FROM (SELECT model, fold, stage, least(greatest(floor(score * 10), 0), 9) AS bin, count(*) AS n, avg(score) AS s, avg(target_resolved) AS r FROM pj GROUP BY ALL) GROUP BY 1, 2, 3)""",
+        f"pr AS ({Q.ranks('SELECT * FROM pj', 'model, fold, stage')})",
+    ]
+    return "WITH " + ", ".join(steps) + f", px AS (SELECT * FROM pf JOIN pe USING (model, fold, stage) JOIN pr USING (model, fold, stage) JOIN {last} USING (model, fold)) "
+
+
+def _calibration_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["model", "fold"]
+    counts = written(evaluation.score_counts(scored(spark, sf_dir), [*keys, "split"]))
+    model = compare.platt_of(counts.where("split = 'validation'").drop("split"), keys, steps=PLATT_STEPS)
+    return compare.calibration_change(counts, model, keys)
+
+
+@query("platt_calibration", _platt_sql() + """SELECT model, fold, stage, round(threshold, 6) AS threshold, round(macro_f1, 6) AS macro_f1, roc_auc, pr_auc, brier_score,
+ round(ece, 6) AS ece, round(max_gap, 6) AS max_gap, round(slope, 6) AS slope, round(intercept, 6) AS intercept, slope > 0 AS usable FROM px""")
 def platt_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brier score, calibration error and ranking on test before and after; curves are fitted on validation."""
-    long, keys = scored(spark, sf_dir), ["model", "fold"]
-    model = compare.fit_platt(long.where("split = 'validation'"), keys)
-    test = long.where("split = 'test'")
-    both = test.withColumn("stage", F.lit("before")).unionByName(
-        compare.calibrated(test, model, keys).drop("raw_score").withColumn("stage", F.lit("after"))
-    )
-    found = evaluation.rank_metrics(both, [*keys, "stage"]).join(evaluation.calibration_error(both, [*keys, "stage"]), [*keys, "stage"])
-    return rounded(found.join(F.broadcast(model), keys))
+    """All measures on test before and after; curves and both thresholds are fitted on validation."""
+    return rounded(_calibration_change(spark, sf_dir))
 
 
 _MASK_MODELS = ["good", "m1", "m2", "m3"]
@@ -208,18 +235,27 @@ def temporal_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.monthly_trend(monthly, ["model"]))
 
 
-@query("company_generalisation", f"""SELECT model, segment, round(sum(accuracy * records) / sum(records), 6) AS weighted_mean FROM ({metric_set_sql(_SEGMENTED, 'model, fold, segment')}) GROUP BY 1, 2""")
+_SPREAD = ", ".join(
+    f"round(avg({v}), 9) AS {v}_mean, round(coalesce(stddev_samp({v}), 0), 9) AS {v}_std, round(min({v}), 6) AS {v}_min, round(max({v}), 6) AS {v}_max" for v in ("accuracy", "macro_f1")
+)
+
+
+@query("company_generalisation", f"""SELECT model, segment, count(DISTINCT fold) AS folds, {_SPREAD}, CAST(sum(records) AS BIGINT) AS records, round(sum(accuracy * records) / sum(records), 9) AS weighted_mean
+ FROM ({metric_set_sql(_SEGMENTED, 'model, fold, segment')}) GROUP BY 1, 2""")
 def company_generalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(report.weighted_mean(segment_metrics(spark, sf_dir), ["model", "segment"], "accuracy", "records"))
+    """Spread over folds by segment, and accuracy weighted by the records of a fold."""
+    return rounded(report.segment_summary(segment_metrics(spark, sf_dir), ["model", "segment"], ["accuracy", "macro_f1"], "accuracy"), 9)  # means of values of six places end in a 5
+
+
+_CHANGES = ", ".join(
+    f"round(avg({m}) FILTER (WHERE stage = 'before'), 6) AS {m}_before, round(avg({m}) FILTER (WHERE stage = 'after'), 6) AS {m}_after,"
+    f" round(avg({m}) FILTER (WHERE stage = 'after') - avg({m}) FILTER (WHERE stage = 'before'), 6) AS {m}_change" for m in ("brier_score", "ece", "macro_f1")
+)
+_BETTER = ", ".join(f"count(*) FILTER (WHERE a.{m} {sign} b.{m}) AS {m}_improved" for m, sign in (("brier_score", "<"), ("ece", "<"), ("macro_f1", ">")))
 
 
-@query("calibration_summary", f"""SELECT model, count(*) AS pairs, count(*) FILTER (WHERE t.ece < v.ece) AS improved, round(avg(t.ece - v.ece), 6) AS mean_change FROM
- (SELECT * FROM (SELECT {KEYS}, sum(abs(mean_score - observed_rate) * records) / sum(records) AS ece FROM ({_BINS}) GROUP BY ALL) WHERE split = 'test') t
- JOIN (SELECT model, fold, ece FROM (SELECT {KEYS}, sum(abs(mean_score - observed_rate) * records) / sum(records) AS ece FROM ({_BINS}) GROUP BY ALL) WHERE split = 'validation') v USING (model, fold) GROUP BY 1""")
+@query("calibration_summary", _platt_sql() + f""", py AS (SELECT model, fold, stage, round(brier_score, 6) AS brier_score, round(ece, 6) AS ece, round(macro_f1, 6) AS macro_f1 FROM px)
+ SELECT * FROM (SELECT model, count(DISTINCT fold) AS folds, {_CHANGES} FROM py GROUP BY 1) JOIN (SELECT a.model, {_BETTER} FROM py a JOIN py b ON a.model = b.model AND a.fold = b.fold AND a.stage = 'after' AND b.stage = 'before' GROUP BY 1) USING (model)""")
 def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the calibration error changes from validation to test."""
-    error = evaluation.calibration_error(scored(spark, sf_dir), GROUP)
-    t, v = (error.where(F.col("split") == s).select("model", "fold", F.col("ece").alias(s)) for s in ("test", "validation"))
-    return rounded(t.join(v, ["model", "fold"]).groupBy("model").agg(
-        F.count("*").alias("pairs"), F.count_if(F.col("test") < F.col("validation")).alias("improved"), F.avg(F.col("test") - F.col("validation")).alias("mean_change")
-    ))
+    """Brier score, calibration error and macro-F1 before and after calibration, over folds; from reported (rounded) values."""
+    return rounded(compare.calibration_summary(platt_calibration(spark, sf_dir)))

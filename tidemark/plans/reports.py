@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,19 +9,12 @@ from pyspark.sql import types as T
 from tidemark.functions import columns as C
 from tidemark.operators import audit, clean, compare, evaluation, folds, report
 from tidemark.plans import sql as Q
-from tidemark.plans.core import CLEAN, FEATURES, FOLD_ARGS, IDS, TRAIN_START, clean_cases, feature_table, query, rounded, scored, windows
+from tidemark.plans.core import CLEAN, FEATURES, FOLD_ARGS, IDS, TRAIN_START, clean_cases, feature_table, query, rounded, scored, shared, windows
 from tidemark.plans.metrics import _MASK_MODELS, _TEST_F1, test_f1
 from tidemark.sources import cases as S
 from tidemark.sources import files
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-tables"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("overview", f"""SELECT count(*) AS records, count(DISTINCT record_id) AS records_distinct, count(DISTINCT company) AS companies, min(opening_date) AS first_date, max(opening_date) AS last_date,
  round(avg(target_resolved), 6) AS rate, count(*) FILTER (WHERE target_resolved = 1) AS positives FROM ({Q.CASES})""")
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +138,23 @@ def metric_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.metric_validation(test_f1(spark, sf_dir), ["good", "m1", "m2", "mx"], 9, ["macro_f1"])
 
 
-@query("temporal_audit", None)
+_AUDITED = f"""SELECT f.*, records, positives, negatives, first_date, last_date FROM ({Q.SPLITS}) f LEFT JOIN (SELECT fold, split, count(*) AS records, sum(target_resolved) AS positives, sum(1 - target_resolved) AS negatives,
+ min(opening_date) AS first_date, max(opening_date) AS last_date FROM ({Q.OBSERVED}) JOIN ({Q.SPLITS}) ON opening_date BETWEEN low AND high GROUP BY 1, 2) s ON s.fold = f.fold AND s.split = f.split"""
+_AUDIT = {
+    "empty_splits": f"SELECT count(*) FROM ({_AUDITED}) WHERE records IS NULL",
+    "one_outcome": f"SELECT count(*) FROM ({_AUDITED}) WHERE positives = 0 OR negatives = 0",
+    "dates_outside": f"SELECT count(*) FROM ({_AUDITED}) WHERE first_date < low OR last_date > high",
+    "beyond_observation": f"SELECT count(*) FROM ({_AUDITED}) WHERE high > DATE '{FOLD_ARGS[1]}'",
+    "train_overlaps": f"SELECT count(*) FROM ({Q.FOLDS}) WHERE train_end >= validation_start",
+    "validation_overlaps": f"SELECT count(*) FROM ({Q.FOLDS}) WHERE validation_end >= test_start",
+    "gaps_after_train": f"SELECT count(*) FROM ({Q.FOLDS}) WHERE train_end + 1 <> validation_start",
+    "gaps_after_validation": f"SELECT count(*) FROM ({Q.FOLDS}) WHERE validation_end + 1 <> test_start",
+    "misnumbered": f"""SELECT count(*) FROM (SELECT *, row_number() OVER (ORDER BY fold) AS place, lag(validation_start) OVER (ORDER BY fold) AS previous FROM ({Q.FOLDS})) WHERE fold <> place OR train_end >= validation_start
+ OR train_end + 1 <> validation_start OR validation_end + 1 <> test_start OR validation_end < validation_start OR test_end < test_start OR validation_start <= previous""",
+}
+
+
+@query("temporal_audit", "SELECT criterion, value, value = 0 AS passed FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS criterion, ({q}) AS value" for c, q in _AUDIT.items()) + ")")
 def temporal_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.temporal_audit(S.order_cases(spark, sf_dir), folds.temporal_folds(spark, *FOLD_ARGS), TRAIN_START, FOLD_ARGS[1])
 
@@ -228,7 +235,39 @@ def efficiency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.totals(S.table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_quantity", "l_tax"])).withColumn("l_tax_total", F.round("l_tax_total", 4))
 
 
-@query("hash_order")
+@query("prediction_files", f"SELECT model, fold, record_id, opening_date, target_resolved, score, prediction FROM ({Q.SCORED}) WHERE split = 'test'")
+def prediction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed predictions as Parquet by model and fold, and read again: ids stay strings."""
+    path = shared(spark)
+    files.write_predictions(scored(spark, sf_dir, ("test",)).drop("split", "company"), path)
+    return files.read_predictions(spark, path)
+
+
+@query("registered_frame", f"SELECT company, count(*) AS records, round(avg(amount), 4) AS mean_amount FROM ({Q.OBSERVED}) GROUP BY 1")
+def registered_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame under a name that SQL can use, and the result of SQL on it exported."""
+    with files.registered(S.order_cases(spark, sf_dir)) as name:
+        found = spark.sql(f"SELECT company, count(*) AS records, round(avg(amount), 4) AS mean_amount FROM {name} GROUP BY company")
+    path = shared(spark)
+    files.write_table(found, path)
+    return spark.read.parquet(path)
+
+
+@query("source_report", "SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS position FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
+def source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by how many documents they have, ties by name."""
+    return report.by_count(S.table(spark, sf_dir, "documents"), "source")
+
+
+@query("ordered_parts", f"SELECT record_id, company, opening_date, target_resolved, row_number() OVER (ORDER BY opening_date, record_id) AS position FROM ({Q.OBSERVED})")
+def ordered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written in order, and each with its place in the files as read again, one file after the other."""
+    path = shared(spark)
+    files.write_ordered(S.order_cases(spark, sf_dir).select(*IDS), path, ["opening_date", "record_id"])
+    return files.read_placed(spark, path)
+
+
+@query("hash_order", f"SELECT {', '.join(IDS)}, md5(record_id) AS order_hash FROM ({Q.OBSERVED})")
 def hash_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.shuffled(S.order_cases(spark, sf_dir).select(*IDS), "record_id")
 

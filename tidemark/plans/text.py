@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, folds, history, models, report, vectorize
 from tidemark.plans import sql as Q
-from tidemark.plans.core import IDS, TEXT_CASES, query, rounded, windows
+from tidemark.functions import columns as C
+from tidemark.plans.core import FEATURES, IDS, TEXT_CASES, _train_history_sql, feature_table, query, rounded, windows, written
 from tidemark.sources import cases as S
 
 ENDS = "SELECT * FROM (VALUES (1, DATE '2024-06-30'), (2, DATE '2024-09-30')) f(fold, train_end)"
@@ -32,7 +33,7 @@ def ends(spark: SparkSession) -> DataFrame:
 def word_vocabulary_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = S.text_cases(spark, sf_dir)
     counts = vectorize.term_counts(docs, vectorize.word_ngrams(F.col("complaint_text")), ["record_id", "opening_date"])
-    return counts, vectorize.vocabulary(docs, vectorize.word_ngrams(F.col("complaint_text")), ends(spark), 5, 0.9, 100_000)
+    return counts, vectorize.vocabulary_of(counts, docs, ends(spark), 5, 0.9, 100_000)
 
 
 @query("word_vocabulary", f"SELECT fold, term, df, tf, n, round(idf, 6) AS idf FROM ({_vocabulary_sql(_WORD_COUNTS, 0.9, 100_000)})")
@@ -51,7 +52,7 @@ def char_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit-length weights of every document under each fold's vocabulary, summed up by document."""
     counts, vocabulary = word_vocabulary_of(spark, sf_dir)
-    weights = vectorize.tfidf(counts, vocabulary, ["record_id"])
+    weights = vectorize.tfidf(counts, vectorize.measured(written(vocabulary), "term"), ["record_id"])
     return rounded(weights.groupBy("fold", "record_id").agg(F.count("*").alias("terms"), F.sum("weight").alias("weight_sum"), F.max("weight").alias("weight_max")))
 
 
@@ -82,7 +83,56 @@ def frequent_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _numbers(spark, sf_dir, "train"), _numbers(spark, sf_dir, "test")
     scales, levels = vectorize.scaling(train, ["amount", "month"]), vectorize.frequent_levels(train, "company", 220)
-    return rounded(vectorize.encoded(test, scales, levels, ["amount", "month"], "company"))
+    return rounded(vectorize.encoded(test, scales, ["amount", "month"], {"company": levels}))
+
+
+# The metadata features of texts: the fourteen numbers, company and unit, for each fold; later documents are encoded.
+METADATA = [
+    "text_char_count", "text_word_count", "log_text_char_count", "log_text_word_count", "exclamation_count", "question_count", "anonymization_marker_count",
+    "has_exclamation", "has_question", "has_anonymization_marker", "opening_month_sin", "opening_month_cos", "opening_weekday_sin", "opening_weekday_cos",
+]
+_FEATURED = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in METADATA)
+_TEXT_ROWS = lambda when: f"SELECT fold, record_id, company, uf, {_FEATURED} FROM ({FEATURES}) JOIN ({ENDS}) ON {when}"
+_TEXT_LONG = lambda when: f"SELECT fold, record_id, feature, value FROM ({_TEXT_ROWS(when)}) UNPIVOT (value FOR feature IN ({', '.join(METADATA)}))"
+_BEFORE, _LATER = "opening_date <= train_end", "opening_date > train_end"
+_TEXT_SCALES = f"SELECT fold, feature, avg(value) AS mean, CASE WHEN coalesce(stddev_pop(value), 0) = 0 THEN 1 ELSE stddev_pop(value) END AS std FROM ({_TEXT_LONG(_BEFORE)}) GROUP BY 1, 2"
+_TEXT_LEVELS = f"SELECT fold, company AS level FROM ({_TEXT_ROWS(_BEFORE)}) GROUP BY 1, 2 HAVING count(*) >= 10"
+
+
+def _text_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    cases = feature_table(spark, sf_dir).join(F.broadcast(ends(spark)), F.lit(True))  # a row for each fold
+    return cases.where(F.col("opening_date") <= F.col("train_end")), cases.where(F.col("opening_date") > F.col("train_end"))
+
+
+@query("text_metadata", f"""SELECT fold, record_id, feature, round((value - mean) / std, 5) AS value FROM ({_TEXT_LONG(_LATER)}) JOIN ({_TEXT_SCALES}) USING (fold, feature)
+ UNION ALL SELECT t.fold, record_id, 'company=' || coalesce(level, 'RARE_OR_UNSEEN'), 1.0 FROM ({_TEXT_ROWS(_LATER)}) t LEFT JOIN ({_TEXT_LEVELS}) l ON l.fold = t.fold AND l.level = t.company
+ UNION ALL SELECT fold, record_id, 'uf=' || uf, 1.0 FROM ({_TEXT_ROWS(_LATER)})""")
+def text_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fourteen numbers, company and unit of later documents under each fold's encoder."""
+    train, later = _text_rows(spark, sf_dir)
+    return rounded(vectorize.encoded(later, vectorize.scaling(train, METADATA), METADATA, {"company": vectorize.frequent_levels(train, "company", 10)}, ["uf"]), 5)
+
+
+@query("feature_counts", f"""SELECT fold, CAST({len(METADATA)} AS BIGINT) AS numbers, coalesce(k, 0) + 1 AS companies, CAST({len(C.UNITS) + 1} AS BIGINT) AS units, {len(METADATA) + len(C.UNITS) + 2} + coalesce(k, 0) AS total
+ FROM ({ENDS}) LEFT JOIN (SELECT fold, count(*) AS k FROM ({_TEXT_LEVELS}) GROUP BY 1) USING (fold)""")
+def feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many features each fold's encoder gives; units are the closed list and the unknown one."""
+    levels = vectorize.frequent_levels(_text_rows(spark, sf_dir)[0], "company", 10)
+    return vectorize.feature_counts(METADATA, levels, ends(spark), len(C.UNITS) + 1)
+
+
+_TREE_HISTORY = ["company_history_count", "log_company_history_count", "company_history_rate", "global_history_rate"]
+_KEPT = f"SELECT record_id, company, opening_date, target_resolved FROM ({FEATURES})"
+
+
+@query("tree_matrix", f"""SELECT f.record_id, f.company, CASE WHEN trim(uf) = '' THEN 'UNKNOWN' ELSE coalesce(uf, 'UNKNOWN') END AS uf, f.target_resolved, {', '.join(f'CAST({c} AS DOUBLE) + 0.0 AS {c}' for c in [*METADATA, *_TREE_HISTORY])}
+ FROM ({FEATURES}) f JOIN ({_train_history_sql(_KEPT, 'record_id', (30,))}) h ON h.record_id = f.record_id""")
+def tree_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company, unit, fourteen numbers and four history features of each case, as trees take them."""
+    cases = feature_table(spark, sf_dir)
+    past = rounded(history.train_history(cases.select(*IDS), (30,))).select("record_id", *_TREE_HISTORY)
+    unit = F.when(F.trim(F.coalesce("uf", F.lit(""))) == "", "UNKNOWN").otherwise(F.col("uf")).alias("uf")
+    return cases.join(past, "record_id").select("record_id", "company", unit, "target_resolved", *[F.col(c).cast("double").alias(c) for c in [*METADATA, *_TREE_HISTORY]])
 
 
 _INDEX = f"SELECT term, row_number() OVER (ORDER BY tf DESC, term) + 2 AS id FROM (SELECT term, count(*) AS tf FROM (SELECT unnest(w) AS term FROM ({_WORDS})) GROUP BY 1 HAVING count(*) >= 20)"
@@ -93,9 +143,9 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, ids: words as ranks in the table of frequent words, 0 for others, in text order."""
     docs = S.text_cases(spark, sf_dir)
     words = F.regexp_extract_all(vectorize.folded(F.col("complaint_text")), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
-    placed = docs.select("record_id", F.posexplode(words).alias("i", "term"))
-    often = placed.groupBy("term").agg(F.count("*").alias("tf")).where("tf >= 20")
-    index = often.select("term", (F.row_number().over(Window.orderBy(F.desc("tf"), "term")) + 2).cast("long").alias("id"))  # a vocabulary: no rows of texts
+    placed = docs.repartition("record_id").select("record_id", F.posexplode(words).alias("i", "term"))
+    often = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("tf")).where("tf >= 20")
+    index = vectorize.measured(written(report.ranked(often, "tf", "term").select("term", (F.col("position") + 2).alias("id"))), "term")
     found = placed.join(index, "term", "left").groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("id", F.lit(0)).alias("id")))).alias("x"))
     return found.select("record_id", F.col("x.id").alias("ids"))
 
@@ -142,7 +192,26 @@ def tuning_split(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "test": history.future_history(past, later.where("opening_date BETWEEN DATE '1999-04-01' AND DATE '1999-06-30'"), end),
     }
     angle = 2 * F.pi() * F.month("opening_date") / 12
-    return {k: v.withColumns({"amount_log": F.ln(1 + F.col("amount")), "month_sin": F.sin(angle), "month_cos": F.cos(angle)}).persist() for k, v in made.items()}
+    return {k: written(v.withColumns({"amount_log": F.ln(1 + F.col("amount")), "month_sin": F.sin(angle), "month_cos": F.cos(angle)})) for k, v in made.items()}
+
+
+_HISTORY = f"""SELECT split, count(*) AS records, CAST(sum(target_resolved) AS BIGINT) AS positives, round(avg(company_history_count), 6) AS mean_count, round(avg(company_history_rate), 6) AS mean_rate, round(avg(company_history_rate_90d), 6) AS mean_recent_rate FROM (
+ SELECT 'train' AS split, target_resolved, company_history_count, company_history_rate, company_history_rate_90d FROM ({_train_history_sql(f"SELECT * FROM ({Q.OBSERVED}) WHERE opening_date <= DATE '1998-12-31'", 'target_resolved', (90,))})
+ UNION ALL SELECT split, target_resolved, coalesce(n, 0), {Q.div('p', 'coalesce(n, 0)', 'g')}, {Q.div('p90', 'coalesce(n90, 0)', Q.div('p', 'coalesce(n, 0)', 'g'))}
+ FROM (SELECT *, CASE WHEN opening_date <= DATE '1999-03-31' THEN 'validation' ELSE 'test' END AS split FROM ({Q.OBSERVED}) WHERE opening_date BETWEEN DATE '1999-01-01' AND DATE '1999-06-30')
+ LEFT JOIN (SELECT company, count(*) AS n, sum(target_resolved) AS p, count(*) FILTER (WHERE opening_date > DATE '1998-12-31' - 90) AS n90, coalesce(sum(target_resolved) FILTER (WHERE opening_date > DATE '1998-12-31' - 90), 0) AS p90
+ FROM ({Q.OBSERVED}) WHERE opening_date <= DATE '1998-12-31' GROUP BY 1) USING (company)
+ CROSS JOIN (SELECT avg(target_resolved) AS g FROM ({Q.OBSERVED}) WHERE opening_date <= DATE '1998-12-31')) GROUP BY 1"""
+
+
+@query("tuning_history", _HISTORY)
+def tuning_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History features of the tuning split, summed up by split."""
+    long = report.union_padded([v.select(F.lit(k).alias("split"), "target_resolved", "company_history_count", "company_history_rate", "company_history_rate_90d") for k, v in tuning_split(spark, sf_dir).items()])
+    return rounded(long.groupBy("split").agg(
+        F.count("*").alias("records"), F.sum("target_resolved").cast("long").alias("positives"), F.avg("company_history_count").alias("mean_count"),
+        F.avg("company_history_rate").alias("mean_rate"), F.avg("company_history_rate_90d").alias("mean_recent_rate"),
+    ))
 
 
 @query("logistic_model")
@@ -185,6 +254,64 @@ def seed_refits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.seed_stability(report.union_padded(tables)))
 
 
+# Feature sets of the linear model, as blocks of one matrix.
+FEATURE_SETS = {
+    "word": ["word"], "char": ["char"], "word_char": ["word", "char"], "metadata": ["metadata"], "metadata_company": ["metadata", "company"],
+    "text_metadata": ["word", "metadata", "company"], "text_metadata_history": ["word", "metadata", "company", "history"],
+    "text_metadata_recent_history": ["word", "metadata", "company", "history", "recent"],
+}
+_LONG_HISTORY = [*_TREE_HISTORY, "company_seen_before"]
+_RECENT = [f"company_history_rate_{d}d" for d in history.WINDOWS] + [f"log_company_history_count_{d}d" for d in history.WINDOWS]
+
+
+def text_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Labelled cases with features and history, and the long blocks of the first fold: word, char, metadata, company, history, recent."""
+    end = ends(spark).where("fold = 1")
+    cases = written(feature_table(spark, sf_dir))
+    past = cases.join(F.broadcast(end), F.lit(True))
+    train, later = past.where("opening_date <= train_end"), past.where("opening_date > train_end")
+    known = history.train_history(train.select(*IDS)).select("record_id", *_LONG_HISTORY, *_RECENT).unionByName(
+        history.future_history(train.select(*IDS), later.select("fold", *IDS), end).select("record_id", *_LONG_HISTORY, *_RECENT)
+    )
+    rows = written(past.join(known, "record_id"))
+    train = rows.where("opening_date <= train_end")
+    levels = {"company": vectorize.frequent_levels(train, "company", 10)}
+    none = spark.createDataFrame([], "fold int, feature string, mean double, std double")
+
+    def scaled(numbers):
+        return vectorize.encoded(rows, vectorize.scaling(train, numbers), numbers, {})
+
+    def text(terms, most):
+        counts = vectorize.term_counts(rows, terms, ["record_id", "opening_date"])
+        kept = vectorize.measured(written(vectorize.vocabulary_of(counts, rows, end, 5, most, 100_000)), "term")
+        return vectorize.tfidf(counts, kept, ["record_id"]).withColumnsRenamed({"term": "feature", "weight": "value"})
+
+    body = F.col("complaint_text")
+    blocks = {
+        "word": text(vectorize.word_ngrams(body), 0.9), "char": text(vectorize.char_ngrams(body), 0.95),
+        "metadata": vectorize.encoded(rows, vectorize.scaling(train, METADATA), METADATA, {}, ["uf"]),
+        "company": vectorize.encoded(rows, none, METADATA, levels), "history": scaled(_LONG_HISTORY), "recent": scaled(_RECENT),
+    }
+    return rows, blocks
+
+
+@query("feature_set_models")
+def feature_set_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear model on each feature set: threshold tuned on the quarter after training, metrics on what comes later."""
+    rows, blocks = text_blocks(spark, sf_dir)
+    matrix, index = models.feature_matrix(blocks, ["record_id"])
+    matrix, size = written(matrix), index.count()
+    named = rows.select("record_id", "opening_date", "target_resolved")
+    periods = ["opening_date <= DATE '2024-06-30'", "opening_date BETWEEN DATE '2024-07-01' AND DATE '2024-09-30'", "opening_date > DATE '2024-09-30'"]
+
+    def judged(item):
+        name, chosen = item
+        shaped = named.join(models.chosen_blocks(matrix, chosen, ["record_id"], size), "record_id")
+        return models.fit_and_judge(*[shaped.where(p) for p in periods], lambda t: models.fit_logistic(t, 1e-3, 20), name)
+
+    return rounded(report.union_padded(models.side_by_side(judged, FEATURE_SETS.items())))
+
+
 @query("text_bayes_model")
 def text_bayes_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complement naive Bayes on TF-IDF weights of labelled documents, judged on later ones."""
@@ -192,8 +319,9 @@ def text_bayes_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = vectorize.term_counts(docs, vectorize.word_ngrams(F.col("complaint_text")), ["record_id", "opening_date"])
     end = ends(spark).where("fold = 1")
     vocabulary = vectorize.vocabulary(docs, vectorize.word_ngrams(F.col("complaint_text")), end, 5, 0.9, 100_000)
-    terms = vocabulary.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("index")).persist()
-    vectors = models.sparse_vectors(vectorize.tfidf(counts, vocabulary, ["record_id"]), terms, ["record_id"])
-    rows = docs.select("record_id", "opening_date", "target_resolved").join(vectors, "record_id").persist()
+    weights = vectorize.tfidf(counts, vectorize.measured(written(vocabulary), "term"), ["record_id"]).withColumnsRenamed({"term": "feature", "weight": "value"})
+    matrix, index = models.feature_matrix({"word": weights}, ["record_id"])
+    vectors = models.chosen_blocks(matrix, ["word"], ["record_id"], index.count())
+    rows = written(docs.select("record_id", "opening_date", "target_resolved").join(vectors, "record_id"))
     parts = [rows.where(c) for c in ("opening_date <= DATE '2024-06-30'", "opening_date BETWEEN DATE '2024-07-01' AND DATE '2024-09-30'", "opening_date > DATE '2024-09-30'")]
     return rounded(models.fit_and_judge(*parts, models.fit_complement_bayes, "bayes"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PREDICTION_KEYS = ["model", "fold", "split"]
+PREDICTION = "record_id string, opening_date date, target_resolved int, score double, prediction int, model string, fold int"
 
 
 def read_corpus_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -37,6 +41,36 @@ def write_ordered(df: DataFrame, path: str, order: list[str]) -> None:
     df.orderBy(*order).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def read_placed(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``write_ordered`` with ``position``: rows of the files before, in order of their names, and within the file."""
+    read = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("file_"), F.col("_metadata.row_index").alias("row_"))
+    before = Window.orderBy("file_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    files = read.groupBy("file_").agg(F.count("*").alias("rows_")).select("file_", F.coalesce(F.sum("rows_").over(before), F.lit(0)).alias("start_"))
+    return read.join(F.broadcast(files), "file_").withColumn("position", F.col("start_") + F.col("row_") + 1).drop("file_", "row_", "start_")
+
+
+def write_predictions(df: DataFrame, path: str) -> None:
+    """Long predictions with declared types, in folders by model and fold; large groups are spread over several files."""
+    typed = df.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(PREDICTION)])
+    write_table(typed.hint("rebalance", "model", "fold"), path, ["model", "fold"])
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """The predictions below a folder; types are declared, so that ids that look like numbers stay strings."""
+    return spark.read.schema(PREDICTION).parquet(path)
+
+
+@contextmanager
+def registered(df: DataFrame) -> Iterator[str]:
+    """A name under which SQL finds the frame while the block lasts; plans made within it stay valid."""
+    name = f"frame_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(name)
+    try:
+        yield name
+    finally:
+        df.sparkSession.catalog.dropTempView(name)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
