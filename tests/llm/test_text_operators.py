@@ -8,6 +8,7 @@ from array import array
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import automaton, bpe, decontaminate, htmltext, pii, secrets, tokenfile, urls
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import shared_dir, slices
 from tidemark.llm.queries import QUERIES
 
 RANKS = bpe.parse_ranks(open(P.path("byte_bpe_50k.tiktoken"), "rb").read())
@@ -338,3 +339,11 @@ def test_round_trip_digests(spark, sf, texts):
     ids = pq.read_table(f"{sf}/documents.parquet")["doc_id"].to_pylist()
     for r in QUERIES["op1_bpe_round_trip"](spark, sf).collect():
         assert r.decoded_sha256 == hashlib.sha256(texts[ids.index(r.doc_id)].encode()).hexdigest()
+
+
+def test_batches_go_in_bounded_slices():
+    texts = ["a" * 1000] * 50 + [None, "b" * 90_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(53)), pa.array(texts)], names=["id", "text"])
+    parts = list(slices(batch, 20_000))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and max(p.num_rows for p in parts) < 10
+    assert list(slices(batch.slice(0, 0))) == [] and [p.num_rows for p in slices(batch)] == [53]

@@ -43,6 +43,17 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: A batch is handed to Python functions in slices of about so many bytes, so that what a worker holds doesn't grow with batches.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in parts of about ``size`` bytes, if they are of like length; none for a batch without rows."""
+    rows = max(1, batch.num_rows * size // max(size, batch.nbytes))
+    for low in range(0, batch.num_rows, rows):
+        yield batch.slice(low, rows)
+
+
 def add_columns(
     df: DataFrame,
     inputs: list[str],
@@ -70,11 +81,12 @@ def add_columns(
         kinds = [to_arrow_type(f.dataType) for f in fields]
         apply = start()
         for batch in batches:
-            size = len(keep)
-            made = apply(*[batch.column(i) for i in places])
-            made = [m if isinstance(m, pa.Array) else pa.array(m, kind) for m, kind in zip(made, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(size)] + made, names=keep + names)
-            del batch, made
+            for part in slices(batch):
+                made = apply(*[part.column(i) for i in places])
+                made = [m if isinstance(m, pa.Array) else pa.array(m, kind) for m, kind in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=keep + names)
+                del part, made
+            del batch
             pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
