@@ -44,8 +44,23 @@ EMBEDDING_DUPLICATES = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedd
  c AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1), n AS (SELECT x, count(*) AS n_links FROM l GROUP BY 1)
  SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id"""
 
+
+
+def _terms(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+LEXICAL_SEARCH = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, w FROM (SELECT doc_id, {_terms('text')} AS w FROM documents) WHERE len(w) > 0),
+ c AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+ p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+ g AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY term, n_docs),
+ q AS (SELECT DISTINCT item_id, unnest({_terms('text')}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+ s AS (SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN g USING (term) JOIN p USING (term), c GROUP BY ALL)
+ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
 ORACLE_SQL = {
     "op4_decontamination": DECONTAMINATION,
     "op6_url_filter": URL_FILTER,
     "op8_embedding_duplicates": EMBEDDING_DUPLICATES,
+    "op12_lexical_search": LEXICAL_SEARCH,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, htmltext, neardup, pii, quality, secrets, tokenfile, urls, vectordup
+from tidemark.llm import bpe, decontaminate, hnsw, htmltext, lexical, neardup, pii, quality, secrets, tokenfile, urls, vectordup, whitening
 from tidemark.llm.common import shared_dir, table
 from tidemark.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -99,6 +99,31 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every vector."""
+    made = whitening.whitened(table(spark, sf_dir, "embeddings"), shared_dir(spark))
+    return made.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item."""
+    folder = shared_dir(spark)
+    index, n, _ = lexical.index(table(spark, sf_dir, "documents"), folder)
+    return lexical.search(index, n, table(spark, sf_dir, "benchmark"), folder)
+
+
+#: Results of a query of the nearest vectors.
+NEAREST = 20
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors found for each vector whose id is divisible by twenty."""
+    folder = shared_dir(spark)
+    vectors = hnsw.vectors_of(table(spark, sf_dir, "embeddings"), folder)
+    graphs = hnsw.index(vectors, folder, NEAREST)
+    return hnsw.nearest(graphs, vectors.where(F.col("vec") % 20 == 0), folder, NEAREST)
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_near_duplicates": op2_near_duplicates,
@@ -110,4 +135,7 @@ QUERIES = {
     "op8_embedding_duplicates": op8_embedding_duplicates,
     "op9_html_text": op9_html_text,
     "op10_personal_data": op10_personal_data,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_nearest_vectors": op13_nearest_vectors,
 }
