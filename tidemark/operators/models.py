@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, NaiveBayes
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import DenseVector, VectorUDT
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import evaluation as E
 
@@ -34,11 +38,24 @@ def feature_matrix(blocks: dict[str, DataFrame], keys: list[str]) -> tuple[DataF
     return long.join(index, ["block", "feature"]).select(*keys, "block", "index", F.col("value").alias("weight")), index
 
 
-def chosen_blocks(matrix: DataFrame, blocks: list[str], keys: list[str], size: int) -> DataFrame:
-    """keys, features: sparse vectors with the entries of some blocks of a ``feature_matrix`` of that many features."""
-    some = matrix.where(F.col("block").isin(*blocks)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("index", "weight"))).alias("x"))
-    made = F.udf(lambda places, weights: SparseVector(size, places, weights), VectorUDT())  # once a document
-    return some.select(*keys, made("x.index", "x.weight").alias("features"))
+def feature_sets(matrix: DataFrame, sets: dict[str, list[str]], keys: list[str], size: int, path: str) -> DataFrame:
+    """keys and a sparse vector column for each named set of blocks of a ``feature_matrix`` of ``size`` features.
+
+    One shuffle by document serves all sets. The vectors are written as the structs that they consist of and read as vectors, so the JVM
+    makes them. A document without entries in a set has an empty vector; one without any entry isn't in the table.
+    """
+    held = matrix.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("index", "weight", "block"))).alias("x"))  # a document's entries
+
+    def vector(blocks):
+        own = F.filter("x", lambda e: e["block"].isin(*blocks))
+        return F.struct(
+            F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.transform(own, lambda e: e["index"]).alias("indices"),
+            F.transform(own, lambda e: e["weight"]).alias("values"),
+        )
+
+    held.select(*keys, *[vector(blocks).alias(name) for name, blocks in sets.items()]).write.parquet(path)
+    fields = [matrix.schema[k] for k in keys] + [T.StructField(name, VectorUDT()) for name in sets]
+    return matrix.sparkSession.read.schema(T.StructType(fields)).parquet(path)
 
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,44 +73,135 @@ def fit_complement_bayes(train: DataFrame, smoothing: float = 1.0):
     return NaiveBayes(labelCol="target_resolved", modelType="complement", smoothing=smoothing).fit(train)
 
 
-def fit_trees(train: DataFrame, categories: list[str], numbers: list[str], rounds: int = 30, depth: int = 4, seed: int = 42, share: float = 1.0):
-    """Boosted trees over numbers and target-encoded categories; rows with ``is_validation`` stop the rounds.
+def fit_sgd(train: DataFrame, alpha: float = 1e-4, epochs: int = 5, seed: int = 42, batch: int = 16) -> tuple[LogisticRegressionModel, list[float]]:
+    """L2 logistic model by mini-batch descent over a number of epochs, and the loss over all rows after each epoch.
 
-    With a ``share`` below 1 each tree sees that share of the rows and a third of the features, drawn by ``seed``. The encoder
-    sees train rows only. Returns (encoder, model, feature columns).
+    ``train`` has record_id, target_resolved and ``features``. Each partition goes through its rows in an order that seed, epoch and record_id
+    decide, from the common weights on; at the end of an epoch the partitions' weights are averaged by their rows, in a tree.
+    Steps fall as 1 / (alpha (t0 + t)), from at most 2 over the mean squared length of a row on. Pass a written table: it is read once an epoch, and once for the last loss.
     """
+    import numpy as np
+    import pyarrow as pa
+
+    raw = train.select("record_id", F.col("target_resolved").cast("int").alias("y"), F.unwrap_udt("features").alias("x"))
+    dense = F.sequence(F.lit(0), F.greatest(F.size("x.values"), F.lit(1)) - 1)  # a dense vector has neither places nor size
+    rows = raw.select("record_id", "y", F.coalesce("x.size", F.size("x.values")).alias("size"), F.coalesce("x.indices", dense).alias("indices"), F.col("x.values").alias("values"))
+    known = rows.agg(F.max("size").alias("size"), F.avg(F.aggregate("values", F.lit(0.0), lambda a, v: a + v * v)).alias("square")).first()
+    if known["size"] is None:
+        raise ValueError("no rows to fit")
+    size = known["size"]
+    start = min(math.sqrt(1 / math.sqrt(alpha)), 2 / max(known["square"], 1e-12))  # long rows would overshoot
+    t0 = 1 / (alpha * start)
+    weights, steps, losses = np.zeros(size + 1), 0, []  # the intercept stands last
+    for epoch in range(epochs + 1):
+        learn = epoch < epochs
+
+        def task(batches, weights=weights, steps=steps, learn=learn):
+            w, n, t, loss = weights.copy(), 0, steps, 0.0
+            for part in batches:
+                starts = part.column("indices").offsets.to_numpy()
+                places, values = (part.column(c).values.to_numpy()[starts[0] : starts[-1]] for c in ("indices", "values"))
+                starts, y = starts - starts[0], part.column("y").to_numpy().astype(np.float64)
+                for low in range(0, len(y), batch):
+                    high = min(low + batch, len(y))
+                    at, v = places[starts[low] : starts[high]], values[starts[low] : starts[high]]
+                    row = np.repeat(np.arange(high - low), np.diff(starts[low : high + 1]))
+                    z = np.bincount(row, v * weights[at], high - low) + weights[-1]
+                    loss += float(np.logaddexp(0, np.where(y[low:high] > 0, -z, z)).sum())
+                    if learn:
+                        z = np.bincount(row, v * w[at], high - low) + w[-1]
+                        miss = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[low:high]
+                        rate = 1 / (alpha * (t0 + t))
+                        w[:-1] *= 1 - rate * alpha
+                        np.subtract.at(w, at, rate / (high - low) * v * miss[row])
+                        w[-1] -= rate * miss.mean()
+                        t += 1
+                n += len(y)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([(w * n).tobytes()], pa.binary()), pa.array([n]), pa.array([t - steps]), pa.array([loss])], names=["w", "n", "t", "loss"])
+
+        turn = rows.select("y", "indices", "values", F.xxhash64(F.lit(seed), F.lit(epoch), "record_id").alias("turn")).sortWithinPartitions("turn")
+        made = turn.drop("turn").mapInArrow(task, "w binary, n bigint, t bigint, loss double").rdd.map(lambda r: (np.frombuffer(r.w), r.n, r.t, r.loss))
+        total, n, took, loss = made.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2]), a[3] + b[3]))
+        if epoch:
+            losses.append(loss / n + alpha / 2 * float(weights[:-1] @ weights[:-1]))
+        if learn:
+            weights, steps = total / n, steps + took
+    sc = train.sparkSession.sparkContext
+    java = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(f"sgd_{seed}", _py2java(sc, DenseVector(weights[:-1])), float(weights[-1]))
+    return LogisticRegressionModel(java), losses
+
+
+def encode_trees(train: DataFrame, categories: list[str], numbers: list[str]):
+    """(encoder, columns) of target-encoded categories and numbers; the encoder sees only ``train``."""
     coded, placed = [f"{c}_coded" for c in categories], [f"{c}_place" for c in categories]
     encoder = Pipeline(stages=[
         StringIndexer(inputCols=categories, outputCols=placed, handleInvalid="keep"),
         TargetEncoder(inputCols=placed, outputCols=coded, labelCol="target_resolved", targetType="binary", handleInvalid="keep", smoothing=10.0),
-    ]).fit(train.where("NOT is_validation"))
-    shaped = assembled(encoder.transform(train), [*coded, *numbers])
-    model = GBTClassifier(
-        labelCol="target_resolved", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.1, validationIndicatorCol="is_validation", validationTol=1e-4,
-        subsamplingRate=share, featureSubsetStrategy="all" if share == 1.0 else "onethird",
-    ).fit(shaped)
-    return encoder, model, [*coded, *numbers]
+    ]).fit(train)
+    return encoder, [*coded, *numbers]
+
+
+def fit_trees(train: DataFrame, rounds: int = 30, depth: int = 4, rate: float = 0.1, seed: int = 42, share: float = 1.0) -> GBTClassificationModel:
+    """Boosted trees on ``features``, all rounds of them; with a ``share`` below 1 each tree sees that share of the rows and a third of the features."""
+    return GBTClassifier(
+        labelCol="target_resolved", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=rate, subsamplingRate=share,
+        featureSubsetStrategy="all" if share == 1.0 else "onethird",
+    ).fit(train)
+
+
+def round_losses(model: GBTClassificationModel, validation: DataFrame) -> list[float]:
+    """Log loss on ``validation`` after each round, of all rounds in one pass."""
+    return [loss / 2 for loss in model.evaluateEachIteration(validation)]  # Spark's loss is twice that
 
 
-def score(model, df: DataFrame, name: str) -> DataFrame:
-    """Long predictions of one split: ``model`` and the probability of the positive outcome as ``score``."""
-    return model.transform(df).withColumns({"model": F.lit(name), "score": vector_to_array("probability")[1]}).drop("features", "rawPrediction", "probability", "prediction")
+def cut_trees(model: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The model of the first rounds only."""
+    java = model._java_obj
+    sc = SparkContext._active_spark_context
+    kind = sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    trees, weights = sc._gateway.new_array(kind, rounds), sc._gateway.new_array(sc._jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    return GBTClassificationModel(sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{java.uid()}_{rounds}", trees, weights))
 
 
-def fit_and_judge(train: DataFrame, validation: DataFrame, test: DataFrame, fit, name: str) -> DataFrame:
-    """Fit, tune the threshold on validation, all metrics on test."""
-    model = fit(train)
-    tuned = E.best_threshold(score(model, validation, name), ["model"])
-    return E.metric_set(E.at_threshold(score(model, test, name), tuned, ["model"]), ["model", "threshold"])
+def best_round(losses: list[float]) -> int:
+    """The number of the first round with the least loss, from 1."""
+    return 1 + min(range(len(losses)), key=lambda i: (losses[i], i))
+
+
+def judged(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, split, threshold and all metrics of validation and test, at the threshold that is best on validation.
+
+    ``scores`` has keys, split, score, target_resolved, of as many models as there are: one plan judges all.
+    """
+    counts = E.score_counts(scores, [*keys, "split"])
+    tuned = E.threshold_of(counts.where("split = 'validation'"), keys).select(*keys, "threshold")
+    return E.metric_set_of(counts.join(F.broadcast(tuned), keys), [*keys, "split", "threshold"])  # a row for each model
 
 
 def side_by_side(task, items, parallelism: int = 4) -> list:
-    """``task`` of each item, several at a time; each submits Spark jobs of its own."""
+    """``task`` of each item, several at a time; each submits Spark jobs of its own.
+
+    Each runs in a scheduler pool of its own: with spark.scheduler.mode FAIR in the cluster's settings all get their turn, else the first comes first.
+    """
+    def pooled(numbered):
+        place, item = numbered
+        sc = SparkContext._active_spark_context
+        sc.setLocalProperty("spark.scheduler.pool", f"fit-{place % parallelism}")
+        return task(item)
+
     with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(task, items))
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(pooled), enumerate(items)))
 
 
-def tune(train: DataFrame, validation: DataFrame, candidates: dict[str, object], parallelism: int = 4) -> DataFrame:
-    """name, threshold, macro_f1 on validation for each candidate (name to fit function), fitted side by side."""
-    tables = side_by_side(lambda item: E.best_threshold(score(item[1](train), validation, item[0]), ["model"]), candidates.items(), parallelism)
+def scored_sets(fitted, parts: dict[str, DataFrame], **names) -> DataFrame:
+    """Long scores of a model on each split, with ``names`` as columns."""
+    tables = [
+        fitted.transform(df).select(
+            *[F.lit(v).alias(k) for k, v in names.items()], F.lit(split).alias("split"), "record_id", "target_resolved", vector_to_array("probability")[1].alias("score")
+        )
+        for split, df in parts.items()
+    ]
     return reduce(DataFrame.unionByName, tables)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators import selection
 
 
 def overview(cases: DataFrame) -> DataFrame:
@@ -34,15 +35,27 @@ def group_rates(cases: DataFrame, key, name: str) -> DataFrame:
     )
 
 
-def distribution(cases: DataFrame, columns: list[str], keys: list[str], approximate: bool = False) -> DataFrame:
-    """feature, mean, median, p90, p95, max by keys; exact interpolated percentiles unless ``approximate``."""
-    long = cases.select(*keys, F.explode(F.array(*[
+def long_values(cases: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """keys, feature, value: a row for each column."""
+    return cases.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
     ])).alias("x")).select(*keys, "x.*")
-    at = (lambda q: F.percentile_approx("value", q, 10_000)) if approximate else (lambda q: F.percentile("value", F.lit(q)))
-    return long.groupBy(*keys, "feature").agg(
-        F.avg("value").alias("mean"), at(0.5).alias("median"), at(0.9).alias("p90"), at(0.95).alias("p95"), F.max("value").alias("max")
-    )
+
+
+def distribution(cases: DataFrame, columns: list[str], keys: list[str], approximate: bool = False) -> DataFrame:
+    """feature, mean, median, p90, p95, max by keys; exact interpolated percentiles unless ``approximate``.
+
+    The exact ones come from places in a total order (``selection``), so that no task holds the values of a group.
+    """
+    long = long_values(cases, columns, keys)
+    plain = [F.avg("value").alias("mean"), F.max("value").alias("max")]
+    wanted = {"median": 0.5, "p90": 0.9, "p95": 0.95}
+    if approximate:
+        return long.groupBy(*keys, "feature").agg(*plain, *[F.percentile_approx("value", q, 10_000).alias(name) for name, q in wanted.items()])
+    means = long.groupBy(*keys, "feature").agg(*plain).withColumnsRenamed({k: f"mean_{k}" for k in keys})
+    found = selection.quantiles(long, [*keys, "feature"], "value", wanted).drop("n").withColumnRenamed("feature", "feature_")
+    same = [F.col("feature") == F.col("feature_"), *[F.col(f"mean_{k}").eqNullSafe(F.col(k)) for k in keys]]
+    return means.join(found, same, "left").select(*[F.col(f"mean_{k}").alias(k) for k in keys], "feature", "mean", *wanted, "max")
 
 
 def metric_summary(metrics: DataFrame, keys: list[str], values: list[str], single: float | None = 0.0) -> DataFrame:
@@ -146,11 +159,8 @@ def by_count(df: DataFrame, key: str) -> DataFrame:
 
 
 def ranked(counts: DataFrame, n: str, key: str) -> DataFrame:
-    """Add ``position`` by descending ``n``, then key: places within equal counts, after how many rows have a greater one."""
-    above = Window.orderBy(F.desc(n)).rowsBetween(Window.unboundedPreceding, -1)  # a row for each distinct count
-    sizes = counts.groupBy(n).agg(F.count("*").alias("rows_")).select(n, F.coalesce(F.sum("rows_").over(above), F.lit(0)).alias("before_"))
-    inside = F.row_number().over(Window.partitionBy(n).orderBy(key))
-    return counts.withColumn("inside_", inside).join(sizes, n).withColumn("position", (F.col("before_") + F.col("inside_")).cast("long")).drop("before_", "inside_")
+    """Add ``position`` by descending ``n``, then key; ties of any number stay spread, as places come from a table in order."""
+    return selection.placed(counts, [F.desc(n), F.col(key)])
 
 
 def significant(tests: DataFrame, p: str, size: str, level: float = 0.05) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators import selection
 
 #: Latin letters with marks, and the letters without.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -146,14 +147,20 @@ def truncated(ids: Column, budget: int, strategy: str = "head", first: int = 1,
 
 
 def token_profile(lengths: DataFrame, variants: dict[str, int], limits: tuple[int, ...] = (128, 256, 384, 512)) -> DataFrame:
-    """Length statistics, and what each variant's budget cuts; ``lengths`` has n_tokens without special ids."""
+    """Length statistics, and what each variant's budget cuts; ``lengths`` has n_tokens without special ids.
+
+    Everything starts from how many records have each length; the percentiles are the same for all variants and are taken once.
+    """
+    named = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    counts = lengths.where("n_tokens IS NOT NULL").groupBy("n_tokens").agg(F.count("*").alias("k"))
     made = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(b - 2).alias("room")) for v, b in variants.items()]))
-    long = lengths.select("n_tokens", made.alias("x")).select("n_tokens", "x.*")
-    cut = F.col("n_tokens") > F.col("room")
-    return long.groupBy("variant").agg(
-        F.count("*").alias("records"), F.avg("n_tokens").alias("mean"),
-        *[F.percentile("n_tokens", F.lit(q)).alias(name) for name, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))],
-        F.max("n_tokens").cast("long").alias("max"), *[F.avg((F.col("n_tokens") > k).cast("double")).alias(f"over_{k}") for k in limits],
-        C.count_if(cut).alias("truncated"), F.avg(F.least("n_tokens", "room")).alias("retained_mean"),
-        F.avg(F.greatest(F.col("n_tokens") - F.col("room"), F.lit(0))).alias("discarded_mean"),
+    long = counts.select("n_tokens", "k", made.alias("x")).select("n_tokens", "k", "x.*")
+    cut, mean = F.col("n_tokens") > F.col("room"), lambda c: F.sum(c * F.col("k")) / F.sum("k")
+    held = long.groupBy("variant").agg(
+        F.sum("k").cast("long").alias("records"), mean(F.col("n_tokens")).alias("mean"), F.max("n_tokens").cast("long").alias("max"),
+        *[mean((F.col("n_tokens") > limit).cast("double")).alias(f"over_{limit}") for limit in limits],
+        F.coalesce(F.sum(F.when(cut, F.col("k"))), F.lit(0)).cast("long").alias("truncated"), mean(F.least("n_tokens", "room")).alias("retained_mean"),
+        mean(F.greatest(F.col("n_tokens") - F.col("room"), F.lit(0))).alias("discarded_mean"),
     )
+    found = selection.quantiles(lengths, [], "n_tokens", named).drop("n")
+    return held.join(F.broadcast(found), F.lit(True)).select("variant", "records", "mean", *named, "max", *[f"over_{k}" for k in limits], "truncated", "retained_mean", "discarded_mean")  # one row

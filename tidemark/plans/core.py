@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from tidemark.functions import columns as C
 from tidemark.operators import clean, compare, evaluation, folds, history, report
 from tidemark.plans import sql as Q
 from tidemark.sources import cases as S
+from tidemark.sources.files import shared
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -33,13 +32,6 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
-def shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-tables"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame) -> DataFrame:
     """The table written to a new shared folder and read from there, for plans that use it several times."""
     path = shared(df.sparkSession)

@@ -1,11 +1,11 @@
-"""Queries of text and tabular features, and of the models."""
+"""Queries of text and tabular features."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluation, folds, history, models, report, vectorize
+from tidemark.operators import folds, history, report, vectorize
 from tidemark.plans import sql as Q
 from tidemark.functions import columns as C
 from tidemark.plans.core import FEATURES, IDS, TEXT_CASES, _train_history_sql, feature_table, query, rounded, windows, written
@@ -104,6 +104,18 @@ def _text_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return cases.where(F.col("opening_date") <= F.col("train_end")), cases.where(F.col("opening_date") > F.col("train_end"))
 
 
+_GROUPED = f"""SELECT unnest(['all', CASE target_resolved WHEN 1 THEN 'resolved' ELSE 'unresolved' END]) AS outcome, feature, value
+ FROM (SELECT target_resolved, {_FEATURED} FROM ({FEATURES})) UNPIVOT (value FOR feature IN ({', '.join(METADATA)}))"""
+
+
+@query("feature_distribution_all", f"""SELECT outcome, feature, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS max
+ FROM ({_GROUPED}) GROUP BY 1, 2""")
+def feature_distribution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fourteen numbers, over all cases and by outcome."""
+    outcome = F.explode(F.array(F.lit("all"), F.when(F.col("target_resolved") == 1, "resolved").otherwise("unresolved")))
+    return rounded(report.distribution(feature_table(spark, sf_dir).withColumn("outcome", outcome), METADATA, ["outcome"]))
+
+
 @query("text_metadata", f"""SELECT fold, record_id, feature, round((value - mean) / std, 5) AS value FROM ({_TEXT_LONG(_LATER)}) JOIN ({_TEXT_SCALES}) USING (fold, feature)
  UNION ALL SELECT t.fold, record_id, 'company=' || coalesce(level, 'RARE_OR_UNSEEN'), 1.0 FROM ({_TEXT_ROWS(_LATER)}) t LEFT JOIN ({_TEXT_LEVELS}) l ON l.fold = t.fold AND l.level = t.company
  UNION ALL SELECT fold, record_id, 'uf=' || uf, 1.0 FROM ({_TEXT_ROWS(_LATER)})""")
@@ -176,7 +188,7 @@ def token_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vectorize.token_profile(lengths, {"short": 128, "middle": 256, "long": 512}))
 
 
-# Models: the tuning split (train to 1998, one quarter each of validation and test) over the whole table.
+# The tuning split (train to 1998, one quarter each of validation and test) over the whole table.
 NUMBERS = ["company_history_rate", "global_history_rate", "company_history_rate_90d", "company_history_rate_365d", "amount_log", "month_sin", "month_cos"]
 
 
@@ -214,52 +226,6 @@ def tuning_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-@query("logistic_model")
-def logistic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = {k: models.assembled(v, NUMBERS) for k, v in tuning_split(spark, sf_dir).items()}
-    return rounded(models.fit_and_judge(parts["train"], parts["validation"], parts["test"], lambda t: models.fit_logistic(t, 1e-4), "logistic"))
-
-
-@query("tree_model")
-def tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = tuning_split(spark, sf_dir)
-    keep = [*IDS, *NUMBERS]
-    both = parts["train"].select(*keep, F.lit(False).alias("is_validation")).unionByName(parts["validation"].select(*keep, F.lit(True).alias("is_validation")))
-    encoder, model, columns = models.fit_trees(both, ["company"], NUMBERS, rounds=10)
-    shaped = {k: models.assembled(encoder.transform(parts[k].select(*keep)), columns) for k in ("validation", "test")}
-    tuned = evaluation.best_threshold(models.score(model, shaped["validation"], "trees"), ["model"])
-    return rounded(evaluation.metric_set(evaluation.at_threshold(models.score(model, shaped["test"], "trees"), tuned, ["model"]), ["model", "threshold"]))
-
-
-@query("logistic_tuning")
-def logistic_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates fitted side by side; the best by macro-F1, then by name."""
-    parts = {k: models.assembled(v, NUMBERS) for k, v in tuning_split(spark, sf_dir).items()}
-    tried = models.tune(parts["train"], parts["validation"], {f"alpha={a:g}": (lambda t, a=a: models.fit_logistic(t, a)) for a in (1e-5, 1e-4, 1e-3)})
-    return rounded(report.best_by(tried.withColumn("all", F.lit(1)), ["all"], [F.desc("macro_f1"), "model"]).drop("all"))
-
-
-@query("seed_refits")
-def seed_refits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees refitted with other seeds, summarised over seeds."""
-    parts = tuning_split(spark, sf_dir)
-    keep = [*IDS, *NUMBERS]
-    both = parts["train"].select(*keep, F.lit(False).alias("is_validation")).unionByName(parts["validation"].select(*keep, F.lit(True).alias("is_validation")))
-    tables = []
-    for seed in (13, 21, 42):
-        encoder, model, columns = models.fit_trees(both, ["company"], NUMBERS, rounds=5, depth=3, seed=seed, share=0.6)
-        judged = models.score(model, models.assembled(encoder.transform(parts["test"].select(*keep)), columns), "trees").withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
-        cells = evaluation.confusion(judged, ["model"])
-        tables.append(cells.select("model", F.lit(seed).alias("seed"), evaluation.macro_f1(*[F.col(c) for c in ("tp", "fp", "fn", "tn")]).alias("macro_f1")))
-    return rounded(report.seed_stability(report.union_padded(tables)))
-
-
-# Feature sets of the linear model, as blocks of one matrix.
-FEATURE_SETS = {
-    "word": ["word"], "char": ["char"], "word_char": ["word", "char"], "metadata": ["metadata"], "metadata_company": ["metadata", "company"],
-    "text_metadata": ["word", "metadata", "company"], "text_metadata_history": ["word", "metadata", "company", "history"],
-    "text_metadata_recent_history": ["word", "metadata", "company", "history", "recent"],
-}
 _LONG_HISTORY = [*_TREE_HISTORY, "company_seen_before"]
 _RECENT = [f"company_history_rate_{d}d" for d in history.WINDOWS] + [f"log_company_history_count_{d}d" for d in history.WINDOWS]
 
@@ -293,35 +259,3 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str,
         "company": vectorize.encoded(rows, none, METADATA, levels), "history": scaled(_LONG_HISTORY), "recent": scaled(_RECENT),
     }
     return rows, blocks
-
-
-@query("feature_set_models")
-def feature_set_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The linear model on each feature set: threshold tuned on the quarter after training, metrics on what comes later."""
-    rows, blocks = text_blocks(spark, sf_dir)
-    matrix, index = models.feature_matrix(blocks, ["record_id"])
-    matrix, size = written(matrix), index.count()
-    named = rows.select("record_id", "opening_date", "target_resolved")
-    periods = ["opening_date <= DATE '2024-06-30'", "opening_date BETWEEN DATE '2024-07-01' AND DATE '2024-09-30'", "opening_date > DATE '2024-09-30'"]
-
-    def judged(item):
-        name, chosen = item
-        shaped = named.join(models.chosen_blocks(matrix, chosen, ["record_id"], size), "record_id")
-        return models.fit_and_judge(*[shaped.where(p) for p in periods], lambda t: models.fit_logistic(t, 1e-3, 20), name)
-
-    return rounded(report.union_padded(models.side_by_side(judged, FEATURE_SETS.items())))
-
-
-@query("text_bayes_model")
-def text_bayes_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complement naive Bayes on TF-IDF weights of labelled documents, judged on later ones."""
-    docs = S.text_cases(spark, sf_dir).where("target_resolved IS NOT NULL")
-    counts = vectorize.term_counts(docs, vectorize.word_ngrams(F.col("complaint_text")), ["record_id", "opening_date"])
-    end = ends(spark).where("fold = 1")
-    vocabulary = vectorize.vocabulary(docs, vectorize.word_ngrams(F.col("complaint_text")), end, 5, 0.9, 100_000)
-    weights = vectorize.tfidf(counts, vectorize.measured(written(vocabulary), "term"), ["record_id"]).withColumnsRenamed({"term": "feature", "weight": "value"})
-    matrix, index = models.feature_matrix({"word": weights}, ["record_id"])
-    vectors = models.chosen_blocks(matrix, ["word"], ["record_id"], index.count())
-    rows = written(docs.select("record_id", "opening_date", "target_resolved").join(vectors, "record_id"))
-    parts = [rows.where(c) for c in ("opening_date <= DATE '2024-06-30'", "opening_date BETWEEN DATE '2024-07-01' AND DATE '2024-09-30'", "opening_date > DATE '2024-09-30'")]
-    return rounded(models.fit_and_judge(*parts, models.fit_complement_bayes, "bayes"))

@@ -15,6 +15,16 @@ PREDICTION_KEYS = ["model", "fold", "split"]
 PREDICTION = "record_id string, opening_date date, target_resolved int, score double, prediction int, model string, fold int"
 
 
+def shared(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir.
+
+    Where that is unset, as in tests, it lies in the warehouse; a cluster whose warehouse is a folder of one machine needs the setting.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-tables"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def read_corpus_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV with a header, every column a string; nothing is inferred."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -36,7 +46,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_ordered(df: DataFrame, path: str, order: list[str]) -> None:
+def write_ordered(df: DataFrame, path: str, order: list) -> None:
     """A totally ordered table: range partitioned, each file sorted, file names in order."""
     df.orderBy(*order).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
