@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -37,27 +39,30 @@ def dataset_integrity(features: DataFrame, counts: list[str], flags: list[str],
 
 
 def prediction_integrity(predictions: DataFrame, expected: DataFrame, models: list[str]) -> DataFrame:
-    """Counters by model, fold and split: nulls, bounds, repeated, missing and unexpected ids, other targets.
+    """Counters by model, fold and split: nulls, bounds, surplus, missing and unexpected rows, other targets.
 
-    ``expected`` has fold, split, record_id, target_resolved. One outer join serves all models.
+    Faults are counted by row, before rows of a record meet, so that one row can't hide another's. ``expected`` has fold, split, record_id,
+    target_resolved, a row for each record. One outer join serves all models.
     """
     keys = ["model", "fold", "split"]
     wanted = expected.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-    p = predictions.groupBy(*keys, "record_id").agg(
-        F.count("*").alias("n"), F.max("score").alias("score"), F.max("prediction").alias("prediction"), F.max("target_resolved").alias("said")
-    )
+    score, prediction, said = F.col("score"), F.col("prediction"), F.col("target_resolved")
+    faults = {
+        "null_scores": score.isNull(), "bad_scores": (score < 0) | (score > 1) | F.isnan(score), "null_predictions": prediction.isNull(),
+        "bad_predictions": ~prediction.isin(0, 1), "zeros_": said == 0, "ones_": said == 1,
+    }
+    p = predictions.groupBy(*keys, "record_id").agg(F.count("*").alias("n"), *[C.count_if(v).alias(k) for k, v in faults.items()])
     joined = p.join(wanted.select(*keys, "record_id", F.col("target_resolved").alias("target"), F.lit(1).alias("wanted")), [*keys, "record_id"], "full_outer")
     here, asked = F.col("n").isNotNull(), F.col("wanted").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    alike = F.when(F.col("target") == 1, F.col("ones_")).when(F.col("target") == 0, F.col("zeros_")).otherwise(F.lit(0))
     counted = joined.groupBy(*keys).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("predictions"), C.count_if(asked).alias("expected"),
-        C.count_if(F.col("n") > 1).alias("repeated"), C.count_if(asked & ~here).alias("missing"), C.count_if(here & ~asked).alias("unexpected"),
-        C.count_if(here & F.col("score").isNull()).alias("null_scores"), C.count_if((F.col("score") < 0) | (F.col("score") > 1)).alias("bad_scores"),
-        C.count_if(here & ~F.coalesce(F.col("prediction").isin(0, 1), F.lit(False))).alias("bad_predictions"),
-        C.count_if(here & asked & (F.col("said") != F.col("target"))).alias("other_targets"),
+        total(F.col("n")).alias("predictions"), C.count_if(asked).alias("expected"), total(F.col("n") - 1).alias("repeated"), C.count_if(asked & ~here).alias("missing"),
+        total(F.when(~asked, F.col("n"))).alias("unexpected"), *[total(F.col(c)).alias(c) for c in faults if not c.endswith("_")],
+        total(F.when(here & asked, F.col("n") - alike)).alias("other_targets"),
     )
-    faults = ["repeated", "missing", "unexpected", "null_scores", "bad_scores", "bad_predictions", "other_targets"]
-    total = sum((F.col(c) for c in faults[1:]), F.col(faults[0]))
-    return counted.withColumn("passed", (total == 0) & (F.col("predictions") > 0))
+    names = ["repeated", "missing", "unexpected", *[c for c in faults if not c.endswith("_")], "other_targets"]
+    return counted.withColumn("passed", (sum((F.col(c) for c in names[1:]), F.col(names[0])) == 0) & (F.col("predictions") > 0))
 
 
 def missing_ids(predictions: DataFrame, expected: DataFrame) -> DataFrame:
@@ -105,6 +110,35 @@ def temporal_audit(cases: DataFrame, folds: DataFrame, train_start: str, observa
     return as_report(per.crossJoin(order).crossJoin(faults), [*per.columns, *order.columns, *faults.columns])
 
 
+def observed_write(df: DataFrame, write: Callable[[DataFrame], None], counters: dict[str, Column]) -> dict:
+    """Writes a table and returns ``counters`` (aggregate columns) taken from the rows as they went by, without a second pass."""
+    seen = Observation()
+    write(df.observe(seen, *[c.alias(name) for name, c in counters.items()]))
+    return seen.get
+
+
+def bounds_audit(bounds: dict, folds: DataFrame, design: DataFrame, start: str, end: str) -> DataFrame:
+    """Whether a table's own first and last day are those of the design, and its folds those that the design has.
+
+    ``bounds`` has first_date and last_date, as from ``observed_write``; an empty table has neither, and fails.
+    """
+    spark = folds.sparkSession
+    held = spark.createDataFrame([(bounds["first_date"], bounds["last_date"])], "first_date date, last_date date")
+    apart = folds.exceptAll(design.select(*folds.columns)).count() + design.select(*folds.columns).exceptAll(folds).count()  # a row for each fold
+    odd = lambda c: F.when(c, 0).otherwise(1)
+    row = held.select(
+        odd(F.col("first_date").isNotNull()).alias("empty_table"), odd(F.col("first_date") == F.lit(start).cast("date")).alias("other_start"),
+        odd(F.col("last_date") == F.lit(end).cast("date")).alias("other_end"), F.lit(apart).alias("other_folds"),
+    )
+    return as_report(row, row.columns)
+
+
+def enforced(report: DataFrame) -> DataFrame:
+    """The report, as long as all of it passed: reading a row of a criterion that failed is an error that names it."""
+    told = F.concat(F.lit("criterion failed: "), F.col("criterion"), F.lit(" = "), F.col("value").cast("string"))
+    return report.withColumn("passed", F.when(F.col("passed"), F.col("passed")).otherwise(F.raise_error(told).cast("boolean")))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Row count and two sums of row hashes that don't depend on order or partitions."""
     row = F.xxhash64(*[F.col(c) for c in df.columns])

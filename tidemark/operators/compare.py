@@ -112,6 +112,10 @@ def calibration_change(counts: DataFrame, model: DataFrame, keys: list[str]) ->
     return cells.join(E.ranks_of(test, by), by).join(E.calibration_error_of(test, by), by).join(F.broadcast(curves), keys)
 
 
+#: A gain counts from here on: sums of doubles in another order differ by less.
+GAIN = 1e-12
+
+
 def calibration_summary(change: DataFrame) -> DataFrame:
     """By model: means over folds of each measure before and after, the mean change, and in how many folds it got better."""
     wide = change.groupBy("model", "fold").agg(*[
@@ -120,7 +124,7 @@ def calibration_summary(change: DataFrame) -> DataFrame:
     out = [F.count("*").alias("folds")]
     for m, better in (("brier_score", -1), ("ece", -1), ("macro_f1", 1)):
         gain = F.col(f"{m}_after") - F.col(f"{m}_before")
-        out += [F.avg(f"{m}_before").alias(f"{m}_before"), F.avg(f"{m}_after").alias(f"{m}_after"), F.avg(gain).alias(f"{m}_change"), C.count_if(gain * better > 0).alias(f"{m}_improved")]
+        out += [F.avg(f"{m}_before").alias(f"{m}_before"), F.avg(f"{m}_after").alias(f"{m}_after"), F.avg(gain).alias(f"{m}_change"), C.count_if(gain * better > GAIN).alias(f"{m}_improved")]
     return wide.groupBy("model").agg(*out)
 
 
@@ -131,16 +135,38 @@ def calibrated(predictions: DataFrame, model: DataFrame, keys: list[str]) -> Dat
     return joined.withColumn("score", 1 / (1 + F.exp(-z))).drop("slope", "intercept")
 
 
+def _bits(predictions: DataFrame, models: list[str], keys: list[str]) -> DataFrame:
+    """A row for each record: rows, models seen, models that say 1, models that say 0, least and greatest target; one shuffle for all models."""
+    place = F.element_at(F.create_map(*[x for i, m in enumerate(models) for x in (F.lit(m), F.lit(i))]), F.col("model"))
+    bits = predictions.where(F.col("model").isin(*models)).withColumn("bit", F.pow(F.lit(2.0), place).cast("long"))
+    held = lambda said: F.coalesce(F.bit_or(F.when(F.col("prediction") == said, F.col("bit"))), F.lit(0).cast("long"))
+    return bits.groupBy(*keys, "record_id").agg(
+        F.count("*").alias("rows_"), F.bit_or("bit").alias("seen"), held(1).alias("ones"), held(0).alias("zeros"),
+        F.min("target_resolved").alias("target_resolved"), F.max("target_resolved").alias("other_target"),
+    )
+
+
 def complete_masks(predictions: DataFrame, models: list[str], keys: list[str]) -> DataFrame:
-    """One row for each record that every model predicts: target and a bit for each model's correct-side prediction.
+    """One row for each record that every model predicts: target and a bit for each model that says 1.
 
-    One shuffle of the long table in place of a join for each model.
+    Rows of a model that repeat a record and agree count once. A record whose rows disagree, in a model's prediction or in the target, is left out, as is
+    one that a model lacks or only predicts as null or something other than 0 and 1; ``mask_faults`` counts these.
     """
-    place = F.element_at(F.create_map(*[x for i, m in enumerate(models) for x in (F.lit(m), F.lit(i))]), F.col("model"))
-    bits = predictions.where(F.col("model").isin(*models)).withColumn("bit", F.expr("cast(1 as bigint)") * F.pow(F.lit(2.0), place).cast("long"))
-    return bits.groupBy(*keys, "record_id").agg(
-        F.max("target_resolved").alias("target_resolved"), F.sum(F.col("bit") * F.col("prediction")).alias("mask"), F.count("*").alias("m")
-    ).where(F.col("m") == len(models)).drop("m")
+    whole = F.lit((1 << len(models)) - 1)
+    return _bits(predictions, models, keys).where(
+        (F.col("ones").bitwiseOR(F.col("zeros")) == whole) & (F.col("ones").bitwiseAND(F.col("zeros")) == 0) & (F.col("target_resolved") == F.col("other_target"))
+    ).select(*keys, "record_id", "target_resolved", F.col("ones").alias("mask"))
+
+
+def mask_faults(predictions: DataFrame, models: list[str], keys: list[str]) -> DataFrame:
+    """By keys: records, those that a model lacks, surplus rows, and records with rows that disagree or with no usable prediction of a model that has rows."""
+    seen, ones, zeros = (F.col(c) for c in ("seen", "ones", "zeros"))
+    disagree = (ones.bitwiseAND(zeros) != 0) | (F.col("target_resolved") != F.col("other_target"))
+    return _bits(predictions, models, keys).groupBy(*keys).agg(
+        F.count("*").alias("records"), C.count_if(F.bit_count(seen) < len(models)).alias("incomplete"),
+        F.sum(F.col("rows_") - F.bit_count(seen)).cast("long").alias("surplus"), C.count_if(disagree).alias("contradicting"),
+        C.count_if(F.bit_count(ones.bitwiseOR(zeros)) < F.bit_count(seen)).alias("unusable"),
+    )
 
 
 def pair_cells(masks: DataFrame, models: list[str], keys: list[str]) -> DataFrame:

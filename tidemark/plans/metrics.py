@@ -147,11 +147,22 @@ def platt_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MASK_MODELS = ["good", "m1", "m2", "m3"]
 _BITS = ", ".join(f"max(prediction) FILTER (WHERE model = '{m}') AS p{i}" for i, m in enumerate(_MASK_MODELS))
-_WIDE = f"SELECT fold, record_id, max(target_resolved) AS target_resolved, {_BITS} FROM ({Q.SCORED}) WHERE split = 'test' GROUP BY 1, 2 HAVING count(*) = 4"
-_CELLS = " UNION ALL ".join(
-    f"SELECT fold, '{a}' AS first, '{b}' AS second, target_resolved, p{i} AS first_prediction, p{j} AS second_prediction, count(*) AS n FROM ({_WIDE}) GROUP BY ALL"
-    for i, a in enumerate(_MASK_MODELS) for j, b in enumerate(_MASK_MODELS) if i < j
-)
+_TESTED = f"SELECT * FROM ({Q.SCORED}) WHERE split = 'test'"
+# Faults put in: m1 repeats every fifth record, with the other prediction where it is a fifteenth; m2 lacks every seventh and m3 says nothing of every eleventh; m1 has another target in the repeats of every fortieth.
+_FAULTS = f"""SELECT model, fold, record_id, target_resolved, CASE WHEN model = 'm3' AND CAST(record_id AS BIGINT) % 11 = 0 THEN NULL ELSE prediction END AS prediction FROM ({_TESTED}) WHERE NOT (model = 'm2' AND CAST(record_id AS BIGINT) % 7 = 0)
+ UNION ALL SELECT model, fold, record_id, CASE WHEN CAST(record_id AS BIGINT) % 40 = 0 THEN 1 - target_resolved ELSE target_resolved END, CASE WHEN CAST(record_id AS BIGINT) % 15 = 0 THEN 1 - prediction ELSE prediction END FROM ({_TESTED}) WHERE model = 'm1' AND CAST(record_id AS BIGINT) % 5 = 0"""
+
+
+def _cells_sql(source: str) -> str:
+    wide = f"""SELECT fold, record_id, max(target_resolved) AS target_resolved, {_BITS} FROM ({source}) GROUP BY 1, 2 HAVING min(target_resolved) = max(target_resolved)
+ AND {' AND '.join(f"min(prediction) FILTER (WHERE model = '{m}') = max(prediction) FILTER (WHERE model = '{m}')" for m in _MASK_MODELS)}"""
+    return " UNION ALL ".join(
+        f"SELECT fold, '{a}' AS first, '{b}' AS second, target_resolved, p{i} AS first_prediction, p{j} AS second_prediction, count(*) AS n FROM ({wide}) GROUP BY ALL"
+        for i, a in enumerate(_MASK_MODELS) for j, b in enumerate(_MASK_MODELS) if i < j
+    )
+
+
+_CELLS = _cells_sql(_TESTED)
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +175,31 @@ def pair_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir)
 
 
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in predictions of test with the faults of ``_FAULTS``."""
+    k, model = F.col("record_id").cast("long"), F.col("model")
+    long = scored(spark, sf_dir, ("test",)).select("model", "fold", "record_id", "target_resolved", "prediction")
+    again = long.where((model == "m1") & (k % 5 == 0)).withColumns({
+        "target_resolved": F.when(k % 40 == 0, 1 - F.col("target_resolved")).otherwise(F.col("target_resolved")),
+        "prediction": F.when(k % 15 == 0, 1 - F.col("prediction")).otherwise(F.col("prediction")),
+    })
+    some = long.where(~((model == "m2") & (k % 7 == 0))).withColumn("prediction", F.when(~((model == "m3") & (k % 11 == 0)), F.col("prediction")))
+    return some.unionByName(again)
+
+
+@query("pair_cells_faulty", _cells_sql(_FAULTS))
+def pair_cells_faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the records that stay when rows are repeated, lacking, empty or contradict each other."""
+    return compare.pair_cells(compare.complete_masks(_faulty(spark, sf_dir), _MASK_MODELS, ["fold"]), _MASK_MODELS, ["fold"])
+
+
+@query("mask_faults", f"""SELECT fold, count(*) AS records, count(*) FILTER (WHERE models < 4) AS incomplete, CAST(sum(n - models) AS BIGINT) AS surplus, count(*) FILTER (WHERE differ) AS contradicting, count(*) FILTER (WHERE usable < models) AS unusable
+ FROM (SELECT fold, record_id, count(DISTINCT model) AS models, count(*) AS n, count(DISTINCT model) FILTER (WHERE prediction IN (0, 1)) AS usable, min(target_resolved) <> max(target_resolved) OR {' OR '.join(f"coalesce(min(prediction) FILTER (WHERE model = '{m}') <> max(prediction) FILTER (WHERE model = '{m}'), false)" for m in _MASK_MODELS)} AS differ
+ FROM ({_FAULTS}) GROUP BY 1, 2) GROUP BY 1""")
+def mask_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.mask_faults(_faulty(spark, sf_dir), _MASK_MODELS, ["fold"])
+
+
 @query("bootstrap_intervals")
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = evaluation.confusion(scored(spark, sf_dir, ("test",)), ["model", "fold"])
@@ -251,11 +287,12 @@ _CHANGES = ", ".join(
     f"round(avg({m}) FILTER (WHERE stage = 'before'), 6) AS {m}_before, round(avg({m}) FILTER (WHERE stage = 'after'), 6) AS {m}_after,"
     f" round(avg({m}) FILTER (WHERE stage = 'after') - avg({m}) FILTER (WHERE stage = 'before'), 6) AS {m}_change" for m in ("brier_score", "ece", "macro_f1")
 )
-_BETTER = ", ".join(f"count(*) FILTER (WHERE a.{m} {sign} b.{m}) AS {m}_improved" for m, sign in (("brier_score", "<"), ("ece", "<"), ("macro_f1", ">")))
+_BETTER = ", ".join(f"count(*) FILTER (WHERE {gain} > {compare.GAIN}) AS {m}_improved" for m, gain in (("brier_score", "b.brier_score - a.brier_score"), ("ece", "b.ece - a.ece"), ("macro_f1", "a.macro_f1 - b.macro_f1")))
 
 
-@query("calibration_summary", _platt_sql() + f""", py AS (SELECT model, fold, stage, round(brier_score, 6) AS brier_score, round(ece, 6) AS ece, round(macro_f1, 6) AS macro_f1 FROM px)
+@query("calibration_summary", _platt_sql() + f""", pb AS (SELECT model, fold, stage, avg((score - target_resolved) * (score - target_resolved)) AS brier_score FROM pj GROUP BY ALL),
+ py AS (SELECT pf.model, pf.fold, pf.stage, pb.brier_score, ece, macro_f1 FROM pf JOIN pe USING (model, fold, stage) JOIN pb USING (model, fold, stage))
  SELECT * FROM (SELECT model, count(DISTINCT fold) AS folds, {_CHANGES} FROM py GROUP BY 1) JOIN (SELECT a.model, {_BETTER} FROM py a JOIN py b ON a.model = b.model AND a.fold = b.fold AND a.stage = 'after' AND b.stage = 'before' GROUP BY 1) USING (model)""")
 def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brier score, calibration error and macro-F1 before and after calibration, over folds; from reported (rounded) values."""
-    return rounded(compare.calibration_summary(platt_calibration(spark, sf_dir)))
+    """Brier score, calibration error and macro-F1 before and after calibration, over folds."""
+    return rounded(compare.calibration_summary(_calibration_change(spark, sf_dir)))

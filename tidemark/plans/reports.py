@@ -97,10 +97,20 @@ _FAULTY = f"""SELECT model, fold, split, record_id, target_resolved, CASE WHEN m
 _EXPECTED = f"SELECT model, fold, split, record_id, target_resolved AS target FROM ({Q.OBSERVED}) JOIN ({Q.SPLITS}) ON opening_date BETWEEN low AND high CROSS JOIN ({Q.MODELS}) WHERE split <> 'train'"
 
 
-@query("prediction_integrity", f"""SELECT *, repeated + missing + unexpected + null_scores + bad_scores + bad_predictions + other_targets = 0 AND predictions > 0 AS passed FROM (
- SELECT model, fold, split, CAST(coalesce(sum(n), 0) AS BIGINT) AS predictions, count(target) AS expected, count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE n IS NULL) AS missing, count(*) FILTER (WHERE target IS NULL) AS unexpected,
- count(*) FILTER (WHERE n IS NOT NULL AND score IS NULL) AS null_scores, count(*) FILTER (WHERE score < 0 OR score > 1) AS bad_scores, count(*) FILTER (WHERE prediction NOT IN (0, 1)) AS bad_predictions, count(*) FILTER (WHERE said <> target) AS other_targets
- FROM (SELECT model, fold, split, record_id, count(*) AS n, max(score) AS score, max(prediction) AS prediction, max(target_resolved) AS said FROM ({_FAULTY}) GROUP BY ALL) FULL JOIN ({_EXPECTED}) USING (model, fold, split, record_id) GROUP BY 1, 2, 3)""")
+_FAULT_COUNTS = {
+    "null_scores": "score IS NULL", "bad_scores": "score < 0 OR score > 1", "null_predictions": "prediction IS NULL", "bad_predictions": "prediction NOT IN (0, 1)",
+}
+
+
+def _integrity_sql(source: str) -> str:
+    names = ["repeated", "missing", "unexpected", *_FAULT_COUNTS, "other_targets"]
+    return f"""SELECT *, {' + '.join(names)} = 0 AND predictions > 0 AS passed FROM (SELECT model, fold, split, predictions, coalesce(expected, 0) AS expected, repeated, coalesce(expected, 0) - found AS missing, unexpected, {', '.join(_FAULT_COUNTS)}, other_targets
+ FROM (SELECT model, fold, split, count(*) AS predictions, count(*) - count(DISTINCT record_id) AS repeated, count(DISTINCT record_id) FILTER (WHERE target IS NOT NULL) AS found, count(*) FILTER (WHERE target IS NULL) AS unexpected,
+ {', '.join(f'count(*) FILTER (WHERE {c}) AS {n}' for n, c in _FAULT_COUNTS.items())}, count(*) FILTER (WHERE target_resolved IS DISTINCT FROM target AND target IS NOT NULL) AS other_targets
+ FROM ({source}) LEFT JOIN ({_EXPECTED}) USING (model, fold, split, record_id) GROUP BY 1, 2, 3) FULL JOIN (SELECT model, fold, split, count(*) AS expected FROM ({_EXPECTED}) GROUP BY 1, 2, 3) USING (model, fold, split))"""
+
+
+@query("prediction_integrity", _integrity_sql(_FAULTY))
 def prediction_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("record_id").cast("long")
     one = F.col("model") == "m1"
@@ -112,6 +122,25 @@ def prediction_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.prediction_integrity(faulty, expected, ["m1", "m2", "m3", "good"])
 
 
+# Further faults: of m2 a second row with a score below 0 for every fifth record and one without score, prediction or target for every eleventh; of m3 ids that nobody expects.
+_HIDDEN = f"""SELECT model, fold, split, record_id, target_resolved, score, prediction FROM ({Q.SCORED})
+ UNION ALL SELECT model, fold, split, record_id, 1 - target_resolved, -3.0, 2 FROM ({Q.SCORED}) WHERE model = 'm2' AND CAST(record_id AS BIGINT) % 5 = 0
+ UNION ALL SELECT model, fold, split, record_id, NULL, NULL, NULL FROM ({Q.SCORED}) WHERE model = 'm2' AND CAST(record_id AS BIGINT) % 11 = 0
+ UNION ALL SELECT model, fold, split, 'x' || record_id, target_resolved, score, prediction FROM ({Q.SCORED}) WHERE model = 'm3' AND CAST(record_id AS BIGINT) % 17 = 0"""
+
+
+@query("prediction_integrity_rows", _integrity_sql(_HIDDEN))
+def prediction_integrity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults in repeated rows, behind a good row of the same record."""
+    k, long = F.col("record_id").cast("long"), scored(spark, sf_dir).select("model", "fold", "split", "record_id", "target_resolved", "score", "prediction")
+    two, three = long.where("model = 'm2'"), long.where("model = 'm3'")
+    low = two.where(k % 5 == 0).withColumns({"target_resolved": 1 - F.col("target_resolved"), "score": F.lit(-3.0), "prediction": F.lit(2)})
+    none = two.where(k % 11 == 0).withColumns({"target_resolved": F.lit(None).cast("int"), "score": F.lit(None).cast("double"), "prediction": F.lit(None).cast("int")})
+    strange = three.where(k % 17 == 0).withColumn("record_id", F.concat(F.lit("x"), "record_id"))
+    expected = folds.assign(S.order_cases(spark, sf_dir).select(*IDS), windows(spark).where("split <> 'train'"))
+    return audit.prediction_integrity(long.unionByName(low).unionByName(none).unionByName(strange), expected, ["m1", "m2", "m3", "good"])
+
+
 @query("missing_ids", f"SELECT model, fold, split, record_id FROM ({_EXPECTED}) WHERE model = 'm1' AND CAST(record_id AS BIGINT) % 7 = 0")
 def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("record_id").cast("long")
@@ -159,6 +188,23 @@ def temporal_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.temporal_audit(S.order_cases(spark, sf_dir), folds.temporal_folds(spark, *FOLD_ARGS), TRAIN_START, FOLD_ARGS[1])
 
 
+# The design expects one day more than the table has, and one fold fewer.
+_DESIGN_END = "2001-08-02"
+
+
+@query("bounds_audit", f"""WITH b AS (SELECT min(opening_date) AS first_date, max(opening_date) AS last_date FROM ({Q.OBSERVED})),
+ d AS (SELECT * FROM ({Q.FOLDS}) WHERE fold < (SELECT max(fold) FROM ({Q.FOLDS})))
+ SELECT criterion, CAST(value AS BIGINT) AS value, value = 0 AS passed FROM (SELECT 'empty_table' AS criterion, CAST(first_date IS NULL AS INTEGER) AS value FROM b UNION ALL SELECT 'other_start', CAST(first_date IS DISTINCT FROM DATE '{TRAIN_START}' AS INTEGER) FROM b
+ UNION ALL SELECT 'other_end', CAST(last_date IS DISTINCT FROM DATE '{_DESIGN_END}' AS INTEGER) FROM b UNION ALL SELECT 'other_folds', (SELECT count(*) FROM (SELECT * FROM ({Q.FOLDS}) EXCEPT ALL SELECT * FROM d)) + (SELECT count(*) FROM (SELECT * FROM d EXCEPT ALL SELECT * FROM ({Q.FOLDS}))))""")
+def bounds_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases are written, and their own bounds, seen in that pass, are held against a design that is out by a day and a fold."""
+    path = shared(spark)
+    bounds = audit.observed_write(S.order_cases(spark, sf_dir).select(*IDS), lambda df: files.write_table(df, path), {"first_date": F.min("opening_date"), "last_date": F.max("opening_date")})
+    made = folds.temporal_folds(spark, *FOLD_ARGS)
+    last = made.agg(F.max("fold").alias("fold")).first()["fold"]
+    return audit.bounds_audit(bounds, made, made.where(F.col("fold") < last), TRAIN_START, _DESIGN_END)
+
+
 @query("fingerprint")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.fingerprint(feature_table(spark, sf_dir))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
@@ -46,6 +46,44 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_once(spark: SparkSession, folder: str, outputs: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """The named tables below ``folder``; those that its manifest lists are read, the others are made, and then all of them count at once.
+
+    Missing tables are written below ``_staging``, where a run that was cut off finds those that it had finished, and moved into place; the rename of
+    the manifest, the last step, makes the set valid. Without a manifest that has all names nothing below ``folder`` is taken for a table.
+    """
+    system, path = _file_system(spark, folder)
+    manifest = f"{folder}/_manifest"
+    listed = set(spark.read.text(manifest).toPandas()["value"]) if system.exists(path(manifest)) else set()  # a row for each table
+    missing = [name for name in outputs if name not in listed]
+    for name in missing:
+        staged, placed = f"{folder}/_staging/{name}", f"{folder}/{name}"
+        if system.exists(path(f"{placed}/_SUCCESS")) and not system.exists(path(staged)):
+            continue  # moved into place before the run was cut off
+        if not system.exists(path(f"{staged}/_SUCCESS")):
+            write_table(outputs[name](), staged)
+    for name in missing:
+        staged, placed = path(f"{folder}/_staging/{name}"), path(f"{folder}/{name}")
+        if system.exists(staged):
+            system.delete(placed, True)
+            if not system.rename(staged, placed):
+                raise OSError(f"{staged} can't be moved")
+    if missing:
+        new = f"{folder}/_staging_manifest"
+        spark.createDataFrame([(name,) for name in sorted(listed | set(missing))], "value string").coalesce(1).write.mode("overwrite").text(new)
+        system.delete(path(manifest), True)
+        if not system.rename(path(new), path(manifest)):
+            raise OSError(f"{new} can't be moved")
+        system.delete(path(f"{folder}/_staging"), True)
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in outputs}
+
+
+def _file_system(spark: SparkSession, folder: str):
+    """The Hadoop file system of a folder, and the maker of its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
 def write_ordered(df: DataFrame, path: str, order: list) -> None:
     """A totally ordered table: range partitioned, each file sorted, file names in order."""
     df.orderBy(*order).write.mode("overwrite").option("compression", "zstd").parquet(path)
