@@ -40,6 +40,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, floa
     sides of the shuffle; the counts are put in order, and of each key the few rows that hold a wanted place are kept. Nulls are a key like any other.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("value_")).agg(F.count("*").alias("n_"))
+    return quantiles_of(counts, keys, wanted)
+
+
+def quantiles_of(counts: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+    """``quantiles`` from keys, value_ and how often each value occurs, n_."""
     named = counts.withColumnsRenamed({k: f"key_{i}_" for i, k in enumerate(keys)})
     own = [f"key_{i}_" for i in range(len(keys))]
     ordered = running(named, [*[F.col(k) for k in own], F.col("value_")], "n_")

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import accents
 from tidemark.functions import columns as C
 from tidemark.operators import selection
-
-#: Latin letters with marks, and the letters without.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-
+from tidemark.sources import files
 
 def folded(text: Column) -> Column:
-    """Lower-cased, Latin marks stripped."""
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
+    """Lower-cased, marks of all scripts stripped."""
+    return accents.unaccented(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def word_ngrams(text: Column) -> Column:
@@ -152,7 +149,7 @@ def token_profile(lengths: DataFrame, variants: dict[str, int], limits: tuple[in
     Everything starts from how many records have each length; the percentiles are the same for all variants and are taken once.
     """
     named = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    counts = lengths.where("n_tokens IS NOT NULL").groupBy("n_tokens").agg(F.count("*").alias("k"))
+    counts = files.written(lengths.where("n_tokens IS NOT NULL").groupBy("n_tokens").agg(F.count("*").alias("k")))
     made = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(b - 2).alias("room")) for v, b in variants.items()]))
     long = counts.select("n_tokens", "k", made.alias("x")).select("n_tokens", "k", "x.*")
     cut, mean = F.col("n_tokens") > F.col("room"), lambda c: F.sum(c * F.col("k")) / F.sum("k")
@@ -162,5 +159,5 @@ def token_profile(lengths: DataFrame, variants: dict[str, int], limits: tuple[in
         F.coalesce(F.sum(F.when(cut, F.col("k"))), F.lit(0)).cast("long").alias("truncated"), mean(F.least("n_tokens", "room")).alias("retained_mean"),
         mean(F.greatest(F.col("n_tokens") - F.col("room"), F.lit(0))).alias("discarded_mean"),
     )
-    found = selection.quantiles(lengths, [], "n_tokens", named).drop("n")
+    found = selection.quantiles_of(counts.select(F.col("n_tokens").cast("double").alias("value_"), F.col("k").alias("n_")), [], named).drop("n")
     return held.join(F.broadcast(found), F.lit(True)).select("variant", "records", "mean", *named, "max", *[f"over_{k}" for k in limits], "truncated", "retained_mean", "discarded_mean")  # one row

@@ -9,7 +9,7 @@ from tidemark.functions import columns as C
 from tidemark.operators import clean, compare, evaluation, folds, history, report
 from tidemark.plans import sql as Q
 from tidemark.sources import cases as S
-from tidemark.sources.files import shared
+from tidemark.sources.files import shared, written  # noqa: F401
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -32,13 +32,6 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The table written to a new shared folder and read from there, for plans that use it several times."""
-    path = shared(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def windows(spark: SparkSession) -> DataFrame:
     return folds.splits(folds.temporal_folds(spark, *FOLD_ARGS), TRAIN_START)
 

@@ -12,7 +12,7 @@ from tidemark.plans.core import FEATURES, IDS, TEXT_CASES, _train_history_sql, f
 from tidemark.sources import cases as S
 
 ENDS = "SELECT * FROM (VALUES (1, DATE '2024-06-30'), (2, DATE '2024-09-30')) f(fold, train_end)"
-_FOLDED = f"translate(lower(complaint_text), '{vectorize.ACCENTED}', '{vectorize.PLAIN}')"
+_FOLDED = "strip_accents(lower(complaint_text))"
 _WORDS = f"SELECT record_id, opening_date, regexp_extract_all({_FOLDED}, '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM ({TEXT_CASES})"
 _WORD_COUNTS = f"""SELECT record_id, opening_date, term, count(*) AS tf FROM (SELECT record_id, opening_date, unnest(w) AS term FROM ({_WORDS})
  UNION ALL SELECT record_id, opening_date, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM ({_WORDS}) WHERE len(w) > 1) GROUP BY ALL"""
