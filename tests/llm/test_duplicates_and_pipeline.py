@@ -262,3 +262,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(r.round_trip for r in seen["tokens"].values()) and seen["tokens"][205].n_tokens == 0
     assert spark.read.parquet(f"{tmp_path}/out-near_duplicates").where("doc_id = 5").count() == 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["tokens"])
+
+
+def test_vectors_of_any_size_link(spark):
+    from tidemark.llm import vectordup
+
+    rows = [(1, [1e-200, 2e-200], 0), (2, [2e-200, 4e-200], 0), (3, [1.0, 2.0], 0), (4, [1e200, 2e200], 0), (5, [2e200, -1e200], 0), (6, [5e-324, 1e-323], 0)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectordup.classes(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), shared_dir(spark)).collect()}
+    assert found == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (0, 5), 6: (4, 1)}
+
+
+def test_a_hot_repeated_id_teaches_once(spark):
+    from tidemark.llm import quality
+
+    docs = spark.createDataFrame([(i % 20 if i < 400 else 7, f"good words here {i % 20}" if i % 2 else "bad x x x", "s", "en", 10) for i in range(2000)], "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    sent = []
+    whole = type(docs).toArrow
+    try:
+        type(docs).toArrow = lambda self: sent.append(whole(self)) or sent[-1]
+        quality.fit(docs, labels, shared_dir(spark))
+    finally:
+        type(docs).toArrow = whole
+    assert [t.num_rows for t in sent] == [20]

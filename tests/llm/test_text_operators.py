@@ -347,3 +347,40 @@ def test_batches_go_in_bounded_slices():
     parts = list(slices(batch, 20_000))
     assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and max(p.num_rows for p in parts) < 10
     assert list(slices(batch.slice(0, 0))) == [] and [p.num_rows for p in slices(batch)] == [53]
+
+
+def test_html_articles_are_kept_whole():
+    def words(n):
+        return " ".join(["word"] * n)
+
+    whole = lambda page: htmltext.main_text(page).split()
+    assert len(whole(f"<article><h1>T</h1><form>{words(120)}</form><p>{words(30)}</p></article>")) == 31  # no form is kept for its length
+    assert len(whole(f"<article><h1>T</h1><form>{words(40)}</form><p>{words(30)}</p></article>")) == 31
+    listed = f"<article><p>{words(20)}</p><p>Here is some further reading for you all:</p><ul><li><a href=x>One</a></li><li><a href=y>Two b</a></li><li><a href=z>Three</a></li></ul></article>"
+    assert htmltext.main_text(listed) == words(20) + " Here is some further reading for you all: One Two b Three"
+    assert htmltext.main_text("<article><h1>A head</h1><p>Short intro here.</p><p><a href=x>Linked words</a></p></article>") == "A head Short intro here. Linked words"
+    assert len(whole(f"<aside><article><p>{words(40)}</p><form>no</form></article>")) == 40  # a sidebar that is never closed
+    assert len(whole(f"<aside><article><p>{words(40)}</p></article></aside><article><p>{words(9)}</p></article>")) == 9
+    assert len(whole(f"<form><h1>T</h1><p>{words(60)}</p></form>")) == 61 and len(whole(f"<p>{words(60)}</p><form>{words(300)}</form>")) == 60
+
+    def zeros(node, path=()):
+        """The ways to leaves without main text."""
+        if not isinstance(node, tuple):
+            return [path] if node == 0 else []
+        f, limit, low, high = node
+        return zeros(low, (*path, (htmltext.FEATURES[f], 0))) + zeros(high, (*path, (htmltext.FEATURES[f], 1)))
+
+    assert all(("article", 0) in way or ("apart", 1) in way for way in zeros(htmltext.tree()))
+
+
+@pytest.mark.parametrize("part", ["<!", "<?", "<form>x", "<article>x", "<svg ", '<a x="', "<div class=nav>x", "<script ", "<!-- "])
+def test_html_of_long_markup_takes_linear_time(part):
+    import time
+
+    took = []
+    for size in (250_000, 1_000_000):
+        page = part * (size // len(part))
+        began = time.perf_counter()
+        htmltext.main_text(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5 and took[1] < 20

@@ -4,9 +4,11 @@ A page is cut into flat blocks of text at block-level tags. Each block is descri
 link density, those of its neighbours, and what encloses it: whether an article or main element, and whether an element
 that by its name or class holds navigation, notices, adverts, forms or reader comments. A decision tree,
 grown by Gini impurity from the small labelled table below, tells main text from the rest. On pages without such elements
-words and links of a block and of its neighbours decide; within an article too, a run of mere links is none of it.
+words and links of a block and of its neighbours decide; what stands in an article and in nothing apart within it is all kept.
 
-An element around the article is no menu or form, whatever its class says, and neither are ``html`` and ``body``.
+An element around the article is no menu or form, whatever its class says, and neither are ``html`` and ``body``; a form around an article
+or a first-level heading is one around the page, any other holds no main text, however long. Where a page would be left without any text,
+its articles count although they stand in a sidebar, as in one that is never closed. An unclosed declaration is text. The scan takes time in proportion to the page.
 
 A null or empty page has an empty text. Character references are decoded once, white space within a block becomes
 one space, and the blocks of the main text are joined in page order by one space. Pages are judged one by one, so repeated rows
@@ -55,12 +57,10 @@ ARTICLE = frozenset(("article", "main"))
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption".split())
 #: Elements that end an open one of the same name.
 SAME = frozenset("li dt dd td th tr option".split())
-#: A form with more words than this is one around the page.
-FORM_WORDS = 100
 _ATTRIBUTES = r"((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<svg\b[^<>]*/>|<(" + "|".join(UNSEEN) + r")\b" + _ATTRIBUTES.replace("((?:", "(?:(?:", 1) + r".*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)" + _ATTRIBUTES,
+    r"|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)" + _ATTRIBUTES,
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -76,8 +76,10 @@ LABELLED = (
     (11, 0.0, 3, 1.0, 2, 1.0, 1, 0, 1), (2, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1), (64, 0.0, 1, 1.0, 1, 1.0, 1, 0, 1), (5, 0.5, 12, 0.6, 1, 1.0, 1, 0, 1),
     (3, 1.0, 30, 0.0, 12, 0.0, 1, 0, 1), (6, 1.0, 9, 0.0, 20, 0.0, 1, 0, 1), (2, 1.0, 40, 0.0, 9, 0.0, 1, 0, 1), (5, 1.0, 12, 0.1, 0, 0.0, 1, 0, 1),
     (4, 1.0, 3, 1.0, 25, 0.0, 1, 0, 1), (2, 1.0, 25, 0.0, 3, 1.0, 1, 0, 1),
-    # Runs of links within an article.
-    (3, 1.0, 2, 1.0, 1, 1.0, 1, 0, 0), (2, 1.0, 4, 1.0, 3, 1.0, 1, 0, 0), (6, 1.0, 5, 1.0, 7, 1.0, 1, 0, 0),
+    # Lists of links and lines between them within an article.
+    (3, 1.0, 2, 1.0, 1, 1.0, 1, 0, 1), (2, 1.0, 4, 1.0, 3, 1.0, 1, 0, 1), (6, 1.0, 5, 1.0, 7, 1.0, 1, 0, 1), (8, 0.0, 30, 0.0, 3, 1.0, 1, 0, 1),
+    (20, 0.8, 15, 0.9, 25, 0.7, 1, 0, 1), (7, 0.6, 40, 0.0, 2, 1.0, 1, 0, 1), (12, 0.7, 80, 0.0, 2, 1.0, 1, 0, 1), (3, 0.7, 90, 0.0, 0, 0.0, 1, 0, 1),
+    (1, 1.0, 0, 0.0, 0, 0.0, 1, 0, 1), (4, 0.0, 3, 1.0, 5, 0.9, 1, 0, 1), (9, 0.0, 5, 1.0, 4, 1.0, 1, 0, 1), (6, 0.9, 4, 1.0, 20, 0.0, 1, 0, 1),
     # Blocks of elements that stand apart.
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0),
     (8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0), (12, 0.0, 2, 1.0, 7, 0.0, 0, 1, 0), (45, 0.0, 3, 1.0, 60, 0.0, 0, 1, 0),
@@ -141,21 +143,22 @@ def _marks(attributes: str) -> frozenset[str] | set[str]:
     return found
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, words in links, within an article, within something apart) of each flat block that has text."""
+def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
+    """(text, words, words in links, within an article, within something apart, apart within the article) of each flat block that has text."""
     found: list[list] = []
     said: list[str] = []
     # Open block-level elements: name, whether an article, whether apart, whether that holds around an article, first block, whether around one.
     open_: list[list] = []
     counts: dict[str, int] = {}
-    links = article = apart = 0
+    forms: list[tuple[int, int, int]] = []  # first and last block of forms that aren't around the page, and whether within an article
+    links = article = apart = outside = seen = headed = 0  # ``outside``: what is apart around the outermost article; so many open ones had an article, a heading
     linked: list[str] = []
 
     def close() -> None:
         nonlocal said, linked
         text = " ".join("".join(said).split())
         if text:
-            found.append([text, text.count(" ") + 1, len("".join(linked).split()), int(article > 0), int(apart > 0)])
+            found.append([text, text.count(" ") + 1, len("".join(linked).split()), int(article > 0), int(apart > 0), int(apart > outside)])
         said, linked = [], []
 
     def take(data: str) -> None:
@@ -165,14 +168,16 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             linked.append(data)
 
     def leave() -> str:
-        nonlocal article, apart
+        nonlocal article, apart, outside, seen, headed
         name, was_article, was_apart, _, first, around = open_.pop()
         counts[name] -= 1
         article -= was_article
         apart -= was_apart
-        if name == "form" and not around and sum(b[1] for b in found[first:] if not b[4]) <= FORM_WORDS:
-            for b in found[first:]:
-                b[4] = 1
+        seen, headed = min(seen, len(open_)), min(headed, len(open_))
+        if not article:
+            outside = 0
+        if name == "form" and not around and first < len(found):
+            forms.append((first, len(found), int(article > 0)))
         return name
 
     at = 0
@@ -205,11 +210,18 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             by_name = name in APART and name != "form" and not (name == "header" and article)
             is_apart = int(by_name or side or bool(marks) and not is_article and name not in RUNNING)
             if is_article:
-                for o in open_:  # what stands around the article is no menu or form
+                for o in open_[seen:]:  # what stands around the article is no menu or form; those below have been seen to
                     if o[2] and not o[3]:
                         apart -= 1
                         o[2] = 0
                     o[5] = 1
+                seen = len(open_)
+                if not article:
+                    outside = apart
+            elif name == "h1":
+                for o in open_[headed:]:
+                    o[5] = 1
+                headed = len(open_)
             if not m[4].endswith("/"):
                 open_.append([name, is_article, is_apart, by_name or side, len(found), 0])
                 counts[name] = counts.get(name, 0) + 1
@@ -224,6 +236,15 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     close()
     while open_:
         leave()
+    starts, ends = [0] * (len(found) + 1), [0] * (len(found) + 1)  # how many forms, and forms within articles, begin less those that end here
+    for first, last, inside in forms:
+        for change, at in ((1, first), (-1, last)):
+            starts[at] += change
+            ends[at] += change * inside
+    held = inner = 0
+    for k, b in enumerate(found):
+        held, inner = held + starts[k], inner + ends[k]
+        b[4], b[5] = int(b[4] or held > 0), int(b[5] or inner > 0)
     return [tuple(b) for b in found]
 
 
@@ -234,10 +255,13 @@ def main_text(page: str | None) -> str:
     found = blocks(page)
     # Next to the edge of a page stands an empty block.
     shape = [(0, 0.0)] + [(b[1], min(1.0, b[2] / b[1])) for b in found] + [(0, 0.0)]
-    kept = []
-    for k, b in enumerate(found, 1):
-        if is_main((*shape[k], *shape[k - 1], *shape[k + 1], b[3], b[4]), tree()):
-            kept.append(b[0])
+    for place in (4, 5):  # an article within something apart counts if nothing else does
+        kept = []
+        for k, b in enumerate(found, 1):
+            if (place == 4 or b[3]) and is_main((*shape[k], *shape[k - 1], *shape[k + 1], b[3], b[place]), tree()):
+                kept.append(b[0])
+        if kept:
+            break
     return " ".join(kept)
 
 

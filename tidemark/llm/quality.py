@@ -266,7 +266,9 @@ def fit(docs: DataFrame, labels: DataFrame, folder: str, max_labelled: int = MAX
     labelled = F.broadcast(known.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_labelled))  # at most max_labelled rows
     path = f"{folder}/features"
     features = written(_features(docs.select("doc_id", "text", "source", "lang", "n_chars"), PACKED, _packed), path)
-    rows = features.join(labelled, "doc_id").withColumn("place", order).select("place", "label", "of_text", "of_meta").toArrow()
+    # Of rows that share an id one teaches, so that what reaches the driver is bounded whatever repeats.
+    one = features.join(labelled, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("of_text", "of_meta")).alias("x"))
+    rows = one.select(order.alias("place"), "label", "x.of_text", "x.of_meta").toArrow()
     rows = rows.sort_by([("place", "ascending"), ("of_text", "ascending")]).to_pydict()
     text, meta = _matrix(rows["of_text"], TEXT_SIZE), _matrix(rows["of_meta"], META_SIZE)
     held = np.array(rows["place"], dtype=np.int64) // 1000 % HELD_BACK == 0

@@ -11,7 +11,7 @@ A task returns, for each vector with links, how many it has in this tile pair an
 in it: rows grow with vectors, not with links, also where thousands of vectors are all alike.
 
 Defined cases: a null label, a null, empty or zero vector, or one with a null or non-finite component links with nothing;
-vectors of unequal length don't link; a row with a null id links with nothing and is its own class, without an id. Rows that repeat an id and vector count as further copies.
+vectors of unequal length don't link; rows are scaled by powers of two, so components of any size are compared; a row with a null id links with nothing and is its own class, without an id. Rows that repeat an id and vector count as further copies.
 """
 
 from __future__ import annotations
@@ -41,8 +41,14 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return q, scale, np.sqrt((stood**2).sum(axis=1)), np.sqrt(((unit - stood) ** 2).sum(axis=1))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which changes no cosine and no digit, so that squares of very small or large components stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def linked(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Indices of all pairs of a row of ``x`` and a row of ``y`` with a cosine of at least ``threshold``."""
+    x, y = scaled(x), scaled(y)
     nx, ny = np.sqrt((x**2).sum(axis=1)), np.sqrt((y**2).sum(axis=1))
     (qx, sx, lx, ex), (qy, sy, ly, ey) = quantised(x / nx[:, None]), quantised(y / ny[:, None])
     exact = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64  # whole numbers stay exact
