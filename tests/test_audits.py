@@ -92,3 +92,27 @@ def test_a_set_cut_off_between_moving_and_its_manifest(spark):
     system.delete(path(f"{folder}/_manifest"), True)
     system.delete(path(f"{folder}/two"), True)  # one output missing
     assert files.write_once(spark, folder, {"one": make, "two": make})["two"].count() == 4 and len(calls) == 3
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    features = files.bucketed(spark.range(1000).select(F.col("id").cast("string").alias("record_id"), F.col("id").alias("x")), "record_id", 8)
+    past = files.bucketed(spark.range(1000).select(F.col("id").cast("string").alias("record_id"), (F.col("id") * 2).alias("y")), "record_id", 8)
+    said = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("c").alias("model"), F.lit(1).alias("fold"), F.floor(F.col("id") / 3).cast("string").alias("record_id"),
+        F.lit(1).alias("target_resolved"), (F.col("id") % 2).cast("int").alias("prediction"),
+    )
+    predictions = files.bucketed(said, "record_id", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = features.join(past, "record_id").join(predictions.groupBy("record_id").agg(F.count("*").alias("n")), "record_id")
+        masks = compare.complete_masks(predictions, ["a", "b"], ["fold"])
+        for df in (joined, masks):
+            assert df.count() == 1000
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Bucketed: true" in plan
+        assert joined.where("y = 2 * x AND n = 3").count() == 1000
+        assert "Exchange" in said.groupBy("record_id").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    files.drop_bucketed(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]

@@ -137,9 +137,14 @@ def in_order(df: DataFrame, key: str, order: list[str], then: list[str]) -> Data
     return df.withColumn("position", place).orderBy("position", *then)
 
 
-def grid(tables: list[DataFrame]) -> DataFrame:
-    """Every combination of hyper-parameter candidates, each table a handful of rows."""
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), tables)
+def grid(tables: list[DataFrame], limit: int = 10_000) -> DataFrame:
+    """Every combination of hyper-parameter candidates, which are the result; a table of up to ``limit`` rows is sent to the others, a longer one isn't."""
+
+    def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+        small = b.limit(limit + 1).count() <= limit
+        return a.crossJoin(F.broadcast(b) if small else b)
+
+    return reduce(beside, tables)
 
 
 def totals(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

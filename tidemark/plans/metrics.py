@@ -9,6 +9,7 @@ from tidemark.operators import compare, evaluation, folds, history, report
 from tidemark.plans import sql as Q
 from tidemark.plans.core import IDS, query, rounded, scored, windows, written
 from tidemark.sources import cases as S
+from tidemark.sources import files
 
 GROUP = ["model", "fold", "split"]
 KEYS = ", ".join(GROUP)
@@ -175,6 +176,13 @@ def pair_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir)
 
 
+@query("pair_cells_bucketed", _CELLS)
+def pair_cells_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from predictions that are stored in buckets by record: the masks need no shuffle."""
+    long = scored(spark, sf_dir, ("test",)).select("model", "fold", "record_id", "target_resolved", "prediction")
+    return compare.pair_cells(compare.complete_masks(files.bucketed(long, "record_id", 16), _MASK_MODELS, ["fold"]), _MASK_MODELS, ["fold"])
+
+
 def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stand-in predictions of test with the faults of ``_FAULTS``."""
     k, model = F.col("record_id").cast("long"), F.col("model")

@@ -10,6 +10,7 @@ from tidemark.plans import sql as Q
 from tidemark.functions import columns as C
 from tidemark.plans.core import FEATURES, IDS, TEXT_CASES, _train_history_sql, feature_table, query, rounded, windows, written
 from tidemark.sources import cases as S
+from tidemark.sources import files
 
 ENDS = "SELECT * FROM (VALUES (1, DATE '2024-06-30'), (2, DATE '2024-09-30')) f(fold, train_end)"
 _FOLDED = "strip_accents(lower(complaint_text))"
@@ -137,14 +138,28 @@ _TREE_HISTORY = ["company_history_count", "log_company_history_count", "company_
 _KEPT = f"SELECT record_id, company, opening_date, target_resolved FROM ({FEATURES})"
 
 
-@query("tree_matrix", f"""SELECT f.record_id, f.company, CASE WHEN trim(uf) = '' THEN 'UNKNOWN' ELSE coalesce(uf, 'UNKNOWN') END AS uf, f.target_resolved, {', '.join(f'CAST({c} AS DOUBLE) + 0.0 AS {c}' for c in [*METADATA, *_TREE_HISTORY])}
- FROM ({FEATURES}) f JOIN ({_train_history_sql(_KEPT, 'record_id', (30,))}) h ON h.record_id = f.record_id""")
+_TREE_MATRIX = f"""SELECT f.record_id, f.company, CASE WHEN trim(uf) = '' THEN 'UNKNOWN' ELSE coalesce(uf, 'UNKNOWN') END AS uf, f.target_resolved, {', '.join(f'CAST({c} AS DOUBLE) + 0.0 AS {c}' for c in [*METADATA, *_TREE_HISTORY])}
+ FROM ({FEATURES}) f JOIN ({_train_history_sql(_KEPT, 'record_id', (30,))}) h ON h.record_id = f.record_id"""
+
+
+@query("tree_matrix", _TREE_MATRIX)
 def tree_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Company, unit, fourteen numbers and four history features of each case, as trees take them."""
     cases = feature_table(spark, sf_dir)
-    past = rounded(history.train_history(cases.select(*IDS), (30,))).select("record_id", *_TREE_HISTORY)
-    unit = F.when(F.trim(F.coalesce("uf", F.lit(""))) == "", "UNKNOWN").otherwise(F.col("uf")).alias("uf")
-    return cases.join(past, "record_id").select("record_id", "company", unit, "target_resolved", *[F.col(c).cast("double").alias(c) for c in [*METADATA, *_TREE_HISTORY]])
+    return _tree_matrix(cases, rounded(history.train_history(cases.select(*IDS), (30,))))
+
+
+def _tree_matrix(cases: DataFrame, past: DataFrame) -> DataFrame:
+    unit = C.or_unknown(F.col("uf")).alias("uf")
+    return cases.join(past.select("record_id", *_TREE_HISTORY), "record_id").select("record_id", "company", unit, "target_resolved", *[F.col(c).cast("double").alias(c) for c in [*METADATA, *_TREE_HISTORY]])
+
+
+@query("tree_matrix_bucketed", _TREE_MATRIX)
+def tree_matrix_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from features and history that are stored in buckets by record, which join without a shuffle."""
+    cases = feature_table(spark, sf_dir)
+    past = files.bucketed(rounded(history.train_history(cases.select(*IDS), (30,))), "record_id", 16)
+    return _tree_matrix(files.bucketed(cases, "record_id", 16), past)
 
 
 _INDEX = f"SELECT term, row_number() OVER (ORDER BY tf DESC, term) + 2 AS id FROM (SELECT term, count(*) AS tf FROM (SELECT unnest(w) AS term FROM ({_WORDS})) GROUP BY 1 HAVING count(*) >= 20)"

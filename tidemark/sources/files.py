@@ -104,6 +104,24 @@ def read_placed(spark: SparkSession, path: str) -> DataFrame:
     return read.join(F.broadcast(files), "file_").withColumn("position", F.col("start_") + F.col("row_") + 1).drop("file_", "row_", "start_")
 
 
+def bucketed(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """The table stored in buckets by ``key``, each a sorted file: joins and groups on the key, of tables with as many buckets, need no shuffle.
+
+    The files lie in a new shared folder, under a table name of the session's catalog (``drop_bucketed`` takes the name out again). Pay the one shuffle here
+    where a table is joined more than once, as features, history and predictions are by record.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").option("path", shared(spark)).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
+def drop_bucketed(spark: SparkSession) -> None:
+    """Take all names of ``bucketed`` out of the catalog; the files stay."""
+    for table in spark.catalog.listTables():
+        if table.name.startswith("bucketed_"):
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """Long predictions with declared types, in folders by model and fold; large groups are spread over several files."""
     typed = df.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(PREDICTION)])
