@@ -65,14 +65,14 @@ def fit_platt(validation: DataFrame, keys: list[str], ridge: float = 1e-6, steps
 
 
 def platt_of(counts: DataFrame, keys: list[str], ridge: float = 1e-6, steps: int = 12) -> DataFrame:
-    """``fit_platt`` from keys, score, n, p. Pass a written table of counts: each three steps read it once.
+    """``fit_platt`` from keys, score, n, p. Pass a written table of counts: each step reads it once.
 
     Newton steps on sums by group: each is one aggregation of score counts, joined with a row of coefficients for each group.
     """
     counts = counts.withColumn("x", C.logit(F.col("score")))
     # From a flat curve at the group's rate on; from a steep one Newton's steps can run away.
     model = counts.groupBy(*keys).agg(F.lit(0.0).alias("slope"), F.ln((F.sum("p") + 0.5) / (F.sum("n") - F.sum("p") + 0.5)).alias("intercept"))
-    for step in range(steps):
+    for _ in range(steps):
         z = F.col("slope") * F.col("x") + F.col("intercept")
         q = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0))))
         held = counts.join(F.broadcast(model), keys).withColumns({"q": q, "v": F.col("n") * q * (1 - q), "r": F.col("p") - F.col("n") * q})
@@ -89,8 +89,8 @@ def platt_of(counts: DataFrame, keys: list[str], ridge: float = 1e-6, steps: int
             (F.col("slope") + F.coalesce((F.col("h") * gx - F.col("hx") * F.col("g")) / safe, F.lit(0.0))).alias("slope"),
             (F.col("intercept") + F.coalesce((hxx * F.col("g") - F.col("hx") * gx) / safe, F.lit(0.0))).alias("intercept"),
         )
-        if step % 3 == 2:  # a row for each group: plans stay short
-            model = model.sparkSession.createDataFrame(model.collect(), model.schema)
+        # A row for each group, as literals of the next step's plan: all steps have the same short plan, compiled once.
+        model = model.sparkSession.createDataFrame(model.collect(), model.schema)
     return model
 
 

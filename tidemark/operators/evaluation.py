@@ -23,6 +23,11 @@ def score_counts(predictions: DataFrame, keys: list[str], score: str = "score",
 
 def running_counts(counts: DataFrame, keys: list[str], bands: int = BANDS) -> DataFrame:
     """Add ``cn`` and ``cp`` (rows and positives with this score or a higher one), ``total`` and ``positives`` of the group."""
+    return _swept(counts, keys, bands).drop("band")
+
+
+def _swept(counts: DataFrame, keys: list[str], bands: int = BANDS) -> DataFrame:
+    """``running_counts`` with the ``band`` of each score, by which the rows lie together."""
     band = F.least(F.greatest(F.floor(F.col("score") * bands), F.lit(0)), F.lit(bands - 1)).cast("int")
     held = counts.withColumn("band", band)
     above = Window.partitionBy(*keys).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
@@ -35,7 +40,7 @@ def running_counts(counts: DataFrame, keys: list[str], bands: int = BANDS) -> Da
     inside = Window.partitionBy(*keys, "band").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     joined = held.withColumns({"cn": F.sum("n").over(inside), "cp": F.sum("p").over(inside)}).join(sums, [*keys, "band"])
     return joined.select(
-        *keys, "score", "n", "p", (F.col("cn") + F.col("an")).alias("cn"), (F.col("cp") + F.col("ap")).alias("cp"), "total", "positives"
+        *keys, "band", "score", "n", "p", (F.col("cn") + F.col("an")).alias("cn"), (F.col("cp") + F.col("ap")).alias("cp"), "total", "positives"
     )
 
 
@@ -53,20 +58,22 @@ def best_threshold(predictions: DataFrame, keys: list[str], score: str = "score"
 
 
 def threshold_of(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """``best_threshold`` from keys, score, n, p."""
-    swept = running_counts(counts, keys)
+    """``best_threshold`` from keys, score, n, p.
+
+    In each band, where the rows lie together anyway, only those within ``TIE`` of the band's best stay; of these few the group's best are taken.
+    """
     tp, fp = F.col("cp"), F.col("cn") - F.col("cp")
     fn = F.col("positives") - F.col("cp")
     tn = F.col("total") - F.col("cn") - fn
-    scored = swept.select(*keys, F.col("score").alias("threshold"), macro_f1(tp, fp, fn, tn).alias("macro_f1"))
-    top = swept.groupBy(*keys).agg(F.max("score").alias("top"), F.max("total").alias("total"), F.max("positives").alias("positives"))
+    scored = _swept(counts, keys).select(*keys, "band", F.col("score").alias("threshold"), macro_f1(tp, fp, fn, tn).alias("macro_f1"))
+    near = lambda by: F.col("macro_f1") >= F.max("macro_f1").over(Window.partitionBy(*by)) - TIE
+    in_band = scored.withColumn("near", near([*keys, "band"])).where("near").select(*keys, "threshold", "macro_f1")
+    top = counts.groupBy(*keys).agg(F.max("score").alias("top"), F.sum("n").alias("total"), F.sum("p").alias("positives"))
     none = top.select(
         *keys, F.java_method(F.lit("java.lang.Math"), F.lit("nextUp"), F.col("top")).cast("double").alias("threshold"),
         macro_f1(F.lit(0), F.lit(0), F.col("positives"), F.col("total") - F.col("positives")).alias("macro_f1"),
     )
-    every = scored.unionByName(none)
-    best = every.groupBy(*keys).agg(F.max("macro_f1").alias("best"))
-    kept = every.join(best, keys).where(F.col("macro_f1") >= F.col("best") - TIE)
+    kept = in_band.unionByName(none).withColumn("near", near(keys)).where("near")
     chosen = F.max_by(F.struct("threshold", "macro_f1"), F.struct(-F.abs(F.col("threshold") - 0.5), "threshold"))
     return kept.groupBy(*keys).agg(chosen.alias("x")).select(*keys, "x.*")
 

@@ -140,10 +140,12 @@ def _calibration_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("platt_calibration", _platt_sql() + """SELECT model, fold, stage, round(threshold, 6) AS threshold, round(macro_f1, 6) AS macro_f1, roc_auc, pr_auc, brier_score,
- round(ece, 6) AS ece, round(max_gap, 6) AS max_gap, round(slope, 6) AS slope, round(intercept, 6) AS intercept, slope > 0 AS usable FROM px""")
+ round(ece, 9) AS ece, round(max_gap, 9) AS max_gap, round(slope, 6) AS slope, round(intercept, 6) AS intercept, slope > 0 AS usable FROM px""")
 def platt_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures on test before and after; curves and both thresholds are fitted on validation."""
-    return rounded(_calibration_change(spark, sf_dir))
+    change = _calibration_change(spark, sf_dir)
+    fine = ("ece", "max_gap")  # gaps of means of few scores end in a 5 at the seventh place
+    return change.select(*[F.round(c, 9 if c in fine else 6).alias(c) if kind == "double" else F.col(c) for c, kind in change.dtypes])
 
 
 _MASK_MODELS = ["good", "m1", "m2", "m3"]
@@ -228,6 +230,21 @@ def test_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("model", "fold", evaluation.macro_f1(*[F.col(c) for c in ("tp", "fp", "fn", "tn")]).alias("macro_f1"))
 
 
+# What doesn't hang on the draws: the observed values, how many draws there are, and that the bounds hold the observed value.
+@query("bootstrap_observed", f"SELECT model, round(avg(macro_f1), 6) AS macro_f1, CAST(10000 AS BIGINT) AS replicates, true AS inside FROM ({_TEST_F1}) GROUP BY 1")
+def bootstrap_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = (F.col("low") <= F.col("macro_f1")) & (F.col("macro_f1") <= F.col("high"))
+    return rounded(bootstrap_intervals(spark, sf_dir).select("model", "macro_f1", "replicates", inside.alias("inside")))
+
+
+@query("pair_observed", f"""SELECT a.model AS first, b.model AS second, round(avg(a.macro_f1 - b.macro_f1), 6) AS difference, true AS inside, true AS adjusted
+ FROM ({_TEST_F1}) a JOIN ({_TEST_F1}) b ON a.fold = b.fold AND a.model < b.model GROUP BY 1, 2""")
+def pair_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = (F.col("low") <= F.col("difference")) & (F.col("difference") <= F.col("high"))
+    adjusted = (F.col("p_value") > 0) & (F.col("p_value") <= F.col("p_holm")) & (F.col("p_holm") <= 1)
+    return rounded(pair_tests(spark, sf_dir).select("first", "second", "difference", inside.alias("inside"), adjusted.alias("adjusted")))
+
+
 @query("fold_wins", f"""SELECT a.model AS first, b.model AS second, count(*) FILTER (WHERE a.macro_f1 > b.macro_f1) AS wins, count(*) FILTER (WHERE a.macro_f1 < b.macro_f1) AS losses,
  count(*) FILTER (WHERE a.macro_f1 = b.macro_f1) AS ties, round(avg(a.macro_f1 - b.macro_f1), 6) AS mean_difference FROM ({_TEST_F1}) a JOIN ({_TEST_F1}) b ON a.fold = b.fold AND a.model < b.model GROUP BY 1, 2""")
 def fold_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
