@@ -96,11 +96,21 @@ LABELLED = (
     (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (1, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0), (6, 0.9, 4, 1.0, 20, 0.0, 0, 0, 0),
     (20, 0.8, 15, 0.9, 25, 0.7, 0, 0, 0), (4, 0.0, 3, 1.0, 5, 0.9, 0, 0, 0), (7, 0.6, 40, 0.0, 2, 1.0, 0, 0, 0),
     (2, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0), (2, 1.0, 2, 1.0, 9, 0.0, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0),
+    # A page of one block.
+    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (20, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (9, 0.1, 0, 0.0, 0, 0.0, 0, 0, 1),
+    # Lines at the foot of a page, and notices between a menu and a short heading.
+    (8, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0), (15, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0), (6, 0.0, 12, 0.0, 0, 0.0, 0, 0, 0), (12, 0.0, 9, 0.0, 0, 0.0, 0, 0, 0),
+    (10, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0), (18, 0.0, 100, 0.0, 0, 0.0, 0, 0, 0), (60, 0.0, 45, 0.0, 0, 0.0, 0, 0, 1), (35, 0.0, 20, 0.0, 0, 0.0, 0, 0, 1),
+    (90, 0.0, 8, 0.0, 0, 0.0, 0, 0, 1), (70, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (30, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1),
+    (8, 0.0, 1, 1.0, 10, 0.0, 0, 0, 0), (6, 0.0, 2, 1.0, 9, 0.0, 0, 0, 0), (10, 0.0, 3, 1.0, 5, 0.0, 0, 0, 0), (9, 0.0, 1, 1.0, 2, 0.0, 0, 0, 0),
+    (9, 0.0, 20, 0.0, 1, 0.0, 0, 0, 1), (15, 0.0, 40, 0.0, 2, 0.0, 0, 0, 1), (6, 0.0, 9, 0.0, 1, 0.0, 0, 0, 1), (1, 0.0, 30, 0.0, 9, 0.0, 0, 0, 1),
+    (2, 0.0, 12, 0.0, 6, 0.0, 0, 0, 1), (1, 0.0, 8, 0.0, 18, 0.0, 0, 0, 1), (2, 0.0, 5, 0.0, 2, 0.0, 0, 0, 1), (18, 0.0, 15, 0.0, 8, 0.0, 0, 0, 1),
+    (12, 0.0, 2, 1.0, 12, 0.0, 0, 0, 0), (5, 0.0, 1, 1.0, 30, 0.0, 0, 0, 1), (8, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1),
     (9, 0.0, 5, 1.0, 4, 1.0, 0, 0, 0), (3, 0.7, 90, 0.0, 0, 0.0, 0, 0, 0), (12, 0.7, 80, 0.0, 2, 1.0, 0, 0, 0), (2, 0.0, 3, 1.0, 1, 1.0, 0, 0, 0),
 )
 
 
-def grow(rows, depth: int = 6):
+def grow(rows, depth: int = 8):
     """A tree as nested tuples (feature, limit, at most, above), or a leaf 0 or 1."""
     ones = sum(r[-1] for r in rows)
     if depth == 0 or ones in (0, len(rows)):
