@@ -159,7 +159,7 @@ def test_audits(spark):
     p = spark.createDataFrame([("m", 1, "test", "1", 0.5, 1, 1), ("m", 1, "test", "1", 0.5, 1, 1), ("m", 1, "test", "3", 1.2, 2, 0)], "model string, fold int, split string, record_id string, score double, prediction int, target_resolved int")
     wanted = spark.createDataFrame([(1, "test", "1", 0), (1, "test", "2", 1)], "fold int, split string, record_id string, target_resolved int")
     r = audit.prediction_integrity(p, wanted, ["m"]).first()
-    assert (r.repeated, r.missing, r.unexpected, r.bad_scores, r.bad_predictions, r.other_targets, r.passed) == (1, 1, 1, 1, 1, 1, False)
+    assert (r.repeated, r.missing, r.unexpected, r.bad_scores, r.bad_predictions, r.other_targets, r.passed) == (1, 1, 1, 1, 1, 2, False)  # rows count, not records
     a, b = (audit.fingerprint(p.repartition(k)).first() for k in (1, 3))
     assert a == b
     assert files.missing_columns(p, {"score", "other"}) == ["other"]
@@ -270,5 +270,5 @@ def test_vocabulary_by_spans_and_feature_matrix(spark):
     matrix, index = models.feature_matrix({"word": words, "number": numbers}, ["record_id"])
     size = index.count()
     assert sorted(r["index"] for r in index.collect()) == list(range(size)) and size == kept.count() + 1
-    vectors = {r.record_id: r.features for r in models.chosen_blocks(matrix, ["number"], ["record_id"], size).collect()}
-    assert set(vectors) == {"1", "2"} and vectors["1"].size == size and list(vectors["1"].values) == [2.0]
+    vectors = {r.record_id: r.features for r in models.feature_sets(matrix, {"features": ["number"]}, ["record_id"], size, files.shared(spark)).collect()}
+    assert set(vectors) == {"1", "2", "3"} and vectors["1"].size == size and list(vectors["1"].values) == [2.0] and vectors["3"].numNonzeros() == 0
