@@ -229,6 +229,14 @@ def vectors_of(rows: DataFrame, folder: str, id_col: str = "vec_id", vector_col:
     return written(valid.groupBy("vec").agg(F.min(F.struct("packed", "dim")).alias("x")).select("vec", "x.dim", "x.packed"), f"{folder}/vectors")
 
 
+#: Most tasks of a stage over shards; with more shards a task takes several.
+MOST_TASKS = 20_000
+
+
+def _tasks(n: int) -> int:
+    return max(1, min(n, MOST_TASKS))
+
+
 GRAPH = "dim int, shard int, ids binary, counts binary, packed binary, layers array<binary>"
 
 
@@ -256,7 +264,9 @@ def index(vectors: DataFrame, folder: str, k: int, shard: int = SHARD, degree: i
             "layers": pa.array([[x.astype("<i4").tobytes() for x in layers]], pa.list_(pa.binary())),
         })
 
-    some = dealt.select("dim", "shard", F.xxhash64("packed", F.lit(11)).alias("mix"), "packed", "vecs")
+    # A graph is much work for few bytes, so shards are spread over tasks by their number and not by their size.
+    parts = _tasks(2 * (sizes.agg(F.sum("shards").alias("n")).first()["n"] or 1))
+    some = dealt.select("dim", "shard", F.xxhash64("packed", F.lit(11)).alias("mix"), "packed", "vecs").repartition(parts, "dim", "shard")
     return written(some.groupBy("dim", "shard").applyInArrow(make, GRAPH), f"{folder}/graphs")
 
 
@@ -300,6 +310,7 @@ def nearest(
     blocks = max(1, -(-total // block_bytes))
     dealt = written(queries.withColumn("block", F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(blocks))), f"{folder}/queries")
     schema = "query_id bigint, vec_id bigint, score double"
+    parts = _tasks(graphs.count())
     path = f"{folder}/found"
     for block in range(blocks):
         rows = dealt.where(F.col("block") == block).select("vec", "dim", "packed").toArrow()  # about ``block_bytes``
@@ -330,7 +341,7 @@ def nearest(
                     [pa.array(own[there]), pa.array(ids.ravel()[there]), pa.array(scores.ravel()[there])], names=["query_id", "vec_id", "score"]
                 )
 
-        graphs.drop("shard").mapInArrow(task, schema).write.mode("append").parquet(path)
+        graphs.drop("shard").repartition(parts).mapInArrow(task, schema).write.mode("append").parquet(path)
         sent.destroy()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     found = spark.read.schema(schema).parquet(path).withColumn("rank", place).where(F.col("rank") <= k)
