@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The federal units of Brazil.
-UNITS = tuple("AC AL AM AP BA CE DF ES GO MA MG MS MT PA PB PE PI PR RJ RN RO RR RS SC SE SP TO".split())
+UNITS = (
+    "AC", "AL", "AM", "AP", "BA", "CE", "DF", "ES", "GO", "MA", "MG", "MS", "MT", "PA",
+    "PB", "PE", "PI", "PR", "RJ", "RN", "RO", "RR", "RS", "SC", "SE", "SP", "TO",
+)
+#: The level of a missing value, the level of rare ones, and the form of a mark in a text.
 UNKNOWN = "UNKNOWN"
 RARE = "RARE_OR_UNSEEN"
 MARKER = r"(\[[A-ZÀ-Ü_]+\])"

@@ -87,7 +87,7 @@ def encoded_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vectorize.encoded(test, scales, ["amount", "month"], {"company": levels}))
 
 
-# The metadata features of texts: the fourteen numbers, company and unit, for each fold; later documents are encoded.
+#: The names of the fourteen numbers of a text. With company and unit they are its metadata, for each fold; later documents are encoded.
 METADATA = [
     "text_char_count", "text_word_count", "log_text_char_count", "log_text_word_count", "exclamation_count", "question_count", "anonymization_marker_count",
     "has_exclamation", "has_question", "has_anonymization_marker", "opening_month_sin", "opening_month_cos", "opening_weekday_sin", "opening_weekday_cos",
