@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where that setting is absent, as in tests, it lies in the warehouse, which they share too; never in a folder of one machine.
+    Where that setting is absent, as in tests, it lies in the warehouse; a cluster whose warehouse is a folder of one machine needs the setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import add_columns, written
+from tidemark.llm.common import add_columns, remove, written
 
 SHARD = 4096
 #: Neighbours of a node in upper layers; twice as many in the lowest.
@@ -267,7 +267,9 @@ def index(vectors: DataFrame, folder: str, k: int, shard: int = SHARD, degree: i
     # A graph is much work for few bytes, so shards are spread over tasks by their number and not by their size.
     parts = _tasks(2 * (sizes.agg(F.sum("shards").alias("n")).first()["n"] or 1))
     some = dealt.select("dim", "shard", F.xxhash64("packed", F.lit(11)).alias("mix"), "packed", "vecs").repartition(parts, "dim", "shard")
-    return written(some.groupBy("dim", "shard").applyInArrow(make, GRAPH), f"{folder}/graphs")
+    graphs = written(some.groupBy("dim", "shard").applyInArrow(make, GRAPH), f"{folder}/graphs")
+    remove(vectors.sparkSession, f"{folder}/nodes")
+    return graphs
 
 
 def nearest_first(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -343,6 +345,7 @@ def nearest(
 
         graphs.drop("shard").repartition(parts).mapInArrow(task, schema).write.mode("append").parquet(path)
         sent.destroy()
+    remove(spark, f"{folder}/queries")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     found = spark.read.schema(schema).parquet(path).withColumn("rank", place).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
