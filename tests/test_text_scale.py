@@ -5,7 +5,9 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import vectorize
+from tidemark.operators import models, vectorize
+from tidemark.plans import text
+from tidemark.sources import files
 
 
 def plan(df, part="optimizedPlan"):
@@ -21,8 +23,8 @@ def documents(spark):
 def test_a_text_is_folded_and_cut_once_and_counted_in_its_row(spark):
     docs = documents(spark)
     counts = vectorize.term_counts(docs, vectorize.word_ngrams(F.col("t")), ["record_id", "opening_date"])
-    text = plan(counts)
-    assert text.count("regexp_extract_all(") == 1 and len(re.findall(r"\blower\(", text)) == 1 and "Aggregate" not in text and "RLIKE" not in text
+    made = plan(counts)
+    assert made.count("regexp_extract_all(") == 1 and len(re.findall(r"\blower\(", made)) == 1 and "Aggregate" not in made and "RLIKE" not in made
     assert {(r.record_id, r.term): r.tf for r in counts.collect()} == {
         ("a", "uma"): 2, ("a", "acao"): 2, ("a", "de"): 1, ("a", "uma acao"): 2, ("a", "acao de"): 1, ("a", "de uma"): 1, ("b", "acao"): 1,
     }
@@ -51,3 +53,20 @@ def test_a_vocabulary_of_several_folds_takes_one_shuffle_of_terms(spark):
     assert {k.split("#")[0] for k in keys if "term" in k} == {"term"}
     got = {(r.fold, r.term): (r.df, r.tf, r.n) for r in made.collect()}
     assert got[1, "acao"] == (1, 2, 1) and got[2, "acao"] == (2, 3, 3) and got[2, "uma"] == (1, 2, 3)
+
+
+def test_only_the_needed_blocks_are_made(spark, sf, monkeypatch):
+    def unwanted(*_):
+        raise AssertionError("no characters are asked for")
+
+    monkeypatch.setattr(vectorize, "char_ngrams", unwanted)
+    rows, blocks, known = text.text_blocks(spark, sf, {"word", "history"})
+    assert set(blocks) == {"word", "history"} and set(known) == {"word"}
+
+
+def test_blocks_meet_a_small_index_without_a_shuffle(spark):
+    long = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "y", 3.0)], "record_id string, feature string, value double")
+    matrix, index = models.feature_matrix({"one": long}, ["record_id"], {"one": long.select("feature").distinct()}, files.written)
+    assert "BroadcastHashJoin" in plan(matrix, "executedPlan") and "Exchange hashpartitioning" not in plan(matrix, "executedPlan")
+    place = {r["feature"]: r["index"] for r in index.collect()}
+    assert sorted(place.values()) == [0, 1] and {(r.record_id, r["index"], r.weight) for r in matrix.collect()} == {("a", place["x"], 1.0), ("a", place["y"], 2.0), ("b", place["y"], 3.0)}

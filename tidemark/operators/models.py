@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -18,24 +19,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import evaluation as E
+from tidemark.operators import vectorize
 
 
-def feature_matrix(blocks: dict[str, DataFrame], keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def feature_matrix(
+    blocks: dict[str, DataFrame], keys: list[str], known: dict[str, DataFrame] | None = None, write: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(keys, block, index, weight) and (block, feature, index): named blocks of long (keys, feature, value) side by side.
 
     Blocks follow each other by name, features within a block by the hash of their name; indices count through all blocks.
-    Features are numbered within 256 parts, so that no task holds all of them.
+    Features are numbered within 256 parts, so that no task holds all of them. ``known`` has the features of blocks for which a table of
+    them is at hand, such as a vocabulary of which each term occurs; of the others they are found by a pass over the block. With ``write``, which writes a table and reads
+    it again, the index is made once and, if small, broadcast: the blocks aren't shuffled.
     """
-    long = None
-    for name, block in blocks.items():
-        part = block.select(*keys, F.lit(name).alias("block"), "feature", "value")
-        long = part if long is None else long.unionByName(part)
-    names = long.select("block", "feature").distinct().withColumn("part", F.pmod(F.xxhash64("feature"), F.lit(256)))
+    known = known or {}
+    long = reduce(DataFrame.unionByName, [block.select(*keys, F.lit(name).alias("block"), "feature", "value") for name, block in blocks.items()])
+    names = reduce(DataFrame.unionByName, [known.get(name, block).select(F.lit(name).alias("block"), "feature").distinct() for name, block in blocks.items()])
+    names = names.withColumn("part", F.pmod(F.xxhash64("feature"), F.lit(256)))
     first = Window.orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows for each block
     starts = names.groupBy("block", "part").agg(F.count("*").alias("k")).select("block", "part", F.coalesce(F.sum("k").over(first), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("block", "part").orderBy("feature")) - 1
     index = names.withColumn("inside", inside).join(F.broadcast(starts), ["block", "part"]).select("block", "feature", (F.col("start") + F.col("inside")).cast("int").alias("index"))
-    return long.join(index, ["block", "feature"]).select(*keys, "block", "index", F.col("value").alias("weight")), index
+    index = write(index) if write else index
+    found = long.join(vectorize.measured(index, "feature") if write else index, ["block", "feature"])
+    return found.select(*keys, "block", "index", F.col("value").alias("weight")), index
 
 
 def feature_sets(matrix: DataFrame, sets: dict[str, list[str]], keys: list[str], size: int, path: str) -> DataFrame:

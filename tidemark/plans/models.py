@@ -32,10 +32,9 @@ def parts_of(table: DataFrame, features: str = "features") -> dict[str, DataFram
 
 def text_vectors(spark: SparkSession, sf_dir: str, sets: dict[str, list[str]]) -> DataFrame:
     """Labelled cases with a vector column for each feature set, written once."""
-    rows, blocks = text_blocks(spark, sf_dir)
-    needed = {b for own in sets.values() for b in own}
-    matrix, index = models.feature_matrix({k: v for k, v in blocks.items() if k in needed}, ["record_id"])
-    vectors = models.feature_sets(written(matrix), sets, ["record_id"], index.count(), shared(spark))
+    rows, blocks, vocabularies = text_blocks(spark, sf_dir, {b for own in sets.values() for b in own})
+    matrix, index = models.feature_matrix(blocks, ["record_id"], vocabularies, written)
+    vectors = models.feature_sets(matrix, sets, ["record_id"], index.count(), shared(spark))
     return written(rows.join(vectors, "record_id"))
 
 
@@ -63,8 +62,9 @@ def text_bayes_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.text_cases(spark, sf_dir).where("target_resolved IS NOT NULL")
     counts = vectorize.term_counts(docs, vectorize.word_ngrams(F.col("complaint_text")), ["record_id", "opening_date"])
     vocabulary = vectorize.vocabulary_of(counts, docs, ends(spark).where("fold = 1"), 5, 0.9, 100_000)
-    weights = vectorize.tfidf(counts, vectorize.measured(written(vocabulary), "term"), ["record_id"]).withColumnsRenamed({"term": "feature", "weight": "value"})
-    matrix, index = models.feature_matrix({"word": weights}, ["record_id"])
+    vocabulary = written(vocabulary)
+    weights = vectorize.tfidf(counts, vectorize.measured(vocabulary, "term"), ["record_id"]).withColumnsRenamed({"term": "feature", "weight": "value"})
+    matrix, index = models.feature_matrix({"word": weights}, ["record_id"], {"word": vocabulary.select(F.col("term").alias("feature"))}, written)
     vectors = models.feature_sets(matrix, {"features": ["word"]}, ["record_id"], index.count(), shared(spark))
     rows = written(docs.select("record_id", "opening_date", "target_resolved").join(vectors, "record_id"))
     return rounded(fit_judged(parts_of(rows), models.fit_complement_bayes, "bayes"))
