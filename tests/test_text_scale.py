@@ -70,3 +70,20 @@ def test_blocks_meet_a_small_index_without_a_shuffle(spark):
     assert "BroadcastHashJoin" in plan(matrix, "executedPlan") and "Exchange hashpartitioning" not in plan(matrix, "executedPlan")
     place = {r["feature"]: r["index"] for r in index.collect()}
     assert sorted(place.values()) == [0, 1] and {(r.record_id, r["index"], r.weight) for r in matrix.collect()} == {("a", place["x"], 1.0), ("a", place["y"], 2.0), ("b", place["y"], 3.0)}
+
+
+def test_tfidf_weights_cut_the_texts_once_and_are_summed_without_a_window(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(text, "written", lambda df: seen.append(plan(df)) or files.written(df))
+    made = text.tfidf_weights(spark, sf)
+    assert sum("regexp_extract_all(" in p for p in [*seen, plan(made)]) == 1 and "Window" not in plan(made)
+
+
+def test_weight_summary_sums_up_tfidf(spark):
+    docs = documents(spark)
+    counts = vectorize.term_counts(docs, vectorize.word_ngrams(F.col("t")), ["record_id", "opening_date"])
+    ends = spark.sql("SELECT fold, d AS train_end FROM VALUES (1, DATE '2024-01-31'), (2, DATE '2024-03-31') f(fold, d)")
+    kept = files.written(vectorize.vocabulary_of(counts, docs, ends, 1, 1.0, 100))
+    long = vectorize.tfidf(counts, kept, ["record_id"]).groupBy("fold", "record_id").agg(F.count("*"), F.sum("weight"), F.max("weight"))
+    shown = lambda df: {(r[0], r[1]): (r[2], round(r[3], 9), round(r[4], 9)) for r in df.collect()}
+    assert shown(vectorize.weight_summary(counts, kept, ["record_id"])) == shown(long) and len(shown(long)) == 4
