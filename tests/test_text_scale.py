@@ -87,3 +87,10 @@ def test_weight_summary_sums_up_tfidf(spark):
     long = vectorize.tfidf(counts, kept, ["record_id"]).groupBy("fold", "record_id").agg(F.count("*"), F.sum("weight"), F.max("weight"))
     shown = lambda df: {(r[0], r[1]): (r[2], round(r[3], 9), round(r[4], 9)) for r in df.collect()}
     assert shown(vectorize.weight_summary(counts, kept, ["record_id"])) == shown(long) and len(shown(long)) == 4
+
+
+def test_numbers_of_the_texts_are_made_once_for_all_encoders(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(text, "written", lambda df: seen.append(plan(df)) or files.written(df))
+    made = text.text_metadata(spark, sf)
+    assert len(seen) == 1 and "regexp_extract_all(" not in plan(made) and made.count() > 0
