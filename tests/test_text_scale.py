@@ -94,3 +94,12 @@ def test_numbers_of_the_texts_are_made_once_for_all_encoders(spark, sf, monkeypa
     monkeypatch.setattr(text, "written", lambda df: seen.append(plan(df)) or files.written(df))
     made = text.text_metadata(spark, sf)
     assert len(seen) == 1 and "regexp_extract_all(" not in plan(made) and made.count() > 0
+
+
+def test_texts_stay_out_of_the_buckets(spark, sf, monkeypatch):
+    seen, own = [], files.bucketed
+    monkeypatch.setattr(files, "bucketed", lambda df, *more: seen.append((df.columns, plan(df))) or own(df, *more))
+    made = text.tree_matrix_bucketed(spark, sf)
+    assert len(seen) == 2 and all("complaint_text" not in columns for columns, _ in seen)
+    assert sum("regexp_extract_all(" in p for _, p in seen) == 1 and "Exchange hashpartitioning" not in plan(made, "executedPlan")
+    files.drop_bucketed(spark)
