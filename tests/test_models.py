@@ -84,6 +84,15 @@ def test_descent_is_seeded_and_takes_dense_vectors(spark, parts):
         models.fit_sgd(parts["train"].where("false"))
 
 
+def test_dense_rows_take_the_steps_of_sparse_ones_as_matrices(spark):
+    rng = np.random.default_rng(2)
+    made = [(f"r{i}", int(i % 3 == 0), rng.random(3).tolist()) for i in range(200)]
+    table = lambda more, size: written(spark.createDataFrame([(r, y, Vectors.sparse(size, list(range(3)), x) if more else Vectors.dense(x)) for r, y, x in made], ["record_id", "target_resolved", "features"]).coalesce(1))
+    dense, gaps = models.fit_sgd(table(False, 3), 1e-2, 2), models.fit_sgd(table(True, 4), 1e-2, 2)  # the fourth feature never occurs
+    assert np.allclose(dense[0].coefficients.toArray(), gaps[0].coefficients.toArray()[:3], atol=1e-12) and gaps[0].coefficients[3] == 0
+    assert np.allclose(dense[1], gaps[1], atol=1e-12) and abs(dense[0].intercept - gaps[0].intercept) < 1e-12
+
+
 def log_loss(model, rows):
     p = [(r["p"], r["target_resolved"]) for r in model.transform(rows).select(vector_to_array("probability")[1].alias("p"), "target_resolved").collect()]
     return -float(np.mean([np.log(p if y else 1 - p) for p, y in p]))

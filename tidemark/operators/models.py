@@ -109,21 +109,33 @@ def fit_sgd(train: DataFrame, alpha: float = 1e-4, epochs: int = 5, seed: int =
                 starts = part.column("indices").offsets.to_numpy()
                 places, values = (part.column(c).values.to_numpy()[starts[0] : starts[-1]] for c in ("indices", "values"))
                 starts, y = starts - starts[0], part.column("y").to_numpy().astype(np.float64)
+                for low in range(0, len(y), 64 * batch):  # the loss is that of the epoch's first weights
+                    high = min(low + 64 * batch, len(y))
+                    at, v = places[starts[low] : starts[high]], values[starts[low] : starts[high]]
+                    z = np.bincount(np.repeat(np.arange(high - low), np.diff(starts[low : high + 1])), v * weights[at], high - low) + weights[-1]
+                    loss += float(np.logaddexp(0, np.where(y[low:high] > 0, -z, z)).sum())
+                n += len(y)
+                if not learn:
+                    continue
+                full = (np.diff(starts) == size).all()  # rows without gaps are a matrix; its last column is the intercept's
+                whole = np.column_stack([values.reshape(len(y), size), np.ones(len(y))]) if full else None
                 for low in range(0, len(y), batch):
                     high = min(low + batch, len(y))
+                    rate = 1 / (alpha * (t0 + t))
+                    t += 1
+                    if full:
+                        own = whole[low:high]
+                        miss = 1 / (1 + np.exp(-np.minimum(np.maximum(own @ w, -35), 35))) - y[low:high]
+                        w[:-1] *= 1 - rate * alpha
+                        w -= rate / (high - low) * (miss @ own)
+                        continue
                     at, v = places[starts[low] : starts[high]], values[starts[low] : starts[high]]
                     row = np.repeat(np.arange(high - low), np.diff(starts[low : high + 1]))
-                    z = np.bincount(row, v * weights[at], high - low) + weights[-1]
-                    loss += float(np.logaddexp(0, np.where(y[low:high] > 0, -z, z)).sum())
-                    if learn:
-                        z = np.bincount(row, v * w[at], high - low) + w[-1]
-                        miss = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[low:high]
-                        rate = 1 / (alpha * (t0 + t))
-                        w[:-1] *= 1 - rate * alpha
-                        np.subtract.at(w, at, rate / (high - low) * v * miss[row])
-                        w[-1] -= rate * miss.mean()
-                        t += 1
-                n += len(y)
+                    z = np.bincount(row, v * w[at], high - low) + w[-1]
+                    miss = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[low:high]
+                    w[:-1] *= 1 - rate * alpha
+                    np.subtract.at(w, at, rate / (high - low) * v * miss[row])
+                    w[-1] -= rate * miss.mean()
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([(w * n).tobytes()], pa.binary()), pa.array([n]), pa.array([t - steps]), pa.array([loss])], names=["w", "n", "t", "loss"])
 
