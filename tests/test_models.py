@@ -148,3 +148,69 @@ def test_models_of_every_fold(spark):
     keys = {(r["model"], r["fold"], r["split"]) for r in rows}
     assert len(keys) == len(rows) and {k[0] for k in keys} == {"logistic", "trees"} and {k[2] for k in keys} == {"validation", "test"}
     assert {k[1] for k in keys} == {f["fold"] for f in plans.folds.temporal_folds(spark, *plans.FOLD_ARGS).collect()}
+
+
+def test_counted_rows_give_the_same_trees_codes_and_losses(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(3000):
+        c, a, b = int(rng.integers(6)), float(rng.integers(5)), float(rng.integers(4))
+        rows.append((f"c{c}", a, b, int(rng.random() < 0.2 + 0.1 * (c % 3) + 0.1 * a)))
+    table = written(spark.createDataFrame(rows, "company string, a double, b double, target_resolved int"))
+    turn = F.pmod(F.xxhash64("company", "a", "b", "target_resolved"), F.lit(5))  # equal rows stay together
+    encoder, columns = models.encode_trees(table.where(turn > 0), ["company"], ["a", "b"])
+    code = F.col("company_coded") + 0.0  # Spark's encoder names the codes as categories, and trees would take them all for category 0
+    every = {k: written(models.assembled(encoder.transform(table.where(where)).withColumn("company_coded", code), columns)) for k, where in (("train", turn > 0), ("later", turn == 0))}
+    cells = written(models.counted(table, ["company", "a", "b"]))
+    rates, other = models.target_rates(cells.where(turn > 0), "company")
+    coded = cells.join(rates, "company", "left").fillna(other, ["company_coded"])
+    few = {k: written(models.assembled(coded.where(where), columns)) for k, where in (("train", turn > 0), ("later", turn == 0))}
+    assert few["train"].count() < every["train"].count() / 5
+    codes = {r["company"]: r["company_coded"] for r in every["train"].select("company", "company_coded").distinct().collect()}
+    assert codes and all(abs(codes[r["company"]] - r["company_coded"]) < 1e-12 for r in rates.collect())
+    one, two = models.fit_trees(every["train"], 6, 3, 0.3), models.fit_trees(few["train"], 6, 3, 0.3, weight="n")
+    assert np.allclose(models.round_losses(one, every["later"]), models.round_losses(two, few["later"]), atol=1e-9)
+    assert len(set(models.round_losses(two, few["later"]))) == 6
+    scores = {(r["company"], r["a"], r["b"]): r["p"] for r in one.transform(every["later"]).select("company", "a", "b", vector_to_array("probability")[1].alias("p")).collect()}
+    for r in two.transform(few["later"]).select("company", "a", "b", vector_to_array("probability")[1].alias("p")).collect():
+        assert abs(scores[r["company"], r["a"], r["b"]] - r["p"]) < 1e-9
+    judged = [models.judged(models.scored_sets(one, {k: every["later"].withColumn("record_id", F.lit("")) for k in plans.LATER}, model="m"), ["model"])]
+    judged.append(models.judged_counts(models.counts_of(models.weighed_sets(two, {k: few["later"] for k in plans.LATER}, F.col("n"), model="m"), ["model"]), ["model"]))
+    assert plans.rounded(judged[0], 9).collect() == plans.rounded(judged[1], 9).select(*judged[0].columns).collect()
+
+
+def test_amounts_go_by_bins_of_equal_size(spark):
+    table = spark.range(1000).select((F.col("id") * 1.0).alias("x"))
+    bounds = models.inner_bounds(table, "x", {1: F.lit(True), 2: F.col("x") < 100, 3: F.lit(False)}, 4)
+    assert bounds[1] == [249.0, 499.0, 749.0] and bounds[2] == [24.0, 49.0, 74.0] and bounds[3] == []
+    sizes = {r["b"]: r["count"] for r in table.groupBy(models.bin_of("x", bounds[1]).alias("b")).count().collect()}
+    assert sizes == {0: 250, 1: 250, 2: 250, 3: 250}
+    assert [r["b"] for r in table.select(models.bin_of("x", []).alias("b")).distinct().collect()] == [0]
+
+
+def test_scaled_weights_are_those_of_standardised_features(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(100 * b + 7), 3.0, int(rng.random() < 1 / (1 + np.exp(-a - b)))) for a, b in rng.normal(size=(800, 2))]
+    table = written(spark.createDataFrame(rows, "a double, b double, c double, target_resolved int"))
+    raw = models.assembled(table, ["a", "b", "c"])
+    from pyspark.ml.feature import StandardScaler
+
+    scaler = StandardScaler(inputCol="features", outputCol="z", withMean=True).fit(raw)
+    scaled = scaler.transform(raw).select("a", "b", "target_resolved", F.col("z").alias("features"))
+    p = lambda model, rows: np.array([r["p"] for r in model.transform(rows).orderBy("a", "b").select(vector_to_array("probability")[1].alias("p")).collect()])
+    one, two = models.fit_logistic(scaled, 1e-2), models.fit_logistic(raw, 1e-2, scaled=True)
+    assert np.allclose(p(one, scaled), p(two, raw), atol=1e-9) and not two.hasSummary
+
+
+def test_trees_of_the_folds_learn_from_no_more_rows_when_cases_are_doubled(spark, sf, monkeypatch, tmp_path):
+    for name in ("nation", "region", "customer"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders.unionByName(orders.withColumn("o_orderkey", F.col("o_orderkey") + 10_000_000)).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(plans, "FOLD_ARGS", ("2001-01-01", "2001-08-01"))
+    fit, seen = models.fit_trees, []
+    monkeypatch.setattr(models, "fit_trees", lambda train, *a, **k: seen.append(train.count()) or fit(train, *a, **k))
+    found = [{(r["model"], r["split"]): r for r in plans.fold_models(spark, path).collect()} for path in (sf, str(tmp_path))]
+    assert len(seen) == 2 and seen[0] == seen[1] > 0
+    assert len(found[0]) == 4 and all(found[1][k]["records"] == 2 * r["records"] for k, r in found[0].items())
+    assert all(abs(found[1][k]["brier_score"] - r["brier_score"]) < 1e-5 for k, r in found[0].items())

@@ -14,7 +14,7 @@ from pyspark.ml.common import _py2java
 from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector, VectorUDT
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,9 +70,20 @@ def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df)
 
 
-def fit_logistic(train: DataFrame, alpha: float = 1e-4, epochs: int = 100):
-    """L2 logistic model: mean loss plus alpha / 2 times the squared weights."""
-    return LogisticRegression(labelCol="target_resolved", regParam=alpha, elasticNetParam=0.0, standardization=False, maxIter=epochs).fit(train)
+def fit_logistic(train: DataFrame, alpha: float = 1e-4, epochs: int = 100, scaled: bool = False):
+    """L2 logistic model: mean loss plus alpha / 2 times the squared weights.
+
+    With ``scaled`` the weights count as those of standardised features: the model of a ``StandardScaler`` before it, without a pass for the
+    scales and without a second copy of the rows. The model comes without its summary, which holds the train table.
+    """
+    found = LogisticRegression(labelCol="target_resolved", regParam=alpha, elasticNetParam=0.0, standardization=scaled, maxIter=epochs).fit(train)
+    return logistic_of(found.coefficients, found.intercept, found.uid)
+
+
+def logistic_of(weights, intercept: float, uid: str) -> LogisticRegressionModel:
+    """The binary model of these weights."""
+    sc = SparkContext._active_spark_context
+    return LogisticRegressionModel(sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(uid, _py2java(sc, weights), float(intercept)))
 
 
 def fit_complement_bayes(train: DataFrame, smoothing: float = 1.0):
@@ -146,9 +157,7 @@ def fit_sgd(train: DataFrame, alpha: float = 1e-4, epochs: int = 5, seed: int =
             losses.append(loss / n + alpha / 2 * float(weights[:-1] @ weights[:-1]))
         if learn:
             weights, steps = total / n, steps + took
-    sc = train.sparkSession.sparkContext
-    java = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(f"sgd_{seed}", _py2java(sc, DenseVector(weights[:-1])), float(weights[-1]))
-    return LogisticRegressionModel(java), losses
+    return logistic_of(DenseVector(weights[:-1]), weights[-1], f"sgd_{seed}"), losses
 
 
 def encode_trees(train: DataFrame, categories: list[str], numbers: list[str]):
@@ -161,12 +170,50 @@ def encode_trees(train: DataFrame, categories: list[str], numbers: list[str]):
     return encoder, [*coded, *numbers]
 
 
-def fit_trees(train: DataFrame, rounds: int = 30, depth: int = 4, rate: float = 0.1, seed: int = 42, share: float = 1.0) -> GBTClassificationModel:
-    """Boosted trees on ``features``, all rounds of them; with a ``share`` below 1 each tree sees that share of the rows and a third of the features."""
-    return GBTClassifier(
+def inner_bounds(df: DataFrame, column: str, groups: dict[int, Column], bins: int = 32) -> dict[int, list[float]]:
+    """The bounds between ``bins`` bins of about as many rows each, for the rows of every named condition.
+
+    One pass serves all conditions; a bound is off by at most one ten-thousandth of the rows.
+    """
+    ranks = [i / bins for i in range(1, bins)]
+    row = df.agg(*[F.percentile_approx(F.when(where, F.col(column)), ranks, 10_000).alias(str(name)) for name, where in groups.items()]).first()
+    return {name: sorted(set(row[str(name)] or [])) for name in groups}
+
+
+def bin_of(column: str, bounds: list[float]) -> Column:
+    """How many of the bounds a value exceeds: a split between two bins is one at the bound between them."""
+    return reduce(Column.__add__, [(F.col(column) > bound).cast("int") for bound in bounds], (F.col(column) - F.col(column)).cast("int"))
+
+
+def counted(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, target_resolved, ``n``: one row for all that are equal in these, and their number."""
+    return df.groupBy(*keys, "target_resolved").agg(F.count("*").alias("n"))
+
+
+def target_rates(train: DataFrame, category: str, smoothing: float = 10.0) -> tuple[DataFrame, float]:
+    """(category, ``{category}_coded``) with the values of ``encode_trees``, and the code of a category that ``train`` lacks; from rows with their number ``n``.
+
+    The codes are numbers; those of Spark's encoder are marked as names of categories, and trees then can't split on them.
+    """
+    sums = train.groupBy(category).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("target_resolved")).alias("p"))
+    n, p = sums.agg(F.sum("n"), F.sum("p")).first()
+    overall = p / n if n else 0.0
+    share = F.col("n") / (F.col("n") + F.lit(smoothing))
+    return sums.select(category, (share * F.col("p") / F.col("n") + (1 - share) * F.lit(overall)).alias(f"{category}_coded")), overall
+
+
+def fit_trees(
+    train: DataFrame, rounds: int = 30, depth: int = 4, rate: float = 0.1, seed: int = 42, share: float = 1.0, weight: str | None = None,
+) -> GBTClassificationModel:
+    """Boosted trees on ``features``, all rounds of them; with a ``share`` below 1 each tree sees that share of the rows and a third of the features.
+
+    ``weight`` names the column that says how many equal rows one stands for.
+    """
+    trees = GBTClassifier(
         labelCol="target_resolved", maxIter=rounds, maxDepth=depth, seed=seed, stepSize=rate, subsamplingRate=share,
         featureSubsetStrategy="all" if share == 1.0 else "onethird",
-    ).fit(train)
+    )
+    return (trees.setWeightCol(weight) if weight else trees).fit(train)
 
 
 def round_losses(model: GBTClassificationModel, validation: DataFrame) -> list[float]:
@@ -195,7 +242,11 @@ def judged(scores: DataFrame, keys: list[str]) -> DataFrame:
 
     ``scores`` has keys, split, score, target_resolved, of as many models as there are: one plan judges all.
     """
-    counts = E.score_counts(scores, [*keys, "split"])
+    return judged_counts(E.score_counts(scores, [*keys, "split"]), keys)
+
+
+def judged_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``judged`` from keys, split, score, n, p: how many rows and positives share a score."""
     tuned = E.threshold_of(counts.where("split = 'validation'"), keys).select(*keys, "threshold")
     return E.metric_set_of(counts.join(F.broadcast(tuned), keys), [*keys, "split", "threshold"])  # a row for each model
 
@@ -224,3 +275,20 @@ def scored_sets(fitted, parts: dict[str, DataFrame], **names) -> DataFrame:
         for split, df in parts.items()
     ]
     return reduce(DataFrame.unionByName, tables)
+
+
+def weighed_sets(fitted, parts: dict[str, DataFrame], weight: Column, **names) -> DataFrame:
+    """``scored_sets`` without ids, for ``counts_of``: names, split, score, and of how many rows and positives it is the score."""
+    tables = [
+        fitted.transform(df).select(
+            *[F.lit(v).alias(k) for k, v in names.items()], F.lit(split).alias("split"), vector_to_array("probability")[1].alias("score"),
+            weight.cast("long").alias("n"), (weight * F.col("target_resolved")).cast("long").alias("p"),
+        )
+        for split, df in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def counts_of(weighed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, split, score, n, p of ``weighed_sets``, one row for each score."""
+    return weighed.groupBy(*keys, "split", "score").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))

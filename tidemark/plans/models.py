@@ -145,15 +145,18 @@ def tuning_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tuning.successive_halving(train, validation, tried, written))
 
 
-def fold_tables(spark: SparkSession, sf_dir: str, step: int = 3) -> tuple[list, DataFrame, DataFrame]:
-    """(folds, train rows, later rows with fold and split): look-back history serves the train rows of all folds, frozen history the later ones."""
+def fold_tables(spark: SparkSession, sf_dir: str, step: int = 3, placed=lambda cases: cases, shaped=lambda rows: rows) -> tuple[list, DataFrame, DataFrame]:
+    """(folds, train rows, later rows with fold and split): look-back history serves the train rows of all folds, frozen history the later ones.
+
+    ``placed`` may write the cases first, ``shaped`` has the last word on the columns of both tables.
+    """
     ranges = folds.temporal_folds(spark, *FOLD_ARGS, step=step)
-    cases = S.order_cases(spark, sf_dir).select(*IDS, "amount").where(F.col("opening_date") >= F.lit(TRAIN_START).cast("date"))
+    cases = placed(S.order_cases(spark, sf_dir).select(*IDS, "amount").where(F.col("opening_date") >= F.lit(TRAIN_START).cast("date")))
     later = folds.assign(cases, folds.splits(ranges, TRAIN_START).where("split <> 'train'"))
     angle = 2 * F.pi() * F.month("opening_date") / 12
     more = {"amount_log": F.ln(1 + F.col("amount")), "month_sin": F.sin(angle), "month_cos": F.cos(angle)}
-    past = written(history.train_history(cases).withColumns(more))
-    return ranges.collect(), past, written(history.future_history(cases, later, ranges).withColumns(more))
+    past = written(shaped(history.train_history(cases).withColumns(more)))
+    return ranges.collect(), past, written(shaped(history.future_history(cases, later, ranges).withColumns(more)), "fold", "split")
 
 
 def fold_parts(fold, past: DataFrame, later: DataFrame) -> dict[str, DataFrame]:
@@ -166,25 +169,50 @@ def scaled_parts(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {k: made.transform(v).select("record_id", "opening_date", "target_resolved", "features") for k, v in parts.items()}
 
 
+def by_day(cases: DataFrame) -> DataFrame:
+    """The cases without ids, written with those of a company and day side by side, as these share their history."""
+    return written(cases.drop("record_id").repartition("company", "opening_date").sortWithinPartitions("company", "opening_date"))
+
+
+def tree_cells(parts: dict[str, DataFrame], bounds: list[float]) -> dict[str, DataFrame]:
+    """``tree_parts`` by company and numbers, with one row for all cases of equal features and outcome, their number ``n`` as its weight.
+
+    All numbers but the amount are those of the company's day, and the amount goes by its bin, as trees take it: however many cases there are, a split has at
+    most a row for each company, day, bin and outcome.
+    """
+    cells = {k: models.counted(v.withColumn("amount_log", models.bin_of("amount_log", bounds)), ["company", *NUMBERS]) for k, v in parts.items()}
+    cells["train"] = written(cells["train"])
+    rates, other = models.target_rates(cells["train"], "company")
+    columns = ["company_coded", *NUMBERS]
+    coded = {k: models.assembled(v.join(rates, "company", "left").fillna(other, ["company_coded"]), columns) for k, v in cells.items()}
+    return {k: written(v.select("target_resolved", "n", "features")) for k, v in coded.items()}
+
+
 @query("fold_models")
 def fold_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear model and trees fitted to each fold side by side: thresholds by fold, metrics of validation and test."""
-    ranges, past, later = fold_tables(spark, sf_dir)
+    vectors = VectorAssembler(inputCols=NUMBERS, outputCol="features")  # made once, not in each pass of each fold
+
+    def shaped(rows):
+        keep = [c for c in rows.columns if c in ("fold", "split", "company", "opening_date", "target_resolved", *NUMBERS)]
+        return vectors.transform(rows.select(*keep))
+
+    ranges, past, later = fold_tables(spark, sf_dir, placed=by_day, shaped=shaped)
+    bounds = models.inner_bounds(past, "amount_log", {f["fold"]: F.col("opening_date") <= F.lit(f["train_end"]) for f in ranges})
 
     def scored(job):
         fold, name = job
         parts = fold_parts(fold, past, later)
         if name == "trees":
-            parts = tree_parts(parts, ["company"], NUMBERS)
-            whole = models.fit_trees(parts["train"], 8, 3, 0.3)
+            parts, weight = tree_cells(parts, bounds[fold["fold"]]), F.col("n")
+            whole = models.fit_trees(parts["train"], 8, 3, 0.3, weight="n")
             model = models.cut_trees(whole, models.best_round(models.round_losses(whole, parts["validation"])))
         else:
-            parts = scaled_parts(parts)
-            model = models.fit_logistic(parts["train"])
-        return models.scored_sets(model, {k: parts[k] for k in LATER}, model=name, fold=fold["fold"])
+            model, weight = models.fit_logistic(parts["train"], scaled=True), F.lit(1)
+        return models.weighed_sets(model, {k: parts[k] for k in LATER}, weight, model=name, fold=fold["fold"])
 
-    scores = written(reduce(DataFrame.unionByName, models.side_by_side(scored, [(f, m) for f in ranges for m in ("logistic", "trees")])))
-    return rounded(models.judged(scores, ["model", "fold"]))
+    scores = reduce(DataFrame.unionByName, models.side_by_side(scored, [(f, m) for f in ranges for m in ("logistic", "trees")]))
+    return rounded(models.judged_counts(written(models.counts_of(scores, ["model", "fold"])), ["model", "fold"]))
 
 
 SEEDS = (13, 42, 2024)
