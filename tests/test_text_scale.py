@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tidemark.operators import models, vectorize
+from tidemark.plans import models as plans
 from tidemark.plans import text
 from tidemark.sources import files
 
@@ -103,3 +104,28 @@ def test_texts_stay_out_of_the_buckets(spark, sf, monkeypatch):
     assert len(seen) == 2 and all("complaint_text" not in columns for columns, _ in seen)
     assert sum("regexp_extract_all(" in p for _, p in seen) == 1 and "Exchange hashpartitioning" not in plan(made, "executedPlan")
     files.drop_bucketed(spark)
+
+
+def test_term_vectors_are_the_weights_of_tfidf(spark):
+    docs = documents(spark)
+    grams = vectorize.word_ngrams(F.col("complaint_text"))
+    texts = docs.withColumnRenamed("t", "complaint_text")
+    counts = vectorize.term_counts(texts, grams, ["record_id", "opening_date"])
+    ends = spark.sql("SELECT 1 AS fold, DATE '2024-03-31' AS train_end")
+    kept = files.written(vectorize.vocabulary_of(counts, texts, ends, 1, 1.0, 4))
+    made = models.term_vectors(texts, {"word": grams}, {"word": kept}, files.shared(spark))
+    place = {r.term: i for i, r in enumerate(sorted(kept.collect(), key=lambda r: (-r.tf, r.term)))}
+    wanted = {(r.record_id, place[r.term]): round(r.weight, 12) for r in vectorize.tfidf(counts, kept, ["record_id"]).collect()}
+    rows = made.collect()
+    assert made.columns == ["record_id", "opening_date", "word"] and len(place) == 4
+    assert {(r.record_id, int(i)): round(float(v), 12) for r in rows for i, v in zip(r.word.indices, r.word.values, strict=True)} == wanted
+    assert {r.record_id: r.word.numNonzeros() for r in rows}["c"] == 0  # a row without terms stays, with an empty vector
+
+
+def test_a_block_is_stored_once_however_many_sets_have_it(spark, sf):
+    table = plans.text_vectors(spark, sf, {"alone": ["word"], "more": ["word", "metadata"], "most": ["word", "metadata", "history"]})
+    stored = spark.read.parquet(*table.inputFiles())
+    assert {c for c in stored.columns if c.endswith("_block")} == {"word_block", "metadata_block", "history_block"}
+    assert not {"alone", "more", "most", "complaint_text"} & set(stored.columns)
+    row = table.first()
+    assert row["alone"].numNonzeros() < row["more"].numNonzeros() < row["most"].numNonzeros()

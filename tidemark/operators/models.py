@@ -11,7 +11,7 @@ from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, NaiveBayes
 from pyspark.ml.common import _py2java
-from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer, TargetEncoder, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -65,6 +65,46 @@ def feature_sets(matrix: DataFrame, sets: dict[str, list[str]], keys: list[str],
     return matrix.sparkSession.read.schema(T.StructType(fields)).parquet(path)
 
 
+def term_counter(terms: list[str], source: str, name: str) -> CountVectorizerModel:
+    """What counts a row's terms by their places in the list. The list goes to the JVM as one text, as a call for each term would take a minute; no term has a line's end."""
+    sc = SparkContext._active_spark_context
+    cut = sc._jvm.java.util.regex.Pattern.compile("\n").split("\n".join(terms))
+    return CountVectorizerModel(sc._jvm.org.apache.spark.ml.feature.CountVectorizerModel(f"counter_{name}", cut)).setInputCol(source).setOutputCol(name)
+
+
+def term_vectors(docs: DataFrame, terms: dict[str, Column], vocabularies: dict[str, DataFrame], path: str) -> DataFrame:
+    """``docs`` without their texts, which the terms are cut from, and a sparse vector of TF-IDF weights for each name in ``terms``, of unit length; without a known term it is empty.
+
+    A row's terms are counted within the row, by a vocabulary with term, tf and idf. It goes through the driver, as the weights of a model on it do: bound its size. The most frequent
+    terms come first. Written is 1 + ln tf, of which there are few values, so that an entry takes three to five bytes; idf and length are put in where the table is read.
+    """
+    held, scales = docs, {}
+    for name, cut in terms.items():
+        known = vocabularies[name].select("term", "tf", "idf").toPandas().sort_values(["tf", "term"], ascending=[False, True])
+        scales[name] = DenseVector(known["idf"] if len(known) else [1.0])
+        counter = term_counter(list(known["term"]) or [""], f"{name}_terms", f"{name}_counts")  # no term is empty
+        held = counter.transform(held.withColumn(f"{name}_terms", cut)).drop(f"{name}_terms")
+    kept = [c for c in docs.columns if c != "complaint_text"]
+    counts = {name: F.unwrap_udt(f"{name}_counts") for name in terms}
+    logs = [x.withField("values", F.transform(x["values"], lambda tf: 1 + F.ln(tf))).alias(name) for name, x in counts.items()]
+    held.select(*kept, *logs).write.parquet(path)
+    found = docs.sparkSession.read.schema(T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, VectorUDT()) for name in terms])).parquet(path)
+    for name, scale in scales.items():
+        found = ElementwiseProduct(scalingVec=scale, inputCol=name, outputCol=f"{name}_scaled").transform(found)
+        found = Normalizer(p=2.0, inputCol=f"{name}_scaled", outputCol=f"{name}_unit").transform(found)
+    return found.select(*kept, *[F.col(f"{name}_unit").alias(name) for name in terms])
+
+
+def joined_sets(blocks: DataFrame, sets: dict[str, list[str]], sizes: dict[str, int]) -> DataFrame:
+    """``blocks`` with a vector column for each set of its vector columns, put together where it is read: a block is stored once, however many sets have it. ``sizes`` are those of the blocks."""
+    for block, size in sizes.items():
+        blocks = VectorSizeHint(inputCol=block, size=size, handleInvalid="optimistic").transform(blocks)
+    for name, own in sets.items():
+        # The assembler names every feature, which slows down plans and tasks: a set of one block does without.
+        blocks = VectorAssembler(inputCols=own, outputCol=name).transform(blocks) if len(own) > 1 else blocks.withColumn(name, F.col(own[0]))
+    return blocks
+
+
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     """``features`` from numeric and vector columns, side by side."""
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import folds, history, models, report, tuning, vectorize
 from tidemark.plans.core import FOLD_ARGS, IDS, TRAIN_START, query, rounded, shared, written
-from tidemark.plans.text import _LONG_HISTORY, METADATA, NUMBERS, ends, text_blocks, tuning_split
+from tidemark.plans.text import _LONG_HISTORY, METADATA, NUMBERS, TERMS, ends, text_blocks, text_rows, text_vocabulary, tuning_split
 from tidemark.sources import cases as S
 
 #: Feature sets of the linear model, as blocks of one matrix.
@@ -31,11 +31,23 @@ def parts_of(table: DataFrame, features: str = "features") -> dict[str, DataFram
 
 
 def text_vectors(spark: SparkSession, sf_dir: str, sets: dict[str, list[str]]) -> DataFrame:
-    """Labelled cases with a vector column for each feature set, written once."""
-    rows, blocks, vocabularies = text_blocks(spark, sf_dir, {b for own in sets.values() for b in own})
-    matrix, index = models.feature_matrix(blocks, ["record_id"], vocabularies, written)
-    vectors = models.feature_sets(matrix, sets, ["record_id"], index.count(), shared(spark))
-    return written(rows.join(vectors, "record_id"))
+    """Labelled cases with a vector column for each feature set. A block is written once, whatever sets have it; sets are put together where they are read."""
+    needed = {b for own in sets.values() for b in own}
+    texts, rows = text_rows(spark, sf_dir)
+    kinds = {name: text_vocabulary(spark, texts, name) for name in TERMS if name in needed}
+    sizes = {f"{name}_block": max(known.count(), 1) for name, known in kinds.items()}
+    if numbers := needed - set(kinds):
+        rows, blocks, _ = text_blocks(spark, sf_dir, numbers, (texts, rows))
+        matrix, index = models.feature_matrix(blocks, ["record_id"], write=written)
+        size = index.count()
+        sizes |= {f"{b}_block": size for b in blocks}
+        rows = written(rows.join(models.feature_sets(matrix, {f"{b}_block": [b] for b in blocks}, ["record_id"], size, shared(spark)), "record_id"))
+    if kinds:
+        # Texts are cut in a fixed number of partitions, which adaptive execution doesn't join to a few large ones.
+        placed = texts.select("record_id", "complaint_text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "record_id").join(rows, "record_id")
+        terms = {f"{name}_block": TERMS[name][0](F.col("complaint_text")) for name in kinds}
+        rows = models.term_vectors(placed, terms, {f"{name}_block": known for name, known in kinds.items()}, shared(spark))
+    return models.joined_sets(rows, {name: [f"{b}_block" for b in own] for name, own in sets.items()}, sizes)
 
 
 def fit_judged(parts: dict[str, DataFrame], fit, name: str) -> DataFrame:
@@ -129,8 +141,7 @@ def tuning_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = text_vectors(spark, sf_dir, {"word": ["word"], "word_char": ["word", "char"]})
     categories, numbers = ["company", "uf"], [*METADATA, *_LONG_HISTORY]
     encoder, columns = models.encode_trees(table.where(PERIODS["train"]), categories, numbers)
-    tabular = models.assembled(encoder.transform(table), columns).withColumnRenamed("features", "tabular")
-    table = written(tabular.select("record_id", "opening_date", "target_resolved", "word", "word_char", "tabular"))
+    table = models.assembled(encoder.transform(table), columns).withColumnRenamed("features", "tabular")
     train, validation = table.where(PERIODS["train"]), table.where(PERIODS["validation"])
 
     def trees(some, depth, rate):
