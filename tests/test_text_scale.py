@@ -129,3 +129,19 @@ def test_a_block_is_stored_once_however_many_sets_have_it(spark, sf):
     assert not {"alone", "more", "most", "complaint_text"} & set(stored.columns)
     row = table.first()
     assert row["alone"].numNonzeros() < row["more"].numNonzeros() < row["most"].numNonzeros()
+
+
+def test_the_search_reads_rows_of_one_split_that_are_made_once(spark, sf, monkeypatch):
+    seen = {}
+
+    def search(train, validation, tried, write, **_):
+        seen.update(train=train, validation=validation)
+        return spark.range(1).toDF("n")
+
+    monkeypatch.setattr(plans.tuning, "successive_halving", search)
+    plans.tuning_grid(spark, sf)
+    assert set(seen["train"].inputFiles()).isdisjoint(seen["validation"].inputFiles())
+    for table in seen.values():
+        assert "UDF(" not in plan(table) and len(table.schema.json()) < 10_000  # the features' names stay away
+        row = table.first()
+        assert row["word"].size < row["word_char"].size and row["word"].numNonzeros() < row["word_char"].numNonzeros() and row["tabular"].size == 21

@@ -100,8 +100,9 @@ def joined_sets(blocks: DataFrame, sets: dict[str, list[str]], sizes: dict[str,
     for block, size in sizes.items():
         blocks = VectorSizeHint(inputCol=block, size=size, handleInvalid="optimistic").transform(blocks)
     for name, own in sets.items():
-        # The assembler names every feature, which slows down plans and tasks: a set of one block does without.
-        blocks = VectorAssembler(inputCols=own, outputCol=name).transform(blocks) if len(own) > 1 else blocks.withColumn(name, F.col(own[0]))
+        # The assembler names every feature, which slows down plans and tasks: a set of one block does without, and a table that is written from these doesn't keep the names.
+        made = VectorAssembler(inputCols=own, outputCol=name).transform(blocks) if len(own) > 1 else blocks.withColumn(name, F.col(own[0]))
+        blocks = made.withMetadata(name, {"ml_attr": {"num_attrs": sum(sizes[b] for b in own)}})
     return blocks
 
 

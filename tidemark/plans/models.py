@@ -142,7 +142,8 @@ def tuning_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     categories, numbers = ["company", "uf"], [*METADATA, *_LONG_HISTORY]
     encoder, columns = models.encode_trees(table.where(PERIODS["train"]), categories, numbers)
     table = models.assembled(encoder.transform(table), columns).withColumnRenamed("features", "tabular")
-    train, validation = table.where(PERIODS["train"]), table.where(PERIODS["validation"])
+    # Read in every pass of every fit: rows of one split, with vectors as they are fitted, and nothing that is worked out anew each time.
+    train, validation = (written(table.where(PERIODS[split]).select("record_id", "target_resolved", "word", "word_char", "tabular")) for split in ("train", "validation"))
 
     def trees(some, depth, rate):
         whole = models.fit_trees(some, 10, int(depth), rate)
