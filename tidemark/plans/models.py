@@ -85,7 +85,7 @@ def text_bayes_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sgd_epochs")
 def sgd_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five epochs of mini-batch descent on words and metadata: the loss over all train rows after each, and what the last model reaches on validation and test."""
-    parts = parts_of(text_vectors(spark, sf_dir, {"features": FEATURE_SETS["text_metadata"]}))
+    parts = {k: written(v) for k, v in parts_of(text_vectors(spark, sf_dir, {"features": FEATURE_SETS["text_metadata"]})).items()}  # an epoch reads the train rows as they are fitted
     model, losses = models.fit_sgd(parts["train"], 1e-3, 5)
     found = models.judged(models.scored_sets(model, {k: parts[k] for k in LATER}, model="sgd"), ["model"])
     wide = found.groupBy("model", "threshold").pivot("split", list(LATER)).agg(F.first("macro_f1").alias("macro_f1"), F.first("pr_auc").alias("pr_auc"))
